@@ -19,6 +19,9 @@ from lithocube.session import cut, small
 FIELDS = ("neutron_por", "density_por", "sonic_por")
 #: Codes that stand for "no value" in log files. No porosity lies near any of them.
 CODES = (-999.0, -999.25, -9999.0, -9999.25, -99999.0, 999.0, 999.25, 9999.0, 99999.0, 1e30, -1e30)
+#: Fields with each of their predictors, and the sums kept of a predictor over the readings that have the field.
+PAIRS = [(f, x) for f in FIELDS for x in FIELDS if x != f]
+JOINT = [("js1", F.sum, 1.0), ("jn1", F.count, 1.0), ("js", F.sum, 100.0), ("jn", F.count, 100.0)]
 
 
 def is_missing(col: Column, codes: tuple[float, ...] = CODES) -> Column:
@@ -103,6 +106,8 @@ def impute_chained(
         *[F.count(within(value[f], 1.0)).alias(f"n1_{f}") for f in FIELDS],
         *[F.sum(within(value[f], 100.0)).alias(f"s_{f}") for f in FIELDS],
         *[F.count(within(value[f], 100.0)).alias(f"n_{f}") for f in FIELDS],
+        # Means of a predictor over the readings that have the field: a run's gaps in a field then shift nothing.
+        *[g(F.when(within(value[f], hi).isNotNull(), within(value[x], hi))).alias(f"{k}_{f}_{x}") for f, x in PAIRS for k, g, hi in JOINT],
         F.avg("depth_").alias("mid"),
         F.stddev_pop("depth_").alias("spread"),
     )
@@ -111,7 +116,8 @@ def impute_chained(
     for f in FIELDS:
         runs = runs.withColumn(f"n_{f}", F.when(F.col("scale") == 100, F.col(f"n1_{f}")).otherwise(F.col(f"n_{f}")))
         runs = runs.withColumn(f"s_{f}", F.when(F.col("scale") == 100, F.col(f"s1_{f}") * 100).otherwise(F.col(f"s_{f}")))
-    runs = runs.select("run_id", "campaign", "scale", "mid", "spread", *[f"{k}_{f}" for f in FIELDS for k in ("n", "s")])
+    both = [F.when(F.col("scale") == 100, F.try_divide(F.col(f"js1_{f}_{x}") * 100, F.col(f"jn1_{f}_{x}"))).otherwise(F.try_divide(f"js_{f}_{x}", f"jn_{f}_{x}")).alias(f"j_{f}_{x}") for f, x in PAIRS]
+    runs = runs.select("run_id", "campaign", "scale", "mid", "spread", *[f"{k}_{f}" for f in FIELDS for k in ("n", "s")], *both)
     runs = runs.transform(cut)
     # Campaign means, and the mean of all in the row with grp null.
     means = runs.groupBy("campaign").agg(*[F.try_divide(F.sum(f"s_{f}"), F.sum(f"n_{f}")).alias(f"c_{f}") for f in FIELDS])
@@ -121,6 +127,7 @@ def impute_chained(
     runs = runs.select(
         F.col("run_id").alias("_run"), F.col("campaign").alias("_camp"), "scale", "mid", "spread",
         *[F.coalesce(F.try_divide(F.col(f"s_{f}"), F.col(f"n_{f}")), F.col(f"c_{f}"), F.col(f"g_{f}")).alias(f"m_{f}") for f in FIELDS],
+        *[f"j_{f}_{x}" for f, x in PAIRS],
     )
     joined = base.join(runs, F.col("run_id").eqNullSafe(F.col("_run")) & F.col("campaign").eqNullSafe(F.col("_camp")))
     grp = F.coalesce(F.xxhash64("campaign"), F.lit(0))
@@ -128,6 +135,7 @@ def impute_chained(
         "log_id", "rid", "run_id", "campaign", "depth", *FIELDS, grp.alias("grp"), "scale",
         F.coalesce(F.try_divide(F.col("depth_") - F.col("mid"), F.col("spread")), F.lit(0.0)).alias("t"),
         *[F.col(f"m_{f}") for f in FIELDS],
+        *[F.coalesce(F.col(f"m_{x}") - F.col(f"j_{f}_{x}"), F.lit(0.0)).alias(f"off_{f}_{x}") for f, x in PAIRS],
         *[is_missing(F.col(f), codes).alias(f"gap_{f}") for f in FIELDS],
         # Deviation from the run's mean in percent, null where it is missing or impossible.
         *[(within(value[f] * F.col("scale"), 100.0) - F.col(f"m_{f}")).alias(f"o_{f}") for f in FIELDS],
@@ -140,7 +148,7 @@ def impute_chained(
 
     def predictors(f: str) -> list[Column]:
         a, b = [x for x in FIELDS if x != f]
-        return [F.lit(1.0), F.col(f"d_{a}"), F.col(f"d_{b}"), F.col("t")]
+        return [F.lit(1.0), F.col(f"d_{a}") + F.col(f"off_{f}_{a}"), F.col(f"d_{b}") + F.col(f"off_{f}_{b}"), F.col("t")]
 
     now = state.select("*", *[F.coalesce(F.col(f"o_{f}"), F.lit(0.0)).alias(f"d_{f}") for f in FIELDS])
     for _ in range(sweeps):
