@@ -15,7 +15,7 @@ from lithocube.session import cut
 
 #: Dimensions of a document's place, bits of each in the Hilbert key, documents of a stretch of the curve that are
 #: packed together, and documents of a partition.
-DIMS, BITS, STRETCH, PER_TASK = 3, 10, 2_000, 40_000
+DIMS, BITS, STRETCH, PER_TASK = 3, 10, 500, 40_000
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -78,7 +78,7 @@ class Packer:
         return where
 
 
-def _packing(capacities: list[tuple[int, int]]):
+def _packing(capacities: list[tuple[int, int]], stretch: int):
     def run(batches):
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << 36
@@ -104,11 +104,11 @@ def _packing(capacities: list[tuple[int, int]]):
         for pdf in batches:
             held.append(pdf)
             rows += len(pdf)
-            if rows >= STRETCH:
+            if rows >= stretch:
                 both = pd.concat(held, ignore_index=True)
-                whole = rows - rows % STRETCH
-                for at in range(0, whole, STRETCH):
-                    yield work(both[at : at + STRETCH])
+                whole = rows - rows % stretch
+                for at in range(0, whole, stretch):
+                    yield work(both[at : at + stretch])
                 held, rows = [both[whole:]], rows - whole
         if rows:
             yield work(pd.concat(held, ignore_index=True))
@@ -116,12 +116,12 @@ def _packing(capacities: list[tuple[int, int]]):
     return run
 
 
-def pack_documents(documents: DataFrame, packs: DataFrame, vocabulary: str = VOCABULARY, per_task: int = PER_TASK) -> DataFrame:
+def pack_documents(documents: DataFrame, packs: DataFrame, vocabulary: str = VOCABULARY, per_task: int = PER_TASK, stretch: int = STRETCH) -> DataFrame:
     """pack_id, container, doc_id, piece, first_token, n_tokens: every document in containers of every capacity.
 
     `packs`: pack_id, capacity_tokens (a small table of settings; rows with a null or a capacity below 1 are left out).
     Documents lie along a Hilbert curve through their places (hashed token vectors, three dimensions), are sorted by
-    range, and stretches of 2,000 neighbours are packed by best fit, largest first, into containers still open in the
+    range, and stretches of 500 neighbours are packed by best fit, largest first, into containers still open in the
     partition. A text is cut only where it alone exceeds the capacity: full containers and one rest.
     - Null and empty texts take no room and are in no container; null doc_ids are packed like others. Rows of one
       doc_id are packed one by one. Containers are unique within a pack_id. Empty tables give empty results.
@@ -136,7 +136,7 @@ def pack_documents(documents: DataFrame, packs: DataFrame, vocabulary: str = VOC
     keyed = sizes.mapInPandas(_keyed(mean, spread), f"doc_id {key_type}, n_tokens long, key long")
     lying = keyed.repartitionByRange(max(1, -(-n // per_task)), "key", F.xxhash64("doc_id")).sortWithinPartitions("key", F.xxhash64("doc_id"))
     kinds = f"pack_id long, container long, doc_id {key_type}, piece long, first_token long, n_tokens long"
-    return lying.select("doc_id", "n_tokens").mapInPandas(_packing(sorted(settings)), kinds)
+    return lying.select("doc_id", "n_tokens").mapInPandas(_packing(sorted(settings), stretch), kinds)
 
 
 def fill_report(packed: DataFrame, packs: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def assign_splits(table: DataFrame, targets: DataFrame, seed: int = 5) -> DataFr
     rest = rest.withColumn("split", chosen)
     out = ["component", "n_points", "split", "state"]
     kept = c.where("state <> 'new'").withColumn("split", F.when(F.col("state") == "kept", F.element_at("splits", 1)))
-    large = alone.join(small(single), "component").withColumn("split", F.col("chosen"))
+    large = alone.join(small(single), "component", "left").withColumn("split", F.col("chosen"))
     return kept.select(*out).unionAll(large.select(*out)).unionAll(rest.select(*out))
 
 
