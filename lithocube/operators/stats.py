@@ -71,10 +71,10 @@ def explained_variance(df: DataFrame, columns: Sequence[str], k: int | None = No
     """component (from 1), variance share and cumulative share of the standardised columns; NaN and null count as 0."""
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 
-    clean = df.select(*[F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(0.0)).alias(c) for c in columns])
-    v = VectorAssembler(inputCols=list(columns), outputCol="v").transform(clean)
-    v = StandardScaler(inputCol="v", outputCol="s", withMean=True, withStd=True).fit(v).transform(v)
-    shares = PCA(k=k or len(columns), inputCol="s", outputCol="p").fit(v).explainedVariance.toArray().tolist()
+    clean = df.select(*[F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)])
+    v = VectorAssembler(inputCols=clean.columns, outputCol="all").transform(clean)
+    v = StandardScaler(inputCol="all", outputCol="scaled", withMean=True, withStd=True).fit(v).transform(v)
+    shares = PCA(k=k or len(columns), inputCol="scaled", outputCol="p").fit(v).explainedVariance.toArray().tolist()
     rows, upto = [], 0.0
     for i, s in enumerate(shares):
         upto += s
