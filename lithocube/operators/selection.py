@@ -17,7 +17,7 @@ from lithocube.operators import gbdt
 from lithocube.operators.lookup import candidates as list_candidates
 from lithocube.operators.lookup import minicube
 from lithocube.schema import State
-from lithocube.session import cut, small
+from lithocube.session import cut, settings, small
 
 Chosen = tuple[str, tuple[int, int, int]]
 
@@ -85,7 +85,7 @@ def forward_selection(
     ends early when no candidate can be trained: at least two wells are needed.
     """
     features = traces.select("feature").distinct()
-    names = [r[0] for r in features.orderBy("feature").limit(max_features or 10_000).collect()]
+    names = sorted(r[0] for r in settings(features, 10_000))[:max_features]
     cubes = None
     for name in names:
         m = minicube(points, traces.where(F.col("feature") == name), window, shape).withColumn("feature", F.lit(name))

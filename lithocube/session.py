@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast; checked by counting, never assumed.
@@ -43,5 +43,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def settings(df: DataFrame, rows: int = 1_000) -> list[Row]:
+    """The rows of a small table of settings; more than `rows` are an error, never cut off."""
+    got = df.take(rows + 1)
+    if len(got) > rows:
+        raise ValueError(f"more than {rows} rows of settings")
+    return got
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
