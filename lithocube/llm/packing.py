@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithocube.llm.tokens import VOCABULARY, token_counts
-from lithocube.session import cut
+from lithocube.session import cut, settings
 
 #: Dimensions of a document's place, bits of each in the Hilbert key, documents of a stretch of the curve that are
 #: packed together, and documents of a partition.
@@ -126,7 +126,7 @@ def pack_documents(documents: DataFrame, packs: DataFrame, vocabulary: str = VOC
     - Null and empty texts take no room and are in no container; null doc_ids are packed like others. Rows of one
       doc_id are packed one by one. Containers are unique within a pack_id. Empty tables give empty results.
     """
-    settings = [(r[0], r[1]) for r in packs.where("pack_id is not null and capacity_tokens >= 1").select("pack_id", "capacity_tokens").distinct().limit(1000).collect()]
+    sorts = [(r[0], r[1]) for r in settings(packs.where("pack_id is not null and capacity_tokens >= 1").select("pack_id", "capacity_tokens").distinct())]
     sizes = cut(token_counts(documents, "doc_id", vocabulary=vocabulary, dims=DIMS).where("n_tokens > 0"))
     at = [F.element_at("place", i + 1) for i in range(DIMS)]
     stats = sizes.agg(F.count(F.lit(1)), *[F.avg(c) for c in at], *[F.stddev_pop(c) for c in at]).first()
@@ -136,7 +136,7 @@ def pack_documents(documents: DataFrame, packs: DataFrame, vocabulary: str = VOC
     keyed = sizes.mapInPandas(_keyed(mean, spread), f"doc_id {key_type}, n_tokens long, key long")
     lying = keyed.repartitionByRange(max(1, -(-n // per_task)), "key", F.xxhash64("doc_id")).sortWithinPartitions("key", F.xxhash64("doc_id"))
     kinds = f"pack_id long, container long, doc_id {key_type}, piece long, first_token long, n_tokens long"
-    return lying.select("doc_id", "n_tokens").mapInPandas(_packing(sorted(settings), stretch), kinds)
+    return lying.select("doc_id", "n_tokens").mapInPandas(_packing(sorted(sorts), stretch), kinds)
 
 
 def fill_report(packed: DataFrame, packs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithocube.session import cut, small
+from lithocube.session import cut, settings, small
 
 #: Components above this share of all records are placed one by one on the driver (there are at most 1 / ALONE of
 #: them); the others are placed by hash, along a histogram of so many buckets.
@@ -72,7 +72,7 @@ def assign_splits(table: DataFrame, targets: DataFrame, seed: int = 5) -> DataFr
     most; the others fill the splits along a hash histogram, so each is right to about 1/4096 of the rest.
     """
     wanted = targets.where("split_name is not null and target_share > 0").groupBy("split_name").agg(F.max("target_share").alias("s"))
-    shares = {r[0]: r[1] for r in wanted.orderBy("split_name").limit(1000).collect()}
+    shares = {r[0]: r[1] for r in sorted(settings(wanted))}
     c = cut(table.groupBy("component").agg(F.sum("n_points").alias("n_points"), F.first("split").alias("splits")))
     state = F.when(F.size("splits") > 1, "quarantined").when(F.size("splits") == 1, "kept").otherwise("new")
     c = c.withColumn("state", state)
@@ -136,7 +136,7 @@ def split_points(points: DataFrame, wells: DataFrame, targets: DataFrame, existi
     persist = named.select("sx", "sy", "component", "n_points", keep.alias("split"))
     linked = point_groups(points, table).join(splits, F.col("group_id") == F.col("component")).select("point_id", "component", "split", "state")
     lone = points.select("point_id", *_spot("x", "y")).where("sx is null").select("point_id").distinct()
-    shares = [(r[0], r[1]) for r in targets.where("split_name is not null and target_share > 0").orderBy("split_name").limit(1000).collect()]
+    shares = [(r[0], r[1]) for r in sorted(settings(targets.where("split_name is not null and target_share > 0").groupBy("split_name").agg(F.max("target_share"))))]
     u, whole, chosen, upto = (F.pmod(F.xxhash64("point_id"), F.lit(1_000_003)) + 0.5) / 1_000_003, sum(s for _, s in shares) or 1.0, F.lit(None).cast("string"), 1.0
     for name, s in reversed(shares):
         chosen = F.when(u < upto + 1e-9, name).otherwise(chosen)
