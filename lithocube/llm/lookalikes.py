@@ -6,6 +6,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Texts that DuckDB works on at a time, so that long ones do not fill a worker's memory.
+SLICE = 1_000
+
 # Look-alike letters of the Cyrillic and Greek alphabets and the Latin letters printed the same.
 CYRILLIC = "АВЕКМНОРСТУХЅІЈҮԌԚԜаеорсухѕіјһԁԛԝӏҽёЁїЇѐЀӓӒӧӦӱӰ"
 CYRILLIC_AS = "ABEKMHOPCTYXSIJYGQWaeopcyxsijhdqwleëËïÏèÈäÄöÖÿŸ"
@@ -42,8 +45,11 @@ def form_sql(column: str = "text") -> str:
     narrow = "".join(map(chr, range(0x21, 0x7F))).replace("-", "")
     x = f"regexp_replace(nfc_normalize({column}), {quote('[' + INVISIBLE + ']+')}, '', 'g')"
     x = f"translate({x}, {quote(wide + CYRILLIC + GREEK + OTHER + BLANKS)}, {quote(narrow + CYRILLIC_AS + GREEK_AS + OTHER_AS + ' ' * len(BLANKS))})"
+    spelt = x
     for one, many in JOINED.items():
-        x = f"replace({x}, {quote(one)}, {quote(many)})"
+        spelt = f"replace({spelt}, {quote(one)}, {quote(many)})"
+    # Few texts hold a joined form: the others skip the replacements.
+    x = f"CASE WHEN regexp_matches({column}, {quote('[' + ''.join(JOINED) + ']')}) THEN {spelt} ELSE {x} END"
     return f"nfc_normalize({x})"
 
 
@@ -55,11 +61,12 @@ def _normalizer(columns: list[str]):
 
         con = duckdb.connect(":memory:", config={"threads": 1})
         for b in batches:
-            batch = pa.Table.from_batches([b])  # noqa: F841, read by the SQL
-            con.register("batch", batch)
-            got = con.sql(sql).to_arrow_table()
-            con.unregister("batch")
-            yield from got.cast(pa.schema([*[pa.field(c, b.schema.field(c).type) for c in columns], pa.field("form", pa.string())])).to_batches()
+            kinds = pa.schema([*[pa.field(c, b.schema.field(c).type) for c in columns], pa.field("form", pa.string())])
+            for at in range(0, b.num_rows, SLICE):
+                con.register("batch", pa.Table.from_batches([b.slice(at, SLICE)]))
+                got = con.sql(sql).to_arrow_table()
+                con.unregister("batch")
+                yield from got.cast(kinds).to_batches()
 
     return run
 
