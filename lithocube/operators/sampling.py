@@ -26,8 +26,8 @@ def ring_quotas(points: DataFrame, max_points: int) -> DataFrame:
 def well_quotas(points: DataFrame, max_points: int) -> DataFrame:
     """ring, well_id, n, quota: a ring's quota shared among its wells in proportion, at least 1 each.
 
-    Shares are rounded up; what is then too many is taken off the largest ones, one point at a time, which comes to
-    the same as cutting every share at one level.
+    Shares are rounded up; what is then too many is taken off the largest ones, one point at a time and of equal ones
+    from the lower well id, which comes to the same as cutting every share at one level.
     """
     quotas = ring_quotas(points, max_points).select("ring", F.col("n").alias("ring_n"), F.col("quota").alias("ring_quota"))
     wells = points.groupBy("ring", "well_id").agg(F.count(F.lit(1)).alias("n")).join(small(quotas), "ring")
@@ -46,8 +46,10 @@ def well_quotas(points: DataFrame, max_points: int) -> DataFrame:
     wells = wells.withColumn("left", left)
     level = F.floor(F.col("left") / F.col("k"))
     more = F.col("left") - level * F.col("k")
-    # The earlier places of those cut keep the odd points.
-    cut = F.when(F.col("place") <= F.col("k"), F.least(F.col("share"), level + F.when(F.col("place") > F.col("k") - more, 1).otherwise(0))).otherwise(F.col("share"))
+    # Of those cut, the ones with the largest ids keep the odd points.
+    late = F.row_number().over(Window.partitionBy("ring", F.col("place") <= F.col("k")).orderBy(F.desc("well_id")))
+    wells = wells.withColumn("late", late)
+    cut = F.when(F.col("place") <= F.col("k"), F.least(F.col("share"), level + F.when(F.col("late") <= more, 1).otherwise(0))).otherwise(F.col("share"))
     return wells.select("ring", "well_id", "n", F.greatest(F.lit(1), F.when(F.col("extra") > 0, cut).otherwise(F.col("share"))).alias("quota"))
 
 

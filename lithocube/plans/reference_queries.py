@@ -65,7 +65,7 @@ def s24(spark, d):
 
 
 @query("s17_feature_sets", r"""SELECT config_name, iteration, CAST(i - 1 AS INTEGER) AS rank, split_part(f, ' ', 1) AS feature, CAST(split_part(f, ' ', 2) AS INTEGER) AS dx,
-  CAST(split_part(f, ' ', 3) AS INTEGER) AS dy, CAST(split_part(f, ' ', 4) + 0.0 AS INTEGER) AS dz
+  CAST(split_part(f, ' ', 3) AS INTEGER) AS dy, CAST(split_part(f, ' ', 4) AS INTEGER) AS dz
   FROM (SELECT DISTINCT config_name, iteration, features, unnest(string_split(features, ', ')) AS f, generate_subscripts(string_split(features, ', '), 1) AS i FROM expected_errors WHERE features IS NOT NULL)""")
 def s17(spark, d):
     e = read(spark, d, "expected_errors").where("features is not null").select("config_name", "iteration", "features").distinct()
@@ -771,12 +771,22 @@ def d2(spark, d):
     return sampling.ring_quotas(P.from_ring(0).of(state(spark, d)), 3000)
 
 
-@query("d3_well_quotas")
+# A ring's quota as units: every well has its rounded-up share of them, the lowest levels are kept.
+_QUOTAS = f"""{_RINGS}, wells_n AS (SELECT ring, well_id, count(*) AS n FROM known GROUP BY ring, well_id),
+  rings_n AS (SELECT ring, sum(n) AS ring_n, CAST(ceil(sum(n) / any_value(total) * 3000) AS BIGINT) AS ring_quota FROM wells_n, total GROUP BY ring),
+  units AS (SELECT ring, well_id, n, ring_quota, unnest(range(1, CAST(ceil(n / ring_n * ring_quota) AS BIGINT) + 1)) AS u FROM wells_n JOIN rings_n USING (ring)),
+  kept AS (SELECT *, row_number() OVER (PARTITION BY ring ORDER BY u, well_id DESC) <= ring_quota AS k FROM units),
+  quotas AS (SELECT ring, well_id, any_value(n) AS n, greatest(1, count_if(k)) AS quota FROM kept GROUP BY ring, well_id)"""
+
+
+@query("d3_well_quotas", f"{_QUOTAS} SELECT ring, well_id, n, CAST(quota AS BIGINT) AS quota FROM quotas")
 def d3(spark, d):
     return sampling.well_quotas(P.from_ring(0).of(state(spark, d)), 3000)
 
 
-@query("d4_sample")
+@query("d4_sample", f"""{_QUOTAS} SELECT x, y, z, phi, real, ring, well_id FROM (SELECT k.*, quota,
+    row_number() OVER (PARTITION BY ring, well_id ORDER BY (CAST('0x' || substr(md5('42|' || x || '|' || y || '|' || z), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0, x, y, z) AS rn
+  FROM known k JOIN quotas USING (ring, well_id)) WHERE rn <= quota""")
 def d4(spark, d):
     return sampling.sample_points(P.from_ring(0).of(state(spark, d)), 3000)
 
