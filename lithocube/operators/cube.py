@@ -118,3 +118,15 @@ def known_before(spark: SparkSession, path: str, it: int, layers: int = -1) -> D
     c = spark.read.parquet(path)
     low = it - layers if layers > 0 else 0
     return c.where((F.col("ring") >= low) & (F.col("ring") < max(it, 1)))
+
+
+def with_halo(traces: DataFrame, box: Box, window: int) -> DataFrame:
+    """The traces with a border of `window` cells that repeats the nearest samples, for readers that store halos.
+
+    Coordinates are shifted by `window`. The engine itself never stores a halo: it clamps indices when it looks up.
+    """
+    side = F.sequence(F.lit(-window), F.lit(window))
+    copy = lambda c, n: F.filter(F.transform(side, lambda d: F.col(c) + d), lambda v: (v == F.col(c)) | ((F.col(c) == 0) & (v < 0)) | ((F.col(c) == n - 1) & (v >= n)))
+    t = traces.withColumn("_x", F.explode(copy("x", box.nx))).withColumn("_y", F.explode(copy("y", box.ny)))
+    first, last = F.array_repeat(F.element_at("amp", 1), window), F.array_repeat(F.element_at("amp", -1), window)
+    return t.select((F.col("_x") + window).alias("x"), (F.col("_y") + window).alias("y"), F.concat(first, "amp", last).alias("amp"))

@@ -163,3 +163,25 @@ def rings_of_iteration(it: int, layers: int) -> range:
     if layers < 1 or it < 0:
         raise ValueError("iteration must be 0 or more, layers at least 1")
     return range(it * layers, it * layers + layers)
+
+
+def extents(wells: DataFrame, box: Box, it: Column) -> DataFrame:
+    """`wells` (well_id, x, y) with x0, x1, y0, y1 of their squares at iteration `it`, cut at the box, and the points
+    each alone has predicted."""
+    x0, x1 = F.greatest(F.col("x") - it, F.lit(0)), F.least(F.col("x") + it, F.lit(box.nx - 1))
+    y0, y1 = F.greatest(F.col("y") - it, F.lit(0)), F.least(F.col("y") + it, F.lit(box.ny - 1))
+    w = wells.select("*", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
+    return w.withColumn("predicted", ((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1) - 1) * box.nz)
+
+
+def overlaps(squares: DataFrame, box: Box, by: tuple[str, ...] = ()) -> DataFrame:
+    """a, b (a < b) and the points that both wells' squares (see extents) cover; only pairs that overlap, and none at
+    iteration 0. `by`: columns that both sides share, such as the iteration."""
+    side = lambda s: squares.select(*by, *[F.col(c).alias(f"{s}_{c}") for c in ("well_id", "x0", "x1", "y0", "y1")])
+    a, b = side("a"), side("b")
+    w = F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0") + 1
+    h = F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0") + 1
+    meet = (F.col("a_well_id") < F.col("b_well_id")) & (w > 0) & (h > 0)
+    j = a.join(b, list(by)).where(meet) if by else a.join(b, meet)
+    j = j.where((F.col("a_x0") < F.col("a_x1")) | (F.col("a_y0") < F.col("a_y1")))
+    return j.select(*by, F.col("a_well_id").alias("a"), F.col("b_well_id").alias("b"), (w * h * box.nz).alias("points"))

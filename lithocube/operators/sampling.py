@@ -97,3 +97,11 @@ def sequential_chunks(points: DataFrame, n: int, order: tuple[str, ...] = ("x",
     at = F.row_number().over(Window.partitionBy("ring", "well_id").orderBy(*order)) - 1
     p = points.withColumn("_at", at).join(small(sizes), ["ring", "well_id"])
     return p.withColumn("chunk", F.floor((F.col("_before") + F.col("_at")) / F.ceil(F.col("_total") / n)).cast("int")).drop("_at", "_before", "_total")
+
+
+def tile_quotas(points: DataFrame, max_points: int, tile: int = 100) -> DataFrame:
+    """tx, ty, n, quota: each tile's part of `max_points`, rounded up; all its points if no sampling is needed."""
+    counts = points.groupBy(F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy())  # one row per tile
+    sample = (F.lit(max_points) > 0) & (total > max_points)
+    return counts.select("tx", "ty", "n", F.when(sample, F.ceil(F.col("n") / total * max_points)).otherwise(F.col("n")).alias("quota"))

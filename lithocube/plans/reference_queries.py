@@ -857,3 +857,116 @@ def h1(spark, d):
     points = predicates.SELECTION.wells([w[0] for w in TRAIN]).of(state(spark, d)).where("ring <= 1")
     p = lookup.with_features(points, f, [("AMP", (0, 0, 1)), ("SMOOTH", (0, 0, 0))], stencil.cube_shape(f))
     return selection.parameter_search(cut(p), ["f0", "f1"], selection.random_space(spark, 4), _QUICK)
+
+
+# Further operators of the inventory, each on its own.
+
+_state_query("f9_wells", "well_id IN (1, 2)", lambda c: P.wells((1, 2)).of(c))
+
+
+@query("f14_feature_matrix", f"""{WITH_STATE}, {SHAPE} SELECT s.x, s.y, s.z, s.phi AS label, round(a.amp + 10 * b.amp, 6) + 0.0 AS row_sum FROM state s, shape
+  {_look(0, 0, 1, 'a')} {_look(1, 0, 0, 'b')} WHERE s.real IN (0, 1)""")
+def f14(spark, d):
+    t = traces(spark, d)
+    p = lookup.with_features(predicates.PREDICTION.of(state(spark, d)), t.withColumn("feature", F.lit("amp")), [("amp", (0, 0, 1)), ("amp", (1, 0, 0))], stencil.cube_shape(t))
+    m = p.select("x", "y", "z", F.col("phi").alias("label"), F.array("f0", "f1").alias("row"))
+    return m.select("x", "y", "z", "label", r6(F.get("row", F.lit(0)) + 10 * F.get("row", F.lit(1))).alias("row_sum"))
+
+
+@query("c14_ring_distance", f"WITH {CUBE}, {WELL_ROWS} SELECT DISTINCT x, y, well_id, CAST(greatest(abs(x - wx), abs(y - wy)) AS INTEGER) AS ring FROM embeddings_cube, wells WHERE greatest(abs(x - wx), abs(y - wy)) <= 3")
+def c14(spark, d):
+    w = spark.createDataFrame(WELLS, "well_id int, wx int, wy int")
+    ring = scalars.ring_distance(F.col("x"), F.col("y"), F.col("wx"), F.col("wy"))
+    near = F.col("x").between(F.col("wx") - 3, F.col("wx") + 3) & F.col("y").between(F.col("wy") - 3, F.col("wy") + 3)
+    return traces(spark, d).select("x", "y").join(small(w), near).select("x", "y", "well_id", ring.cast("int").alias("ring"))
+
+
+_ITS = "its(it) AS (SELECT CAST(i AS INTEGER) FROM range(0, 9) r(i))"
+_EXTENTS = f"""squares AS (SELECT it, well_id, CAST(wx AS INTEGER) AS x, CAST(wy AS INTEGER) AS y, greatest(wx - it, 0) AS x0, least(wx + it, 19) AS x1, greatest(wy - it, 0) AS y0, least(wy + it, 24) AS y1 FROM wells, its)"""
+
+
+def _squares(spark: SparkSession) -> DataFrame:
+    w = spark.createDataFrame(WELLS, "well_id int, x int, y int").withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    return geometry.extents(w, geometry.Box(20, 25, 64), F.col("it"))
+
+
+@query("c15_c16_extents", f"WITH {WELL_ROWS}, {_ITS}, {_EXTENTS} SELECT *, ((x1 - x0 + 1) * (y1 - y0 + 1) - 1) * 64 AS predicted FROM squares")
+def c15(spark, d):
+    return _squares(spark)
+
+
+@query("c17_overlap_volumes", f"""WITH {WELL_ROWS}, {_ITS}, {_EXTENTS} SELECT it, a.well_id AS a, b.well_id AS b, (least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1) * (least(a.y1, b.y1) - greatest(a.y0, b.y0) + 1) * 64 AS points
+  FROM squares a JOIN squares b USING (it) WHERE a.well_id < b.well_id AND it > 0 AND least(a.x1, b.x1) >= greatest(a.x0, b.x0) AND least(a.y1, b.y1) >= greatest(a.y0, b.y0)""")
+def c17(spark, d):
+    return geometry.overlaps(_squares(spark), geometry.Box(20, 25, 64), ("it",))
+
+
+@query("c20_depth_index", f"WITH {_CLEAN} SELECT log_id, CAST(floor(depth / 5.0) - floor(start / 5.0) AS INTEGER) AS i FROM (SELECT log_id, depth, min(depth) OVER (PARTITION BY run_id) AS start FROM clean)")
+def c20(spark, d):
+    l = cut(_clean(spark, d))
+    starts = l.groupBy("run_id").agg(F.min("depth").alias("start"))
+    return l.join(starts, "run_id").select("log_id", scalars.depth_index(F.col("depth"), 5.0, F.col("start")).alias("i"))
+
+
+@query("d8_tile_quotas", f"{_RINGS} SELECT CAST(x // 5 AS BIGINT) AS tx, CAST(y // 5 AS BIGINT) AS ty, count(*) AS n, CAST(ceil(count(*) / any_value(total) * 3000) AS BIGINT) AS quota FROM known, total GROUP BY tx, ty")
+def d8(spark, d):
+    return sampling.tile_quotas(P.from_ring(0).of(state(spark, d)), 3000, 5)
+
+
+@query("j11_well_of_coords", """SELECT DISTINCT run_id, w.well, w.min_y FROM well_logs l JOIN (SELECT x_coord, y_coord, min(well) AS well, min(min_y) AS min_y FROM wells_info_completed GROUP BY ALL) w
+  ON l.global_x = w.x_coord AND l.global_y = w.y_coord""")
+def j11(spark, d):
+    w = read(spark, d, "wells_info_completed").where("x_coord is not null and y_coord is not null").groupBy(F.col("x_coord").cast("double").alias("global_x"), F.col("y_coord").cast("double").alias("global_y")).agg(F.min("well").alias("well"), F.min("min_y").alias("min_y"))
+    l = read(spark, d, "well_logs").select("run_id", "global_x", "global_y").distinct()
+    return l.join(small(w), ["global_x", "global_y"]).select("run_id", "well", "min_y").distinct()
+
+
+@query("j15_nearest_well", f"WITH {CUBE}, {WELL_ROWS}, cols AS (SELECT DISTINCT x, y FROM embeddings_cube) SELECT arg_min(well_id, greatest(abs(x - wx), abs(y - wy)) * 100 + well_id) AS well_id, x, y FROM cols, wells GROUP BY x, y")
+def j15(spark, d):
+    return geometry.first_to_reach(traces(spark, d).select("x", "y"), WELLS).select("well_id", "x", "y")
+
+
+@query("o1_sorted_log", "SELECT log_id, area_x, area_y, depth FROM well_logs WHERE depth IS NOT NULL AND NOT isnan(area_x) AND NOT isnan(area_y)")
+def o1(spark, d):
+    l = read(spark, d, "well_logs").select("log_id", "area_x", "area_y", "depth").where("depth is not null and area_x is not null and area_y is not null and not isnan(area_x) and not isnan(area_y)")
+    return l.orderBy("area_x", "area_y", "depth")
+
+
+@query("o2_sorted_predictions", f"WITH {PREDICTIONS} SELECT x, y, z, phi FROM pred_a")
+def o2(spark, d):
+    return predictions(spark, d)[0].orderBy("x", "y", "z")
+
+
+@query("u2_blocks_together", f"{WITH_STATE} SELECT ring, well_id, x, y, z FROM state WHERE (ring = 1 AND well_id = 0) OR (ring = 2 AND well_id = 1)")
+def u2(spark, d):
+    c = state(spark, d)
+    return P.wells([0]).at_ring(1).of(c).unionByName(P.wells([1]).at_ring(2).of(c)).select("ring", "well_id", "x", "y", "z")
+
+
+@query("u5_well_set", "SELECT DISTINCT x_coord, y_coord FROM wells_info_completed WHERE x_coord >= 0 AND y_coord >= 0 EXCEPT SELECT max_x, max_y FROM areas_coords")
+def u5(spark, d):
+    w = read(spark, d, "wells_info_completed").where("x_coord >= 0 and y_coord >= 0").select("x_coord", "y_coord").dropDuplicates()
+    gone = read(spark, d, "areas_coords").select(F.col("max_x").alias("x_coord"), F.col("max_y").alias("y_coord"))
+    return w.join(small(gone), ["x_coord", "y_coord"], "left_anti")
+
+
+@query("u6_ring_walls", f"WITH {CUBE}, cols AS (SELECT DISTINCT x, y FROM embeddings_cube) SELECT x, y FROM cols WHERE greatest(abs(x - 12), abs(y - 10)) = 4")
+def u6(spark, d):
+    c = traces(spark, d).select("x", "y")
+    return c.where(scalars.ring_distance(F.col("x"), F.col("y"), 12, 10) == 4)
+
+
+@query("x6_halo", f"""{WITH_CUBE} SELECT CAST(i + 2 AS INTEGER) AS x, CAST(j + 2 AS INTEGER) AS y, CAST(k + 2 AS BIGINT) AS z, amp FROM shape, range(-2, 22) a(i), range(-2, 102) b(j), range(-2, 66) c(k)
+  JOIN embeddings_cube e ON e.x = {_CLAMP.format('i', 'nx')} AND e.y = {_CLAMP.format('j', 'ny')} AND e.z = {_CLAMP.format('k', 'nz')} WHERE j < ny + 2""")
+def x6(spark, d):
+    t = traces(spark, d)
+    return stencil.points(cubes.with_halo(t, geometry.Box(*stencil.cube_shape(t)), 2), "amp")
+
+
+@query("x10_canal_cube", f"""WITH {WELL_ROWS}, {CUBE}, pts AS (SELECT x, y, z, amp, well_id FROM embeddings_cube LEFT JOIN wells ON x = wx AND y = wy WHERE z < 8 AND (well_id IS NOT NULL OR amp > 0.1))
+  SELECT CAST(a.x AS INTEGER) AS x, CAST(b.y AS INTEGER) AS y, CAST(c.z AS INTEGER) AS z, coalesce(p.amp, 0) AS phi, CASE WHEN p.well_id IS NOT NULL THEN 0 WHEN p.amp IS NOT NULL THEN 2 ELSE 5 END AS real,
+  CASE WHEN p.well_id IS NOT NULL THEN 0 ELSE -1 END AS ring, coalesce(p.well_id, -1) AS well_id FROM range(20) a(x), range(25) b(y), range(8) c(z) LEFT JOIN pts p ON p.x = a.x AND p.y = b.y AND p.z = c.z""")
+def x10(spark, d):
+    w = spark.createDataFrame(WELLS, "well_id int, x int, y int")
+    p = cube_of(spark, d).where("z < 8").join(small(w), ["x", "y"], "left").where("well_id is not null or amp > 0.1")
+    return cubes.overlay(cubes.empty_cube(spark, geometry.Box(20, 25, 8)), p.withColumnRenamed("amp", "phi"), others=2)
