@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithocube.functions.curvature import attributes
+from lithocube.functions.curvature import attributes, with_shared
 from lithocube.operators.stencil import _inner, _views, cube_shape, half, on_tiles, points
 
 
@@ -72,9 +72,8 @@ def _on_indexed_tiles(traces: DataFrame, shape: tuple[int, int, int], kernel) ->
 
 def surface_attributes(traces: DataFrame, *names: str) -> DataFrame:
     """x, y, z and the named attributes (see functions.curvature); all if none is named."""
-    p = surface_parameters(traces)
-    every = attributes(*[F.col(c) for c in "abcde"])
-    return p.select("x", "y", "z", *[every[n].alias(n) for n in (names or every)])
+    every = attributes()
+    return with_shared(surface_parameters(traces)).select("x", "y", "z", *[every[n].alias(n) for n in (names or every)])
 
 
 def semblance_kernel(window: tuple[int, int, int]):

@@ -12,7 +12,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithocube.session import cut
@@ -179,7 +179,7 @@ def _scan(batches):
             stream, body = (f"{m.group(1)},{m.group(2)},{m.group(3)}", text[m.end() :]) if m else ("", text)
             rows.append((stream, body, bool(body.strip()), bool(_HEAD.match(body))))
         out = pd.DataFrame(rows, columns=["stream", "body", "filled", "head"])
-        yield pd.concat([pdf[["log_file", "line_no"]].reset_index(drop=True), out], axis=1)
+        yield pd.concat([pdf[["log_file", "line_no", "shipped"]].reset_index(drop=True), out], axis=1)
 
 
 def _words(batches):
@@ -229,13 +229,13 @@ def _entries(frequent: frozenset):
             out = pd.DataFrame(rows, columns=["stamp", "level", "component", "message", "iteration", "rmse", "seconds", "features"])
             out["iteration"] = out["iteration"].astype("Int32")
             out["rmse"], out["seconds"] = out["rmse"].astype(float), out["seconds"].astype(float)
-            yield pd.concat([pdf[["log_file", "stream", "first_line", "last_line"]].reset_index(drop=True), out], axis=1)
+            yield pd.concat([pdf[["log_file", "stream", "first_line", "last_line", "shipped"]].reset_index(drop=True), out], axis=1)
 
     return run
 
 
 _OUT = (
-    "log_file string, stream string, first_line int, last_line int, stamp string, level string, component string, message string, "
+    "log_file string, stream string, first_line int, last_line int, shipped timestamp, stamp string, level string, component string, message string, "
     "iteration int, rmse double, seconds double, features array<string>"
 )
 
@@ -247,16 +247,19 @@ def parse_entries(log_lines: DataFrame, share: float = SHARE, block: int = BLOCK
     `log_lines`: log_file, line_no, raw_line. A line that starts as an entry does (a timestamp in any of the known
     notations, or an opening brace) opens one; other lines continue the last entry of their stream, a stream being a
     process of a file (`[job,rank]<stdout>:` before the line) or the file itself. first_line and last_line are the
-    first and last lines that are not blank. `stamp` is the timestamp as written, `ts` as a timestamp, null where the
-    year is not written; level is null where none is written; number notations (decimal comma, exponent) are read.
+    first and last lines that are not blank. `stamp` is the timestamp as written, `ts` as a timestamp; where the
+    year is not written it is that of the line's shipped_at, if the table has it, else `ts` is null; level is null where none is written; number notations (decimal comma, exponent) are read.
     - A line before any entry of its stream is an entry of its own without timestamp.
     - Lines of one file and line_no count once (the greatest text of them); null log_file is a file of its own; lines
       with null line_no come out nowhere; a null raw_line is a blank line; blank lines alone make no entry.
     - Files are worked on in blocks of `block` lines, heads are carried over blocks, so no file has to fit into a task.
       An entry's own lines are gathered, as they are one result row. Empty tables give empty results.
     """
-    lines = log_lines.where("line_no is not null").groupBy("log_file", F.col("line_no").cast("int").alias("line_no")).agg(F.max("raw_line").alias("raw_line"))
-    lines = lines.mapInPandas(_scan, "log_file string, line_no int, stream string, body string, filled boolean, head boolean")
+    shipped = F.col("shipped_at").cast("timestamp") if "shipped_at" in log_lines.columns else F.lit(None).cast("timestamp")
+    lines = log_lines.where("line_no is not null").groupBy("log_file", F.col("line_no").cast("int").alias("line_no")).agg(
+        F.max("raw_line").alias("raw_line"), F.min(shipped).alias("shipped")
+    )
+    lines = lines.mapInPandas(_scan, "log_file string, line_no int, shipped timestamp, stream string, body string, filled boolean, head boolean")
     lines = cut(lines.where("filled").withColumn("file", F.coalesce(F.col("log_file"), F.lit("\0"))).withColumn("block", F.floor(F.col("line_no") / block)))
     frequent = frequent_pairs(lines, share)
     # The head of a line: the last one in its block and stream, else the last of the blocks before.
@@ -269,18 +272,27 @@ def parse_entries(log_lines: DataFrame, share: float = SHARE, block: int = BLOCK
     lines = lines.join(carried, ["file", "stream", "block"])
     lines = lines.withColumn("first_line", F.coalesce("opened", "carried", "line_no"))
     groups = lines.groupBy("file", "stream", "first_line").agg(
-        F.first("log_file").alias("log_file"), F.max("line_no").alias("last_line"), F.collect_list(F.struct("line_no", "body")).alias("lines")
+        F.first("log_file").alias("log_file"), F.max("line_no").alias("last_line"), F.min("shipped").alias("shipped"), F.collect_list(F.struct("line_no", "body")).alias("lines")
     )
-    out = groups.select("log_file", "stream", "first_line", "last_line", "lines").mapInPandas(_entries(frequent), _OUT)
+    out = groups.select("log_file", "stream", "first_line", "last_line", "shipped", "lines").mapInPandas(_entries(frequent), _OUT)
     s = F.col("stamp")
     at = lambda text, form: F.try_to_timestamp(text, F.lit(form))
     ts = F.coalesce(
         F.when(s.rlike(r"^\d{4}-\d\d-\d\d"), F.try_to_timestamp(F.regexp_replace(F.regexp_replace(s, ",", "."), "Z$", ""))),
         F.when(s.rlike(r"^\d{4}\."), at(s, "yyyy.MM.dd HH:mm:ss")),
         F.when(s.rlike(r"^\d\d/"), at(s, "dd/MM/yyyy HH:mm:ss")),
+        F.when(s.rlike(r"^[A-Z]"), _with_year(s)),
         F.when(s.rlike(r"^\d{9,}"), F.timestamp_micros((F.expr("try_cast(stamp as decimal(20,6))") * 1_000_000).cast("long"))),
     )
-    return out.withColumn("ts", ts)
+    return out.withColumn("ts", ts).drop("shipped")
+
+
+def _with_year(stamp: Column) -> Column:
+    """A stamp without year as of the last year in which it lies before the entry was shipped (a day's grace)."""
+    year, text = F.year("shipped"), F.regexp_replace(stamp, " +", " ")
+    at = lambda y: F.try_to_timestamp(F.concat_ws(" ", y.cast("string"), text), F.lit("yyyy MMM d HH:mm:ss"))
+    known = F.col("shipped").isNotNull()
+    return F.when(known, F.when(at(year) <= F.col("shipped") + F.expr("INTERVAL 1 DAY"), at(year)).otherwise(F.coalesce(at(year - 1), at(year))))
 
 
 def stated(entries: DataFrame) -> DataFrame:

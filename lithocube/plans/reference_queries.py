@@ -530,20 +530,18 @@ _ATTRIBUTES = """, m AS (SELECT *, 1 + d * d + e * e AS g FROM par), k AS (SELEC
   round(2 * (a * e * e - c * d * e + b * d * d) / pow(g, 1.5), 5) + 0.0 AS contour_curvature, round(sqrt(((km + off) ** 2 + (km - off) ** 2) / 2), 5) + 0.0 AS curvedness FROM q WHERE NOT isnan(off) AND abs(d) > 1e-9""")
 def c1(spark, d):
     names = ("dip_angle", "azimuth", "mean_curvature", "gaussian_curvature", "most_positive_curvature", "most_negative_curvature", "contour_curvature", "curvedness")
-    p = attributes.surface_parameters(traces(spark, d))
-    every = curvature.attributes(*[F.col(c) for c in "abcde"])
-    s = p.where(F.abs("d") > 1e-9).select("x", "y", "z", *[every[n].alias(n) for n in names]).where(~F.isnan("curvedness"))
-    return s.select("x", "y", "z", *[(F.round(n, 5) + F.lit(0.0)).alias(n) for n in names])
+    p = curvature.with_shared(attributes.surface_parameters(traces(spark, d)).where(F.abs("d") > 1e-9)).where(~F.isnan("_off"))
+    every = curvature.attributes()
+    return p.select("x", "y", "z", *[(F.round(every[n], 5) + F.lit(0.0)).alias(n) for n in names])
 
 
 @query("c5_c9_principal_curvatures", f"""{_SURFACE}{_ATTRIBUTES} SELECT x, y, z, round(km + off, 5) + 0.0 AS max_curvature, round(km - off, 5) + 0.0 AS min_curvature, round(2 / pi() * atan(2 * km / (2 * off)), 4) + 0.0 AS shape_index,
   round(2 * (a * e * e - c * d * e + b * d * d) / (sqrt(g) * (d * d + e * e)), 4) + 0.0 AS dip_curvature FROM q WHERE off > 1e-6 AND d * d + e * e > 1e-6""")
 def c5(spark, d):
-    p = attributes.surface_parameters(traces(spark, d))
-    every = curvature.attributes(*[F.col(c) for c in "abcde"])
-    top, low = every["max_curvature"], every["min_curvature"]
-    s = p.where((F.col("d") * F.col("d") + F.col("e") * F.col("e") > 1e-6) & ((top - low) / 2 > 1e-6) & ~F.isnan(top))
-    return s.select("x", "y", "z", *[(F.round(c, n) + F.lit(0.0)).alias(k) for k, c, n in (("max_curvature", top, 5), ("min_curvature", low, 5), ("shape_index", every["shape_index"], 4), ("dip_curvature", every["dip_curvature"], 4))])
+    p = curvature.with_shared(attributes.surface_parameters(traces(spark, d)).where(F.col("d") * F.col("d") + F.col("e") * F.col("e") > 1e-6))
+    p = p.where(~F.isnan("_off") & (F.col("_off") > 1e-6))
+    every, digits = curvature.attributes(), {"max_curvature": 5, "min_curvature": 5, "shape_index": 4, "dip_curvature": 4}
+    return p.select("x", "y", "z", *[(F.round(every[n], k) + F.lit(0.0)).alias(n) for n, k in digits.items()])
 
 
 @query("c13_complex_trace")

@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: `spark.checkpoint.dir` of the session, own only where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="lithocube-")
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -61,6 +61,15 @@ def test_blocks_repeats_and_order_do_not_matter(spark):
     assert rows(parse_entries(twice, block=3).drop("features")) == whole
 
 
+def test_year_from_shipping(spark):
+    from datetime import datetime
+
+    data = [("f", 1, "[1,0]<stdout>:Dec 31 23:59:00 [manager] it#1 | best set", datetime(2032, 1, 1, 0, 5)), ("f", 2, "[1,0]<stdout>:Jan  6 07:30:31 [manager] it#1 | best set", datetime(2032, 1, 6, 8)),
+            ("f", 3, "[1,0]<stdout>:Feb 29 07:30:31 [manager] it#1 | best set", None)]
+    e = parse_entries(spark.createDataFrame(data, "log_file string, line_no int, raw_line string, shipped_at timestamp"))
+    assert [str(r.ts) for r in e.orderBy("first_line").collect()] == ["2031-12-31 23:59:00", "2032-01-06 07:30:31", "None"]
+
+
 def test_odd_lines(spark):
     lines = ["no head at all", None, "   ", "\x00\x07", "2031-01-01 00:00:00,000 INFO a - " + "x" * 200_000, "{ not json", "2031-01-01 00:00:01,000 INFO b - it 5.5 took 3 s"]
     f = frame(spark, lines).unionAll(spark.createDataFrame([("f", None, "x", "", 0), (None, 1, "2031-01-01 00:00:00,000 INFO a - it 1 took 2 s", "", 0)], SCHEMA))

@@ -213,7 +213,7 @@ def test_surface_parameters(spark, block):
 def test_surface_attributes_by_definition(spark):
     vals = [(0.3, -0.2, 0.1, 0.5, -0.4), (0.0, 0.0, 0.0, 0.0, 0.0), (0.2, 0.2, 0.0, 0.0, 1.0)]
     df = spark.createDataFrame(vals, "a double, b double, c double, d double, e double")
-    got = [r.asDict() for r in df.select(*[v.alias(n) for n, v in curvature.attributes(*[F.col(x) for x in "abcde"]).items()]).collect()]
+    got = [r.asDict() for r in curvature.with_shared(df).select(*[v.alias(n) for n, v in curvature.attributes().items()]).collect()]
     a, b, c, d, e = vals[0]
     km = (a * (1 + e * e) - c * d * e + b * (1 + d * d)) / (1 + d * d + e * e) ** 1.5
     kg = (4 * a * b - c * c) / (1 + d * d + e * e) ** 2
