@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import lithocube.plans.problem_queries  # noqa: F401
-import lithocube.plans.reference_queries  # noqa: F401
+import lithocube.plans.engine_queries  # noqa: F401
 from lithocube.plans.registry import QUERIES, SQL
 
 NAMES = sorted(n for n in QUERIES if not QUERIES[n].__module__.startswith("lithocube.llm"))

@@ -49,8 +49,8 @@ def test_text_formats(spark, tmp_path):
     assert tuple(io.depth_range(las).first())[1:] == (10.0, 10.5)
     (tmp_path / "n.txt").write_text("x y z\n1 2 3\n\n4;5;6\n")
     assert rows(io.read_numbers(spark, str(tmp_path / "n.txt"), ["x", "y", "z"])) == [(1.0, 2.0, 3.0), (4.0, 5.0, 6.0)]
-    (tmp_path / "sets.txt").write_text("[('FAR', (3, 0, 0)), ('NEAR_azimuth_', (-1, 0, 1))]\n[('MID', (0, 0, 0))]\n")
-    assert rows(io.read_feature_sets(spark, str(tmp_path / "sets.txt"))) == [(0, 0, "FAR", 3, 0, 0), (0, 1, "NEAR_azimuth_", -1, 0, 1), (1, 0, "MID", 0, 0, 0)]
+    (tmp_path / "sets.txt").write_text("[('Norte_gst', (3, 0, 0)), ('Serra_azimuth', (-1, 0, 1))]\n[('Morro_rms-5', (0, 0, 0))]\n")
+    assert rows(io.read_feature_sets(spark, str(tmp_path / "sets.txt"))) == [(0, 0, "Norte_gst", 3, 0, 0), (0, 1, "Serra_azimuth", -1, 0, 1), (1, 0, "Morro_rms-5", 0, 0, 0)]
     io.write_csv(spark.createDataFrame([(2, 1, 1, 0.5), (1, 1, 1, 0.25)], "x int, y int, z int, phi double"), str(tmp_path / "out"))
     assert io.read_csv(spark, str(tmp_path / "out"), "x int, y int, z int, phi double").count() == 2
 
