@@ -1,56 +1,57 @@
-"""Splitting long ordered series into bounded segments, so that no series has to fit into one task."""
+"""Splitting long ordered series into bounded segments, and order statistics of them, so that no series has to fit into one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithocube.session import cut, small
+
+
+def ranked(df: DataFrame, key: str, order: Sequence[str], name: str = "rank") -> DataFrame:
+    """`df` with the exact place, from 0, of every row in the order of its `key`. Key and order columns hold no nulls.
+
+    Rows are range partitioned by key and order together, so many rows at one place are spread as well if the last of
+    `order` tells them apart; places within a partition are shifted by the counts of the partitions before.
+    """
+    by = [key, *order]
+    rows = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_i", F.monotonically_increasing_id()))
+    part = F.shiftright("_i", 33)
+    counts = rows.groupBy(F.col(key).alias("_key"), part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    w = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select("_key", "_part", (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first")).alias("_shift"))
+    rows = rows.join(small(cut(shift)), (F.col(key) == F.col("_key")) & (part == F.col("_part")))
+    return rows.select(*df.columns, (F.col("_i") + F.col("_shift")).alias(name))
+
+
+def segmented(df: DataFrame, size: int, halo: int, rank: str = "rank") -> DataFrame:
+    """Add `seg` and `core`: rows whose places are `rank` are cut into segments of `size` places.
+
+    A segment gets the `halo` rows next to it on both sides as copies with `core` false, from as many segments as it
+    takes, so a neighbourhood of up to `halo` rows is whole in the segment that owns its centre.
+    """
+    at = lambda by: F.floor((F.col(rank) + by) / size)
+    to = F.sequence(F.greatest(F.lit(0), at(-halo)), at(halo))
+    return df.withColumn("seg", F.explode(to)).withColumn("core", F.col("seg") == at(0))
+
 
-def segmented(df: DataFrame, key: str, order: str, size: int, halo: int, tie: str) -> DataFrame:
-    """Add `seg` and `core` to `df`: series of more than `size` rows are cut along `order` into segments of about that size.
+def nth(df: DataFrame, key: str, value: str, places: DataFrame) -> DataFrame:
+    """`key`, n and the exact n-th smallest `value` for every row (`key`, n from 0) of `places`; values are longs not below 0.
 
-    A segment gets the `halo` rows next to it on both sides as copies with `core` false, so a neighbourhood of up to
-    `halo` rows is whole in the segment that owns its centre. Series of at most `size` rows are one segment (seg 0).
-    A long series is cut by an equal-width histogram of `order`; a histogram bin fuller than `size` is cut further by
-    a hash of `tie`, which needs no order since all its rows lie at practically one place.
-    Only keys of long series take part in the extra steps. Null keys are one series.
+    Four histograms of 16 bits, each within the bin that the last one led to, end at the value itself: nothing is
+    sorted and no series is in one task. Doubles not below 0 are in the order of their bits.
     """
-    plain = df.withColumn("seg", F.lit(0).cast("long")).withColumn("core", F.lit(True))
-    counts = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi")
-    ).where(F.col("_n") > size)
-    if counts.isEmpty():
-        return plain
-    bins = F.ceil(F.col("_n") / size) * 64
-    place = F.coalesce(F.try_divide(F.col(order) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    same = F.col(key).eqNullSafe(F.col("_key"))
-    hot = df.join(counts.withColumnRenamed(key, "_key"), same).withColumn("_bin", F.floor(place * bins)).drop("_key")
-    cold = plain.join(counts.select(F.col(key).alias("_key")), same, "left_anti")
-    by_bin = hot.groupBy(key, "_bin").agg(F.count(F.lit(1)).alias("_m"))
-    before = F.sum("_m").over(Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
-    by_bin = by_bin.withColumn("_base", F.floor(F.coalesce(before, F.lit(0)) / size))
-    by_bin = by_bin.select(F.col(key).alias("_key"), F.col("_bin").alias("_b"), "_base", "_m")
-    # Segments are numbered by _base * 2^20 plus the part of a full bin; neighbours are found by rank, not by number.
-    parts = F.ceil(F.col("_m") / size)
-    part: Column = F.when(parts > 1, F.pmod(F.xxhash64(tie), parts)).otherwise(0)
-    hot = hot.join(by_bin, same & (F.col("_bin") == F.col("_b"))).drop("_key")
-    hot = hot.withColumn("seg", (F.col("_base") * (1 << 20) + part).cast("long"))
-    numbers = hot.select(key, "seg").distinct()
-    w = Window.partitionBy(key).orderBy("seg")
-    numbers = numbers.select(
-        F.col(key).alias("_key"), F.col("seg").alias("_s"), F.lag("seg").over(w).alias("_prev"), F.lead("seg").over(w).alias("_next")
-    )
-    w = Window.partitionBy(key, "seg")
-    hot = (
-        hot.join(numbers, same & (F.col("seg") == F.col("_s")))
-        .withColumn("_up", F.row_number().over(w.orderBy(order, tie)))
-        .withColumn("_down", F.row_number().over(w.orderBy(F.desc(order), F.desc(tie))))
-    )
-    to = F.array(
-        F.struct(F.col("seg").alias("seg"), F.lit(True).alias("core")),
-        F.when(F.col("_up") <= halo, F.struct(F.col("_prev").alias("seg"), F.lit(False).alias("core"))),
-        F.when(F.col("_down") <= halo, F.struct(F.col("_next").alias("seg"), F.lit(False).alias("core"))),
-    )
-    hot = hot.withColumn("_to", F.explode(to)).where("_to.seg is not null")
-    hot = hot.select(*df.columns, F.col("_to.seg").alias("seg"), F.col("_to.core").alias("core"))
-    return cold.unionByName(hot)
+    rows = df.select(F.col(key).alias("_k"), F.col(value).alias("_b"))
+    found = places.select(F.col(key).alias("_key"), "n", F.col("n").alias("_left"), F.lit(0).cast("long").alias("_prefix"))
+    for shift in (48, 32, 16, 0):
+        found = cut(found)
+        above = F.shiftright("_b", shift + 16) if shift < 48 else F.lit(0).cast("long")
+        digit = F.shiftright("_b", shift).bitwiseAND(F.lit(0xFFFF).cast("long"))
+        within = rows.join(small(found), (F.col("_k") == F.col("_key")) & (above == F.col("_prefix")))
+        bins = within.groupBy("_key", "n", "_left", "_prefix", digit.alias("_d")).agg(F.count(F.lit(1)).alias("_m"))
+        bins = bins.withColumn("_upto", F.sum("_m").over(Window.partitionBy("_key", "n").orderBy("_d")))
+        bins = bins.where((F.col("_upto") > F.col("_left")) & (F.col("_upto") - F.col("_m") <= F.col("_left")))
+        found = bins.select("_key", "n", (F.col("_left") - F.col("_upto") + F.col("_m")).alias("_left"), (F.col("_prefix") * 65536 + F.col("_d")).alias("_prefix"))
+    return found.select(F.col("_key").alias(key), "n", F.col("_prefix").alias(value))

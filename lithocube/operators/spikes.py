@@ -8,15 +8,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lithocube.operators.missing import CODES, FIELDS, is_missing
-from lithocube.operators.segments import segmented
+from lithocube.operators.segments import nth, ranked, segmented
+from lithocube.session import cut, small
 
 #: Readings on each side that make up the level before and after an episode, and longest episode of a spike.
 SIDE, LONGEST = 7, 3
-#: A run of more readings is judged in stretches of about this many, each with its own scatter and tail.
+#: Values on each side of one that its level, its residual and the episodes it may belong to are made from.
+HALO = 2 * (SIDE + LONGEST)
+#: A run of more readings is looked at in stretches of this many; its unit, scatters and tails are those of the whole run.
 STRETCH = 50_000
 
 
@@ -61,8 +65,14 @@ def pareto_cutoff(r: np.ndarray, series: np.ndarray, n_series: int, base: float,
     excess, ke = (v - t[k])[over], k[over]
     m = np.bincount(ke, minlength=n_series)
     mean = np.bincount(ke, excess, n_series) / np.maximum(m, 1)
-    var = np.bincount(ke, excess**2, n_series) / np.maximum(m, 1) - mean**2
-    ratio = np.divide(mean**2, var, out=np.ones(n_series), where=var > 0)
+    square = np.bincount(ke, excess**2, n_series) / np.maximum(m, 1)
+    return tail_cutoff(t, counts, m, mean, square, risk, cap)
+
+
+def tail_cutoff(t: np.ndarray, counts: np.ndarray, m: np.ndarray, mean: np.ndarray, square: np.ndarray, risk: float, cap: float) -> np.ndarray:
+    """The cutoffs from `m` of `counts` residuals beyond `t` and the means of their excesses and squared excesses."""
+    var = square - mean**2
+    ratio = np.divide(mean**2, var, out=np.ones(len(t)), where=var > 0)
     xi, beta = np.clip(0.5 * (1 - ratio), -0.5, 0.4), 0.5 * mean * (ratio + 1)
     tail = np.maximum(m, 1) / np.maximum(counts, 1) / risk
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -70,6 +80,66 @@ def pareto_cutoff(r: np.ndarray, series: np.ndarray, n_series: int, base: float,
     return np.where((m >= 5) & np.isfinite(z), np.clip(z, t, cap), cap)
 
 
+def unlikely(x: np.ndarray, series: np.ndarray, fraction: np.ndarray, stuck: int) -> np.ndarray:
+    """1 for impossible values, 2 for members of at least `stuck` successive equal ones, else 0. `fraction` is by series."""
+    flag = np.zeros(len(x), np.int8)
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (series[1:] != series[:-1])
+    stretch = np.cumsum(new) - 1
+    flag[np.bincount(stretch)[stretch] >= stuck] = 2
+    flag[(x < 0) | (x > np.where(fraction, 1.0, 100.0)[series])] = 1
+    return flag
+
+
+class Line:
+    """Series one after the other in one line, apart by numbers that are none, with the levels about every value."""
+
+    def __init__(self, x: np.ndarray, series: np.ndarray):
+        apart = SIDE + LONGEST
+        self.at = np.arange(len(x)) + apart * np.cumsum(np.concatenate([[0], np.diff(series) != 0]))
+        self.line = np.full(self.at[-1] + 1, np.nan)
+        self.line[self.at] = x
+        self.before = _medians(_windows(self.line, SIDE, -SIDE))
+        self.after = _medians(_windows(self.line, SIDE, 0))
+
+    def residuals(self) -> np.ndarray:
+        """Distance from the running median."""
+        return np.abs(self.line - _medians(_windows(self.line, 2 * (SIDE // 2) + 3, -(SIDE // 2) - 1)))[self.at]
+
+    def distances(self) -> np.ndarray:
+        """What the tail is fitted on: distance from the nearer of the levels before and after, so a change of level is none."""
+        with np.errstate(invalid="ignore"):
+            return np.fmin(np.abs(self.line - self.before), np.abs(self.line - _ahead(self.after, 1, np.nan)))[self.at]
+
+    def episodes(self, far: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        """Members of episodes with a candidate by the exact rule: away from the level before and after, one to three long."""
+        line, before, after = self.line, self.before, self.after
+        reach = np.full(len(line), np.inf)
+        reach[self.at] = far
+        candidate = np.zeros(len(line), bool)
+        candidate[self.at] = candidates
+        hit = np.zeros(len(line), bool)
+        for length in range(1, LONGEST + 1):
+            b, last = before, np.arange(len(line)) + length
+            a = np.where(last < len(line), after[np.minimum(last, len(line) - 1)], np.nan)
+            # At a run's end there is no level on one side; a short stretch there may be a lasting change and is no case.
+            ok = ~np.isnan(a) & ~np.isnan(b)
+            # The values next to it must be back at a level, else it is a part of something longer.
+            for v in (np.concatenate([[np.nan], line[:-1]]), _ahead(line, length, np.nan)):
+                with np.errstate(invalid="ignore"):
+                    ok &= (np.abs(v - b) <= reach) | (np.abs(v - a) <= reach)
+            any_candidate = np.zeros(len(line), bool)
+            for j in range(length):
+                v = _ahead(line, j, np.nan)
+                with np.errstate(invalid="ignore"):
+                    ok &= (np.abs(v - b) > reach) & (np.abs(v - a) > reach)
+                any_candidate |= _ahead(candidate, j, False)
+            for j in range(length):
+                members = np.flatnonzero(ok & any_candidate) + j
+                hit[members] = True
+        return hit[self.at]
+
+
 def flag_series(x: np.ndarray, series: np.ndarray, fraction: np.ndarray, base: float = 0.9, risk: float = 1e-3, times: float = 10.0, stuck: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """Flags of values `x`, which lie series by series in order: 0 none, 1 impossible, 2 stuck, 3 spike; and cutoffs.
 
@@ -79,24 +149,13 @@ def flag_series(x: np.ndarray, series: np.ndarray, fraction: np.ndarray, base: f
     flag = np.zeros(n, np.int8)
     if not n:
         return flag, np.zeros(n_series)
-    # Stuck: at least `stuck` successive equal values.
-    new = np.ones(n, bool)
-    new[1:] = (x[1:] != x[:-1]) | (series[1:] != series[:-1])
-    stretch = np.cumsum(new) - 1
-    flag[np.bincount(stretch)[stretch] >= stuck] = 2
-    flag[(x < 0) | (x > np.where(fraction, 1.0, 100.0)[series])] = 1
-
-    # The rest in one line, series apart by numbers that are none.
+    flag = unlikely(x, series, fraction, stuck)
     keep = np.flatnonzero(flag == 0)
     if not keep.size:
         return flag, np.full(n_series, np.inf)
-    apart = SIDE + LONGEST
-    at = np.arange(len(keep)) + apart * np.cumsum(np.concatenate([[0], np.diff(series[keep]) != 0]))
-    line = np.full(at[-1] + 1, np.nan)
-    line[at] = x[keep]
     k = series[keep]
-    level = _medians(_windows(line, 2 * (SIDE // 2) + 3, -(SIDE // 2) - 1)[at])
-    r = np.abs(x[keep] - level)
+    line = Line(x[keep], k)
+    r = line.residuals()
     order = np.lexsort((r, k))
     counts = np.bincount(k, minlength=n_series)
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
@@ -107,72 +166,26 @@ def flag_series(x: np.ndarray, series: np.ndarray, fraction: np.ndarray, base: f
     # Readings so coarse that over half lie on the level: their mean distance takes the place of the median.
     flat = some & (scatter == 0)
     scatter[flat] = (np.bincount(k, np.minimum(r, 1e6), n_series) / np.maximum(counts, 1))[flat]
-    before = _medians(_windows(line, SIDE, -SIDE))
-    after = _medians(_windows(line, SIDE, 0))
-    # What the tail is fitted on: distance from the nearer of the levels before and after, so a change of level is none.
     with np.errstate(divide="ignore", invalid="ignore"):
-        off = np.fmin(np.abs(line - before), np.abs(line - _ahead(after, 1, np.nan)))[at] / scatter[k]
+        off = line.distances() / scatter[k]
         cutoff = pareto_cutoff(off, k, n_series, base, risk, times)
-    far = times * scatter
-
-    # Candidates by the tail's cutoff, then the exact rule: away from the level before and after, one to three long.
-    reach = np.full(len(line), np.inf)
-    reach[at] = far[k]
-    candidate = np.zeros(len(line), bool)
-    candidate[at] = (off > cutoff[k]) & (scatter[k] > 0)
-    hit = np.zeros(len(line), bool)
-    for length in range(1, LONGEST + 1):
-        b, last = before, np.arange(len(line)) + length
-        a = np.where(last < len(line), after[np.minimum(last, len(line) - 1)], np.nan)
-        # At a run's end there is no level on one side; a short stretch there may be a lasting change and is no case.
-        ok = ~np.isnan(a) & ~np.isnan(b)
-        # The values next to it must be back at a level, else it is a part of something longer.
-        for v in (np.concatenate([[np.nan], line[:-1]]), _ahead(line, length, np.nan)):
-            with np.errstate(invalid="ignore"):
-                ok &= (np.abs(v - b) <= reach) | (np.abs(v - a) <= reach)
-        any_candidate = np.zeros(len(line), bool)
-        for j in range(length):
-            v = _ahead(line, j, np.nan)
-            with np.errstate(invalid="ignore"):
-                ok &= (np.abs(v - b) > reach) & (np.abs(v - a) > reach)
-            any_candidate |= _ahead(candidate, j, False)
-        for j in range(length):
-            members = np.flatnonzero(ok & any_candidate) + j
-            hit[members] = True
-    flag[keep[hit[at]]] = 3
+    hit = line.episodes((times * scatter)[k], (off > cutoff[k]) & (scatter[k] > 0))
+    flag[keep[hit]] = 3
     return flag, cutoff
 
 
-def _flagger(options: dict):
+def _by_series(keys: list[str], work):
+    """`work` on whole series, many at a time, with the number of each row's series; Arrow batches end anywhere."""
+
+    def numbers(pdf: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(pdf), bool)
+        for c in keys:
+            v = pdf[c].fillna(-(2**62)).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.cumsum(new)
+
     def run(batches):
-        """Whole stretches of runs at a time; Arrow batches end anywhere."""
         held: list[pd.DataFrame] = []
-        names = ["log_id", "run_id", *FIELDS, "flag_" + FIELDS[0], "flag_" + FIELDS[1], "flag_" + FIELDS[2]]
-
-        def work(pdf: pd.DataFrame) -> pd.DataFrame:
-            if not len(pdf):
-                return pd.DataFrame({c: pdf[c] if c in pdf else [] for c in names})
-            # Repeats: rows of one reading came sorted with the latest first.
-            pdf = pdf[~pdf.duplicated(["run_id", "seg", "rid"])]
-            key = pdf["run_id"].fillna(-(2**62)).to_numpy(), pdf["seg"].to_numpy()
-            new = np.ones(len(pdf), bool)
-            new[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])
-            run_no = np.cumsum(new) - 1
-            n_runs = run_no[-1] + 1
-            values = {f: pdf[f].to_numpy(dtype=float, na_value=np.nan) for f in FIELDS}
-            ones, plausible = np.zeros(n_runs), np.zeros(n_runs)
-            for x in values.values():
-                ones += np.bincount(run_no, (x >= 0) & (x <= 1), n_runs)
-                plausible += np.bincount(run_no, (x >= 0) & (x <= 100), n_runs)
-            fraction = ones * 2 > plausible
-            out = pdf[["log_id", "run_id", *FIELDS]].copy()
-            for f, x in values.items():
-                there = np.flatnonzero(~np.isnan(x))
-                flags = np.full(len(x), -1, np.int8)
-                flags[there] = flag_series(x[there], run_no[there], fraction, **options)[0]
-                out["flag_" + f] = flags
-            return out[pdf["core"].to_numpy()][names]
-
         rows = 0
         for pdf in batches:
             held.append(pdf)
@@ -180,20 +193,144 @@ def _flagger(options: dict):
             if rows < 100_000:
                 continue
             everything = pd.concat(held, ignore_index=True)
-            last = everything.iloc[-1]
-            same = (everything["run_id"] == last["run_id"]) | (everything["run_id"].isna() & pd.isna(last["run_id"]))
-            tail = same & (everything["seg"] == last["seg"])
+            no = numbers(everything)
+            tail = no == no[-1]
             if tail.all():
                 held = [everything]
                 continue
-            yield work(everything[~tail])
+            yield work(everything[~tail], no[~tail])
             held, rows = [everything[tail]], int(tail.sum())
-        if held:
-            yield work(pd.concat(held, ignore_index=True))
+        if rows:
+            everything = pd.concat(held, ignore_index=True)
+            yield work(everything, numbers(everything))
 
     return run
 
 
+def _flagger(options: dict):
+    """Runs that fit into one task."""
+
+    def work(pdf: pd.DataFrame, run_no: np.ndarray) -> pd.DataFrame:
+        # Repeats: rows of one reading came sorted with the latest first.
+        once = ~pdf.duplicated(["run_id", "rid"]).to_numpy()
+        pdf, run_no = pdf[once], run_no[once]
+        n_runs = run_no[-1] + 1
+        values = {f: pdf[f].to_numpy(dtype=float, na_value=np.nan) for f in FIELDS}
+        ones, plausible = np.zeros(n_runs), np.zeros(n_runs)
+        for x in values.values():
+            ones += np.bincount(run_no, (x >= 0) & (x <= 1), n_runs)
+            plausible += np.bincount(run_no, (x >= 0) & (x <= 100), n_runs)
+        fraction = ones * 2 > plausible
+        out = pdf[["log_id", "run_id", *FIELDS]].copy()
+        for f, x in values.items():
+            there = np.flatnonzero(~np.isnan(x))
+            flags = np.full(len(x), -1, np.int8)
+            flags[there] = flag_series(x[there], run_no[there], fraction, **options)[0]
+            out["flag_" + f] = flags
+        return out
+
+    return _by_series(["run_id"], work)
+
+
+def _odd_ones(stuck: int):
+    def work(pdf: pd.DataFrame, no: np.ndarray) -> pd.DataFrame:
+        first = np.flatnonzero(np.concatenate([[True], np.diff(no) != 0]))
+        out = pdf[["s", "seg", "rid", "v"]].copy()
+        out["flag"] = unlikely(pdf["v"].to_numpy(float), no, pdf["fraction"].to_numpy(bool)[first], stuck)
+        out = out[pdf["core"].to_numpy()]
+        out["i"] = (out["flag"] == 0).groupby([out["s"], out["seg"]]).cumsum() - 1
+        return out
+
+    return _by_series(["s", "seg"], work)
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x, float).view(np.int64)
+
+
+def _measured():
+    def work(pdf: pd.DataFrame, no: np.ndarray) -> pd.DataFrame:
+        line = Line(pdf["v"].to_numpy(float), no)
+        r, off = line.residuals(), line.distances()
+        out = pd.DataFrame({"s": pdf["s"].to_numpy(), "r": r, "r_bits": _bits(r), "off": off, "off_bits": _bits(off)})
+        return out[pdf["core"].to_numpy()]
+
+    return _by_series(["s", "seg"], work)
+
+
+def _episodes(times: float):
+    def work(pdf: pd.DataFrame, no: np.ndarray) -> pd.DataFrame:
+        line = Line(pdf["v"].to_numpy(float), no)
+        scatter, cutoff = pdf["scatter"].to_numpy(float), pdf["cutoff"].to_numpy(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            candidates = (line.distances() / scatter > cutoff) & (scatter > 0)
+        return pdf[["s", "rid"]][line.episodes(times * scatter, candidates) & pdf["core"].to_numpy()]
+
+    return _by_series(["s", "seg"], work)
+
+
+@F.pandas_udf(DoubleType())
+def _double(bits: pd.Series) -> pd.Series:
+    return pd.Series(bits.to_numpy(np.int64).view(np.float64))
+
+
+def _limits(kept: DataFrame, size: int, base: float, risk: float, times: float) -> DataFrame:
+    """s, scatter and cutoff of every series of `kept` (s, v, rank), as flag_series has them, by aggregations alone."""
+    kinds = "s long, r double, r_bits long, off double, off_bits long"
+    m = cut(_segments(kept, size, HALO).mapInPandas(_measured(), kinds))
+    sizes = cut(m.groupBy("s").agg(F.count(F.lit(1)).alias("_n"), F.avg(F.least("r", F.lit(1e6))).alias("flat")))
+    places = sizes.select("s", F.explode(F.array_distinct(F.array(F.expr("(_n - 1) div 2"), F.expr("_n div 2")))).alias("n"))
+    mid = nth(m, "s", "r_bits", places).withColumn("r", _double("r_bits")).groupBy("s").agg(((F.min("r") + F.max("r")) / 2 * 1.4826).alias("mid"))
+    scatter = cut(sizes.join(mid, "s").select("s", F.when(F.col("mid") == 0, F.col("flat")).otherwise(F.col("mid")).alias("scatter")))
+    off = m.join(small(scatter.where("scatter > 0")), "s").where(~F.isnan("off"))
+    off = off.select("s", "off_bits", "scatter", (F.col("off") / F.col("scatter")).alias("off")).where(F.col("off") <= times)
+    good = cut(off.groupBy("s").agg(F.count(F.lit(1)).alias("counts")))
+    at = nth(off, "s", "off_bits", good.select("s", F.floor(base * (F.col("counts") - 1)).cast("long").alias("n")))
+    t = cut(at.join(scatter, "s").select("s", (_double("off_bits") / F.col("scatter")).alias("t")))
+    excess = off.join(small(t), "s").where("off > t").withColumn("e", F.col("off") - F.col("t"))
+    excess = excess.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.avg("e").alias("mean"), F.avg(F.col("e") * F.col("e")).alias("square"))
+    every = scatter.join(good, "s", "left").join(t, "s", "left").join(excess, "s", "left").fillna(0)
+
+    @F.pandas_udf(DoubleType())
+    def cutoff(t: pd.Series, counts: pd.Series, m: pd.Series, mean: pd.Series, square: pd.Series) -> pd.Series:
+        return pd.Series(tail_cutoff(*(c.to_numpy(float) for c in (t, counts, m, mean, square)), risk, times))
+
+    return cut(every.select("s", "scatter", cutoff("t", "counts", "m", "mean", "square").alias("cutoff")))
+
+
+def _segments(df: DataFrame, size: int, halo: int) -> DataFrame:
+    return segmented(df, size, halo).repartition("s", "seg").sortWithinPartitions("s", "seg", "rank")
+
+
+def _flag_long(r: DataFrame, runs: DataFrame, size: int, base: float, risk: float, times: float, stuck: int) -> DataFrame:
+    """Flags, as numbers, of the readings of `runs` (_run, no), which need not fit into one task.
+
+    Every field of a run is a series of its own, of distinct present readings, cut by exact place: once to find stuck
+    and impossible values, and again without them for levels and episodes, so no cut loses a neighbour.
+    """
+    w = Window.partitionBy("no", "rid").orderBy("depth", F.desc_nulls_last("at"))
+    one = r.join(small(runs), F.col("run_id").eqNullSafe(F.col("_run"))).withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    one = cut(one.select("no", "run_id", "log_id", "rid", "depth", *FIELDS))
+    upto = lambda most: sum((F.coalesce(F.col(f).between(0, most).cast("long"), F.lit(0)) for f in FIELDS), F.lit(0))
+    units = cut(one.groupBy("no").agg((F.sum(upto(1)) * 2 > F.sum(upto(100))).alias("fraction")))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f).alias("v")) for i, f in enumerate(FIELDS)])).alias("c")
+    cells = one.select("no", "rid", "depth", each).where("c.v is not null").join(small(units), "no")
+    cells = cells.select((F.col("no") * len(FIELDS) + F.col("c.i")).alias("s"), "depth", "rid", "c.v", "fraction")
+    lying = _segments(ranked(cells, "s", ["depth", "rid"]), size, max(stuck - 1, 0))
+    odd = cut(lying.mapInPandas(_odd_ones(stuck), "s long, seg long, rid long, v double, flag byte, i long"))
+    counts = odd.where("flag = 0").groupBy("s", "seg").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("s").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = odd.where("flag = 0").join(small(cut(counts.select("s", "seg", before.alias("before")))), ["s", "seg"])
+    kept = cut(kept.select("s", "rid", "v", (F.col("i") + F.col("before")).alias("rank")))
+    limits = _limits(kept, size, base, risk, times)
+    spikes = _segments(kept.join(small(limits), "s"), size, HALO).mapInPandas(_episodes(times), "s long, rid long")
+    found = odd.where("flag > 0").select("s", "rid", "flag").unionByName(spikes.withColumn("flag", F.lit(3).cast("byte")))
+    of = lambda i: F.max(F.when(F.col("s") % len(FIELDS) == i, F.col("flag"))).alias(f"_{i}")
+    found = found.groupBy(F.expr(f"s div {len(FIELDS)}").alias("no"), "rid").agg(*[of(i) for i in range(len(FIELDS))])
+    flag = lambda i, f: F.when(F.col(f).isNull(), -1).otherwise(F.coalesce(f"_{i}", F.lit(0))).cast("byte").alias("flag_" + f)
+    return one.join(found, ["no", "rid"], "left").select("log_id", "run_id", *FIELDS, *[flag(i, f) for i, f in enumerate(FIELDS)])
+
+
 def flag_spikes(
     readings: DataFrame, base: float = 0.9, risk: float = 1e-3, times: float = 10.0, stuck: int = 6, stretch: int = STRETCH, codes: tuple[float, ...] = CODES
 ) -> DataFrame:
@@ -207,7 +344,8 @@ def flag_spikes(
     the running median.
     - The level is that of the nearest seven values on a side that are neither stuck nor impossible; an episode at the
       end of a run, with no level on one side, is no spike.
-    - Runs longer than `stretch` are judged in stretches of that size, so no run has to fit into one task.
+    - Runs of more than `stretch` rows are looked at in stretches of that many readings, so no run has to fit into one
+      task; unit, scatter and tail are those of the whole run and the result is the same.
     - Equal depths are ordered by log_id; a repeated log_id counts as received last; rows without log_id are told apart
       by their cells. Null run_id is a run of its own. Null or NaN depth takes no part. Empty tables give empty results.
     """
@@ -216,11 +354,16 @@ def flag_spikes(
         "log_id", "run_id", "depth", *[v[f].alias(f) for f in FIELDS],
         F.coalesce("log_id", F.xxhash64("depth", *FIELDS)).alias("rid"), F.unix_micros(F.col("received_at").cast("timestamp")).alias("at"),
     )
-    cuts = segmented(r, "run_id", "depth", stretch, SIDE + LONGEST + 4, "rid")
-    lying = cuts.repartition("run_id", "seg").sortWithinPartitions("run_id", "seg", "depth", "rid", F.desc_nulls_last("at"))
     kinds = "log_id long, run_id long, " + ", ".join(f"{f} double" for f in FIELDS) + ", " + ", ".join(f"flag_{f} byte" for f in FIELDS)
     options = {"base": base, "risk": risk, "times": times, "stuck": stuck}
-    flags = lying.select("log_id", "run_id", "seg", "core", "rid", *FIELDS).mapInPandas(_flagger(options), kinds)
+    long = r.groupBy(F.col("run_id").alias("_run")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > stretch)
+    long = cut(long.select("_run", (F.row_number().over(Window.orderBy("_run")) - 1).cast("long").alias("no")))
+    any_long = not long.isEmpty()
+    short = r.join(small(long), F.col("run_id").eqNullSafe(F.col("_run")), "left_anti") if any_long else r
+    lying = short.repartition("run_id").sortWithinPartitions("run_id", "depth", "rid", F.desc_nulls_last("at"))
+    flags = lying.select("log_id", "run_id", "rid", *FIELDS).mapInPandas(_flagger(options), kinds)
+    if any_long:
+        flags = flags.unionByName(_flag_long(r, long, stretch, **options))
     word = lambda c: F.element_at(F.array(F.lit("none"), F.lit("impossible"), F.lit("stuck"), F.lit("spike")), c.cast("int") + 1)
     return flags.select("log_id", "run_id", *FIELDS, *[F.when(F.col(f"flag_{f}") >= 0, word(F.col(f"flag_{f}"))).alias(f"flag_{f}") for f in FIELDS])
 

@@ -140,3 +140,15 @@ def test_run_at_one_depth_is_cut_too(spark):
 
 def test_empty(spark):
     assert flagged_cells(flag_spikes(frame(spark, []))).count() == 0
+
+
+def both(spark, data, stretch):
+    return [rows(flag_spikes(frame(spark, data), stretch=s)) for s in (50_000, stretch)]
+
+
+def test_long_runs_are_judged_by_the_whole_run(spark):
+    # Quiet, noisy and low stretches of one run in percent: scatter and unit of a stretch are not those of the run.
+    x = np.concatenate([noise(1000, 1, 0.01), noise(1000, 2, 1.0), 0.5 + 0.01 * noise(400, 3), noise(1000, 4)])
+    x[300], x[1500], x[2200], x[2800] = 20.5, 60.0, 1.8, 101.0
+    whole, cut = both(spark, [(i, 5, i / 7.0, float(v), float(v) * 2, None) for i, v in enumerate(x)], 300)
+    assert whole == cut and {r[5] for r in whole} == {"none", "spike", "impossible"}
