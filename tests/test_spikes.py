@@ -152,3 +152,15 @@ def test_long_runs_are_judged_by_the_whole_run(spark):
     x[300], x[1500], x[2200], x[2800] = 20.5, 60.0, 1.8, 101.0
     whole, cut = both(spark, [(i, 5, i / 7.0, float(v), float(v) * 2, None) for i, v in enumerate(x)], 300)
     assert whole == cut and {r[5] for r in whole} == {"none", "spike", "impossible"}
+
+
+def test_cuts_lose_no_neighbours(spark):
+    # One far depth; missing, stuck and repeated stretches about every cut, and one longer than a segment.
+    x = noise(2000)
+    x[::61] += 12
+    x[395:399], x[500:530], x[900:1150], x[1396:1404] = 21.0, 22.0, 23.0, 24.0
+    data = [(i, 5, i / 7.0, float(v), None if 560 < i < 620 or i % 5 else float(v), float(v) + 1) for i, v in enumerate(x)]
+    data[-1] = (1999, 5, 1e12, *data[-1][3:])
+    data += [d for d in data[180:220] for _ in range(9)] + [(5000 + i, None, 3.0, float(v), None, None) for i, v in enumerate(noise(900))]
+    whole, cut = both(spark, data, 200)
+    assert whole == cut and len(whole) == 2900 and {r[5] for r in whole} == {"none", "spike", "stuck"}
