@@ -818,16 +818,16 @@ def _two_features(spark: SparkSession, d: str) -> DataFrame:
 @query("m4_trials")
 def m4(spark, d):
     f = _two_features(spark, d)
-    points = predicates.SELECTION.wells([w[0] for w in TRAIN]).of(state(spark, d)).where("ring <= 1")
-    _, results = selection.forward_selection(cut(points), f, 1, stencil.cube_shape(f), 1, _QUICK, only_z=True)
+    points = predicates.SELECTION.wells([w[0] for w in TRAIN]).of(state(spark, d))
+    _, results = selection.forward_selection(cut(points), f, 1, stencil.cube_shape(f), 1, _QUICK)
     return results
 
 
 @query("m10_forward_selection")
 def m10(spark, d):
     f = _two_features(spark, d)
-    points = predicates.SELECTION.wells([w[0] for w in TRAIN]).of(state(spark, d)).where("ring <= 1")
-    chosen, _ = selection.forward_selection(cut(points), f, 1, stencil.cube_shape(f), 2, _QUICK, only_z=True)
+    points = predicates.SELECTION.wells([w[0] for w in TRAIN]).of(state(spark, d))
+    chosen, _ = selection.forward_selection(cut(points), f, 1, stencil.cube_shape(f), 2, _QUICK)
     return spark.createDataFrame([(i, n, *s) for i, (n, s) in enumerate(chosen)], "rank int, feature string, dx int, dy int, dz int")
 
 
@@ -852,7 +852,7 @@ def m13(spark, d):
 @query("h1_parameter_search")
 def h1(spark, d):
     f = _two_features(spark, d)
-    points = predicates.SELECTION.wells([w[0] for w in TRAIN]).of(state(spark, d)).where("ring <= 1")
+    points = predicates.SELECTION.wells([w[0] for w in TRAIN]).of(state(spark, d))
     p = lookup.with_features(points, f, [("AMP", (0, 0, 1)), ("SMOOTH", (0, 0, 0))], stencil.cube_shape(f))
     return selection.parameter_search(cut(p), ["f0", "f1"], selection.random_space(spark, 4), _QUICK)
 
