@@ -433,7 +433,7 @@ def a24(spark, d):
 @query("a25_explained_variance")
 def a25(spark, d):
     t = traces(spark, d)
-    p = t.select(*[F.get("amp", F.lit(i)).alias(f"a{i}") for i in range(8)])
+    p = t.select(*[F.get("amp", F.lit(i)).alias(f"a{i}") for i in range(NZ)])
     return stats.explained_variance(p, p.columns)
 
 

@@ -1,7 +1,7 @@
 """Queries that have to see all of their tables, not a part."""
 
 from lithocube.plans import engine_queries as q
-from lithocube.plans.fixtures import FILLED, TRAIN, state
+from lithocube.plans.fixtures import FILLED, NZ, TRAIN, state
 from lithocube.plans.registry import QUERIES
 
 
@@ -29,3 +29,8 @@ def test_parameter_search_takes_all_known_points(spark, data, monkeypatch):
     points = seen(monkeypatch, "parameter_search")
     QUERIES["h1_parameter_search"](spark, data)
     assert points[0].count() == known(spark, data)
+
+
+def test_explained_variance_of_all_samples(spark, data):
+    e = QUERIES["a25_explained_variance"](spark, data).orderBy("component").collect()
+    assert len(e) == NZ and abs(e[-1]["cumulative"] - 1) < 1e-9
