@@ -12,6 +12,8 @@ from lithocube.session import cut, small
 
 #: Steps of a block of grid and of the margin it sees of its neighbours. A block is what one numpy call works on.
 BLOCK, MARGIN = 256, 32
+#: Rounds after which a filling that still moves is an error. Long holes take up to some thousands.
+MOST_ROUNDS = 100_000
 
 
 def _project(x: np.ndarray, lags: int, rank: int) -> np.ndarray:
@@ -28,8 +30,9 @@ def _project(x: np.ndarray, lags: int, rank: int) -> np.ndarray:
     return out / np.minimum(np.minimum(at + 1, n - at), min(lags, k))
 
 
-def ssa_fill(x: np.ndarray, lags: int = 12, rank: int = 2, most: int = 30, tol: float = 1e-3) -> np.ndarray:
-    """Rows of `x` with NaN replaced: straight lines first, then truncated reconstructions until nothing moves.
+def ssa_fill(x: np.ndarray, lags: int = 12, rank: int = 2, most: int = MOST_ROUNDS, tol: float = 1e-3) -> np.ndarray:
+    """Rows of `x` with NaN replaced: straight lines first, then truncated reconstructions until no value of the row
+    moves by more than `tol` of the scatter of its known values. More than `most` rounds are an error.
 
     Rows need at least one number. Known values are never changed. Series shorter than 6 keep the straight lines.
     """
@@ -54,6 +57,8 @@ def ssa_fill(x: np.ndarray, lags: int = 12, rank: int = 2, most: int = 30, tol:
         moved = np.where(g, np.abs(new - z), 0.0).max(axis=1)
         y[live] = np.where(g, new, z)
         live = live[moved > tol * scale[live]]
+    if live.size:
+        raise ValueError(f"{live.size} series still move after {most} rounds of filling")
     return y
 
 
@@ -97,7 +102,9 @@ def regular_grid(
     Result: run_id, bucket = floor(depth / n_meters), n_readings, `value`, filled. A step with readings holds the mean
     of them, a reading counting once per log_id; a step without is filled by iterative singular-spectrum imputation
     on blocks of 256 steps that see 32 steps of their neighbours; a block wholly inside a hole takes the straight line
-    between the readings on both sides. Filled values stay within what the block has measured.
+    between the readings on both sides. Filled values stay within what the block has measured. Filling goes on until
+    no value of a block moves by more than a thousandth of its scatter, however many rounds that takes; one that has
+    not come to rest after MOST_ROUNDS is an error.
     - Readings with null depth, missing value (see is_missing), null run_id, or a campaign without a positive step
       take no part. Wrong but measured values do, clipped to 0..100 in the means only where they exceed it.
     - A run on several campaigns' steps is one series per step size; its rows then repeat by step only if the sizes

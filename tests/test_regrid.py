@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from conftest import rows
 
-from lithocube.operators.regrid import regular_grid, ssa_fill
+from lithocube.operators.regrid import _project, regular_grid, ssa_fill
 
 SCHEMA = "log_id long, run_id long, campaign string, depth double, density_por double, bucket string, value int"
 STEPS = "campaign string, n_meters int"
@@ -66,3 +67,17 @@ def test_blocks_do_not_change_what_is_filled(spark):
 def test_empty(spark):
     assert grid(spark, []).count() == 0
     assert grid(spark, [(1, 1, "a", 1.0, 2.0)], ()).count() == 0
+
+
+def test_ssa_goes_on_until_nothing_moves():
+    rng = np.random.default_rng(0)
+    x = 20 + np.cumsum(rng.normal(0, 0.5, (12, 320)), axis=1)
+    gap = np.zeros(x.shape, bool)
+    gap[:, 100:151] = True
+    x[gap] = np.nan
+    y, m = ssa_fill(x), np.nanmean(x, axis=1, keepdims=True)
+    again = np.clip(_project(y - m, 12, 2) + m, np.nanmin(x, axis=1, keepdims=True), np.nanmax(x, axis=1, keepdims=True))
+    moved = np.abs(again - y)[gap].reshape(12, -1).max(axis=1)
+    assert (moved <= 1.01e-3 * np.nanstd(x, axis=1)).all()
+    with pytest.raises(ValueError):
+        ssa_fill(x, most=30)
