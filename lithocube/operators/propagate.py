@@ -15,16 +15,18 @@ from lithocube.operators.cube import COLUMNS
 from lithocube.operators.geometry import Well, frontier
 from lithocube.operators.lookup import with_features
 from lithocube.operators.predicates import PREDICTION
+from lithocube.operators.sampling import sampled
 from lithocube.operators.selection import Chosen
+from lithocube.plans.config import Sampling
 from lithocube.schema import State
 
-#: Most training points that one model is fitted on; the sampler's quota keeps a run below it.
+#: Most training points that one model is fitted on. Only a run's `max_points` keeps it below; without it, more are an error.
 MAX_TRAIN = 2_000_000
 
 
 def fit(points: DataFrame, names: Sequence[str], p: gbdt.Params = gbdt.Params(), most: int = MAX_TRAIN) -> gbdt.Model:
-    """One model from the points' features. Training data are a bounded sample by the run's own settings (max_points);
-    more than `most` rows are an error, never cut off silently."""
+    """One model from all `points`' features. More than `most` rows are an error, never cut off silently; a run's own
+    settings (max_points) may sample them before."""
     rows = points.where(F.col("phi").isNotNull()).select("x", "y", "z", "phi", *names)
     if rows.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} training points; sample them first")
@@ -47,16 +49,17 @@ def predict(points: DataFrame, names: Sequence[str], model: gbdt.Model, name: st
 
 def propagate_ring(
     cube: DataFrame, traces: DataFrame, wells: Sequence[Well], test_wells: Sequence[int], chosen: Sequence[Chosen], shape: tuple[int, int, int],
-    ring: int, p: gbdt.Params = gbdt.Params(), state: int = State.EMPTY,
+    ring: int, p: gbdt.Params = gbdt.Params(), state: int = State.EMPTY, sample: Sampling | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The points of ring `ring` with predicted phi (columns of the cube), and the errors on the test wells.
 
-    Only training wells spread; known points of rings before this one train the model.
+    Only training wells spread; known points of rings before this one train the model: all of them, or those that the
+    quotas of `sample` leave if its max_points is above 0.
     """
     names = [f"f{i}" for i in range(len(chosen))]
     train_wells = [w for w in wells if w[0] not in test_wells]
     known = PREDICTION.without_wells(list(test_wells)).of(cube).where(F.col("ring") < max(ring, 1))
-    model = fit(with_features(known, traces, chosen, shape), names, p)
+    model = fit(with_features(sampled(known, sample) if sample else known, traces, chosen, shape), names, p)
     next_ring = with_features(frontier(cube, train_wells, ring, state), traces, chosen, shape)
     filled = predict(next_ring, names, model).withColumn("real", F.lit(int(State.PROPAGATED))).select(*COLUMNS)
     test = PREDICTION.wells(list(test_wells)).at_ring(0).of(cube) if test_wells else cube.limit(0)
@@ -66,13 +69,13 @@ def propagate_ring(
 
 def replay(
     cube: DataFrame, traces: DataFrame, wells: Sequence[Well], test_wells: Sequence[int], sets: Sequence[Sequence[Chosen]], shape: tuple[int, int, int],
-    start: int = 1, p: gbdt.Params = gbdt.Params(),
+    start: int = 1, p: gbdt.Params = gbdt.Params(), sample: Sampling | None = None,
 ) -> DataFrame:
-    """The cube after one ring per feature set, for known sets; lineage is cut after every ring."""
+    """The cube after one ring per feature set, for known sets, trained as in propagate_ring; lineage is cut after every ring."""
     from lithocube.session import cut
 
     for i, chosen in enumerate(sets):
-        ring, _ = propagate_ring(cube, traces, wells, test_wells, chosen, shape, start + i, p)
+        ring, _ = propagate_ring(cube, traces, wells, test_wells, chosen, shape, start + i, p, sample=sample)
         ring = cut(ring)
         cube = cut(cube.join(ring.select("x", "y", "z"), ["x", "y", "z"], "left_anti").select(*COLUMNS).unionByName(ring))
     return cube

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithocube.functions.scalars import beta_density
+from lithocube.plans.config import Sampling
 from lithocube.session import small
 
 
@@ -72,6 +73,13 @@ def sample_points(points: DataFrame, max_points: int, seed: int = 42, key: tuple
     return p.withColumn("_rn", F.row_number().over(w)).where("_rn <= quota").drop("_rn", "quota", "_key")
 
 
+def sampled(points: DataFrame, s: Sampling) -> DataFrame:
+    """`points`, or a sample of them if the settings' max_points is above 0."""
+    if s.max_points <= 0:
+        return points
+    return sample_points(points, s.max_points, s.seed, alpha=s.alpha, beta=s.beta, by_ring=(s.alpha, s.beta) != (1.0, 1.0))
+
+
 def last_rings(points: DataFrame, it: int, layers: int) -> DataFrame:
     """Points of the last `layers` rings before iteration `it`; of all rings before it if `layers` is not above 0."""
     low = max(it - layers, 0) if layers > 0 else 0

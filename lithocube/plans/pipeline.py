@@ -16,7 +16,7 @@ from lithocube.operators.cube import COLUMNS, summary, write_ring
 from lithocube.operators.lookup import candidates
 from lithocube.operators.predicates import SELECTION
 from lithocube.operators.propagate import propagate_ring
-from lithocube.operators.sampling import last_rings, sample_points
+from lithocube.operators.sampling import last_rings, sampled
 from lithocube.operators.selection import Chosen, forward_selection
 from lithocube.operators.stencil import cube_shape
 from lithocube.plans.config import Config, Selection, load
@@ -36,7 +36,8 @@ def run(cube: DataFrame, traces: DataFrame, c: Config, path: str | None = None)
     """The cube after the run's iterations, and what each did.
 
     With `path` every ring is written there as a partition, so a run goes on from the last ring written. Selection
-    uses the training wells' points of the rings before (of the last so many, and a sample, by the settings); an
+    uses the training wells' points of the rings before (of the last so many, and a sample, by the settings); the ring's
+    model all known points, or a sample if the settings have max_points; an
     iteration that can choose nothing, or fill nothing, ends the run.
     """
     shape = cube_shape(traces)
@@ -49,8 +50,7 @@ def run(cube: DataFrame, traces: DataFrame, c: Config, path: str | None = None)
             break
         start = time.time()
         known = last_rings(SELECTION.wells(ids).of(cube), it, c.sampling.layers)
-        if c.sampling.max_points > 0:
-            known = sample_points(known, c.sampling.max_points, c.sampling.seed, alpha=c.sampling.alpha, beta=c.sampling.beta, by_ring=(c.sampling.alpha, c.sampling.beta) != (1.0, 1.0))
+        known = sampled(known, c.sampling)
         if c.feature_selection is Selection.FORWARD:
             chosen, _ = forward_selection(
                 cut(known), traces, c.window, shape, c.max_num_features, c.params, c.first_candidates, c.only_z, c.n_training_chunks, c.first_features
@@ -62,7 +62,7 @@ def run(cube: DataFrame, traces: DataFrame, c: Config, path: str | None = None)
             break
         errors, n = [], 0
         for ring in range((it - 1) * c.layers_to_predict + 1, it * c.layers_to_predict + 1):
-            filled, metrics = propagate_ring(cube, traces, c.wells, aside, chosen, shape, ring, c.params)
+            filled, metrics = propagate_ring(cube, traces, c.wells, aside, chosen, shape, ring, c.params, sample=c.sampling)
             filled = cut(filled)
             n += filled.count()
             errors = [r.asDict() for r in metrics.collect()]

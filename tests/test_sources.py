@@ -100,6 +100,26 @@ def test_whole_run_and_resume(spark, tmp_path):
     assert run(done, t, c)[1][0].points > 0
 
 
+def test_ring_model_is_trained_on_the_sample(spark, monkeypatch):
+    from lithocube.operators import cube as cubes
+    from lithocube.operators import gbdt, propagate
+    from lithocube.operators.geometry import Box
+
+    wells = [(0, 2, 7), (1, 4, 2), (2, 7, 6)]
+    p = spark.createDataFrame([(x, y, z, float(x + z), w) for w, x, y in wells for z in range(20)], "x int, y int, z int, phi double, well_id int")
+    cube = cubes.overlay(cubes.empty_cube(spark, Box(9, 8, 20)), p)
+    t = spark.createDataFrame([("A", x, y, [float(x + z) for z in range(20)]) for x in range(9) for y in range(8)], "feature string, x int, y int, amp array<double>")
+    inner, sizes = propagate.fit, []
+    monkeypatch.setattr(propagate, "fit", lambda points, *a: sizes.append(points.count()) or inner(points, *a, most=15))
+    c = config.Config(wells=wells, window=0, num_its=1, params=gbdt.Params(rounds=5, min_data=1))
+    c.sampling.max_points = 12
+    assert run(cube, t, c)[1][0].points > 0 and sizes == [12]
+    c.sampling.max_points = -1
+    with pytest.raises(ValueError):
+        run(cube, t, c)
+    assert sizes == [12, 60]
+
+
 def test_following_a_log(spark, tmp_path):
     folder = tmp_path / "logs"
     folder.mkdir()
