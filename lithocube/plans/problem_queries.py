@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithocube.operators.loglines import parse_entries, stated
+from lithocube.operators.loglines import mined_templates, parse_entries, stated
 from lithocube.operators.missing import CODES, FIELDS, filled_cells, impute_chained
 from lithocube.operators.near import inside_pairs, near_pairs
 from lithocube.operators.regrid import regular_grid
@@ -79,7 +79,27 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near.unionAll(inside_pairs(wells, areas).select(F.lit("inside"), "a_id", "b_id"))
 
 
-@query("p6_found")
+#: Entries and their statements line by line, by regular expressions of their own.
+_ENTRIES = r"""l AS (SELECT log_file, line_no, max(raw_line) AS raw FROM run_log_lines WHERE line_no IS NOT NULL GROUP BY ALL),
+  t AS (SELECT log_file, line_no, rtrim(regexp_replace(translate(raw, chr(9) || chr(160), '  '), '\x1b\[[0-9;]*[A-Za-z]|[\x00-\x08\x0b-\x1f\x7f\x{200b}\x{feff}]', '', 'g')) AS txt FROM l),
+  s AS (SELECT log_file, line_no, regexp_extract(txt, '^\[\d+,\d+\]<\w+>:') AS stream, regexp_replace(txt, '^\[\d+,\d+\]<\w+>:', '') AS body FROM t),
+  h AS (SELECT *, regexp_matches(body, '^(?:(?:=== *|ts=)?(?:\d{4}-\d\d-\d\d[ T]\d\d:|\d{4}\.\d\d\.\d\d |\d\d/\d\d/\d{4} |[A-Z][a-z]{2} +\d{1,2} \d\d:)|<\d>\d{9}|\{)') AS head
+    FROM s WHERE trim(body) <> ''),
+  e AS (SELECT *, coalesce(max(CASE WHEN head THEN line_no END) OVER (PARTITION BY log_file, stream ORDER BY line_no), line_no) AS first_line FROM h),
+  f AS (SELECT log_file, stream, first_line, line_no,
+      try_cast(nullif(regexp_extract(body, '(?i)(?:^|[^\w])(?:iteration|itera..o|iter|it)(?:[\s:=#"().]|nº)*(\d+)(?:[.,]?$|[.,]?[^\w.,])', 1), '') AS INTEGER) AS it,
+      regexp_matches(body, '(?i)\brmse"?\s*[:=]?\s*[+-]?\d') AS r,
+      regexp_matches(body, '(?i)\b(?:took|tempo|total time\(s\)|seconds"?)\s*[:=]?\s*\d|\d\s*sec\s+elapsed') AS sec,
+      regexp_matches(body, '(?i)\b(?:features|chosen|atributos)\b') AS listed,
+      regexp_matches(body, '\w_[\w-]+(?:/-?\d+,-?\d+,-?\d|:-?\d+:-?\d+:-?\d|\[-?\d+ -?\d+ -?\d| \(-?\d+ -?\d+ -?\d)|\(''[\w-]+'', -?\d+, -?\d+, -?\d') AS feat FROM e)"""
+
+
+@query(
+    "p6_found",
+    f"""WITH {_ENTRIES} SELECT log_file, CAST(first_line AS INTEGER) AS first_line, CAST(max(line_no) AS INTEGER) AS last_line, arg_min(it, line_no) AS iteration
+    FROM f GROUP BY log_file, stream, first_line
+    HAVING arg_min(it, line_no) IS NOT NULL AND (bool_or(r) OR bool_or(sec) OR coalesce(max(CASE WHEN feat THEN line_no END) >= min(CASE WHEN listed THEN line_no END), false))""",
+)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return stated(p6_entries(spark, d)).select("log_file", "first_line", "last_line", "iteration")
 
@@ -87,3 +107,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p6_entries")
 def p6_entries(spark: SparkSession, d: str) -> DataFrame:
     return parse_entries(read(spark, d, "run_log_lines"))
+
+
+@query("p6_templates")
+def p6_templates(spark: SparkSession, d: str) -> DataFrame:
+    return mined_templates(read(spark, d, "run_log_lines"))

@@ -1,6 +1,6 @@
 from conftest import rows
 
-from lithocube.operators.loglines import parse_entries, stated
+from lithocube.operators.loglines import mined_templates, parse_entries, stated
 
 SCHEMA = "log_file string, line_no int, raw_line string, stamp string, block int"
 
@@ -87,3 +87,21 @@ def test_empty(spark):
 def test_given_table_has_no_entry_without_stamp(spark, data):
     e = parse_entries(spark.read.parquet(f"{data}/run_log_lines.parquet"))
     assert e.where("stamp is null or component is null or message is null").count() == 0
+
+
+def test_mining_decides(spark):
+    e = {r.first_line: r for r in parse_entries(frame(spark, LINES), least=1_000).collect()}
+    # Without constants only labels with an equals sign or a colon name values, and levels written out are known.
+    assert [e[k].iteration for k in (3, 8, 9, 12, 14, 24, 25)] == [4, None, None, None, 9, None, 11]
+    assert e[12].seconds is None and e[24].level is None and e[25].rmse == 3.5 and e[8].features is None
+    often = {r.way: r.lines for r in mined_templates(frame(spark, LINES), least=1_000).groupBy("way").agg({"lines": "sum"}).withColumnRenamed("sum(lines)", "lines").collect()}
+    assert often["fallback"] > 20
+    assert mined_templates(frame(spark, LINES)).where("way = 'fallback'").count() == 0
+    assert mined_templates(frame(spark, [])).count() == 0
+
+
+def test_numbers_that_are_no_iteration(spark):
+    lines = ["2031-01-01 00:00:00,000 INFO a - loaded before the first iteration - 28.2 sec elapsed", "\x1b[32m2031-01-01 00:00:01,000\x1b[0m \x1b[31mERROR\x1b[0m  worker3 - iteration 4: took 2 s"]
+    e = parse_entries(frame(spark, lines)).orderBy("first_line").collect()
+    assert [(r.iteration, r.seconds, r.level, r.component) for r in e] == [(None, 28.2, "INFO", "a"), (4, 2.0, "ERROR", "worker3")]
+    assert e[1].message == "iteration 4: took 2 s"
