@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from lithocube.llm.lookalikes import form_sql, look_alike_pairs, one_form
 from lithocube.llm.mixing import mix_sources
 from lithocube.llm.packing import fill_report, pack_documents
 from lithocube.llm.splits import component_table, point_groups, split_points
 from lithocube.plans.registry import query
-from lithocube.session import read
+from lithocube.session import cut, read
 
 
-@query(
-    "p5_found",
-    """WITH RECURSIVE p AS (SELECT DISTINCT point_id, round(x) AS sx, round(y) AS sy FROM por_test
+_GROUPS = """p AS (SELECT DISTINCT point_id, CAST(round(x) AS BIGINT) AS sx, CAST(round(y) AS BIGINT) AS sy FROM por_test
          WHERE point_id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)),
-      spots AS (SELECT sx, sy, min(point_id) AS node FROM p GROUP BY sx, sy),
-      links AS (SELECT DISTINCT node, test_area FROM spots JOIN wells_info_completed ON x_coord = sx AND y_coord = sy
+      w AS (SELECT DISTINCT CAST(x_coord AS BIGINT) AS sx, CAST(y_coord AS BIGINT) AS sy, test_area FROM wells_info_completed
          WHERE x_coord >= 0 AND y_coord >= 0 AND test_area IS NOT NULL AND NOT isnan(test_area)),
-      stars AS (SELECT test_area, min(node) AS least FROM links GROUP BY test_area),
-      edges AS (SELECT DISTINCT node AS a, least AS b FROM links JOIN stars USING (test_area) WHERE node <> least),
-      both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
-      reach AS (SELECT node AS a, node AS b FROM spots UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
-      named AS (SELECT a AS node, min(b) AS group_id FROM reach GROUP BY a)
-    SELECT DISTINCT group_id, point_id FROM p JOIN spots USING (sx, sy) JOIN named USING (node) WHERE group_id <> point_id""",
-)
+      spots AS (SELECT sx, sy FROM p UNION SELECT sx, sy FROM w),
+      stars AS (SELECT test_area, min((sx, sy)) AS least FROM w GROUP BY test_area),
+      many AS (SELECT point_id, min((sx, sy)) AS least FROM p GROUP BY point_id HAVING count(*) > 1),
+      edges AS (SELECT DISTINCT (sx, sy) AS a, least AS b FROM w JOIN stars USING (test_area) UNION SELECT (sx, sy), least FROM p JOIN many USING (point_id)),
+      both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+      reach AS (SELECT (sx, sy) AS a, (sx, sy) AS b FROM spots UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+      named AS (SELECT a AS spot, min(point_id) AS group_id FROM reach JOIN p ON (p.sx, p.sy) = b GROUP BY a),
+      linked AS (SELECT DISTINCT group_id, point_id FROM p JOIN named ON spot = (sx, sy)),
+      everyone AS (SELECT group_id, point_id FROM linked UNION
+         SELECT point_id, point_id FROM por_test WHERE point_id IS NOT NULL AND point_id NOT IN (SELECT point_id FROM p))"""
+
+
+@query("p5_found", f"WITH RECURSIVE {_GROUPS} SELECT group_id, point_id FROM linked WHERE group_id <> point_id")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     points = read(spark, d, "por_test")
     return point_groups(points, component_table(points, read(spark, d, "wells_info_completed"))).where("group_id <> point_id")
@@ -36,6 +40,35 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return split_points(read(spark, d, "por_test"), read(spark, d, "wells_info_completed"), read(spark, d, "split_targets"))[0]
 
 
+@query("p5_components", f"WITH RECURSIVE {_GROUPS} SELECT group_id AS component, count(*) AS points, 1 AS splits, 'new' AS state FROM everyone GROUP BY group_id")
+def p5_components(spark: SparkSession, d: str) -> DataFrame:
+    """Every component with its points and the number of splits that they are in."""
+    s = p5_splits(spark, d)
+    return s.groupBy("component").agg(F.count(F.lit(1)).alias("points"), F.countDistinct("split").cast("int").alias("splits"), F.max("state").alias("state"))
+
+
+@query("p5_shares", """SELECT split_name, true AS near_target FROM split_targets WHERE target_share > 0""")
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each split holds its share of all points to within the largest component or a hundredth."""
+    s = cut(p5_splits(spark, d))
+    most = s.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"))
+    have = s.groupBy(F.col("split").alias("split_name")).agg(F.count(F.lit(1)).alias("have"))
+    t = read(spark, d, "split_targets").where("target_share > 0").join(have, "split_name", "left").crossJoin(F.broadcast(s.agg(F.count(F.lit(1)).alias("total")))).crossJoin(F.broadcast(most))
+    whole = F.sum("target_share").over(Window.partitionBy())
+    t = t.withColumn("want", F.col("target_share") / whole * F.col("total"))
+    return t.select("split_name", (F.abs(F.coalesce("have", F.lit(0)) - F.col("want")) <= F.greatest(F.col("most"), F.col("total") * 0.01)).alias("near_target"))
+
+
+@query("p5_again", f"WITH RECURSIVE {_GROUPS} SELECT group_id AS component, point_id, true AS same_split, 'kept' AS state FROM everyone")
+def p5_again(spark: SparkSession, d: str) -> DataFrame:
+    """A second call over the persisted components: every point keeps its component and split."""
+    points, wells, targets = read(spark, d, "por_test"), read(spark, d, "wells_info_completed"), read(spark, d, "split_targets")
+    first, table = split_points(points, wells, targets)
+    second, _ = split_points(points, wells, targets, table)
+    was = first.select("point_id", F.col("split").alias("was"))
+    return second.join(was, "point_id").select("component", "point_id", (F.col("split") == F.col("was")).alias("same_split"), "state")
+
+
 @query("p7_packed")
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(read(spark, d, "documents"), read(spark, d, "pack_sizes"))

@@ -17,39 +17,58 @@ def _spot(x: str, y: str) -> list[Column]:
     return [F.when(ok, F.round(F.col(c).cast("double")).cast("long")).alias(s) for c, s in ((x, "sx"), (y, "sy"))]
 
 
+def _placed(points: DataFrame) -> DataFrame:
+    return points.select("point_id", *_spot("x", "y")).where("point_id is not null and sx is not null").distinct()
+
+
 def component_table(points: DataFrame, wells: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """sx, sy, component, n_points, split: the spots of all points, those of linked spots with one component.
 
-    Points (point_id, x, y) on one spot, x and y rounded to whole units, are linked; so are points on spots of wells
-    (x_coord, y_coord) with one test_area. Links chain. A component is named by its smallest point_id.
+    Points (point_id, x, y) on one spot, x and y rounded to whole units, are linked; so are the spots of wells
+    (x_coord, y_coord) with one test_area, and so all spots of one point_id. Links chain, also over spots of wells
+    on which no point lies. A component is named by its smallest point_id.
     `existing` is the table as persisted before: its components stay together, keep their split, and grow or merge by
     the new links; `split` lists the splits that the merged components had (empty: new; two: a conflict).
     Labels are merged by pointer jumping: each round takes the smallest label over every link and then the label's own
     label, so a chain is halved each time; labels are written out every round.
-    - Points with a null or NaN coordinate or null point_id are on no spot. Wells with an unknown coordinate (null or
-      negative) or a null or NaN test_area link nothing; nor do spots without points. Repeated rows count once.
+    - Points none of whose rows has both coordinates are on no spot: each is a component of its own, in a row with sx
+      and sy null; once such a point gets a place, its split goes with it. Null point_ids are nothing.
+    - Wells with an unknown coordinate (null, negative or beyond 2**31) or a null or NaN test_area link nothing; spots
+      without points are in no row. Repeated rows count once. point_ids are below 2**62.
     """
-    p = points.select("point_id", *_spot("x", "y")).where("point_id is not null and sx is not null").distinct()
+    none = F.array().cast("array<string>")
+    p = cut(_placed(points))
     spots = p.groupBy("sx", "sy").agg(F.min("point_id").alias("first"), F.count(F.lit(1)).alias("n_points"))
+    lone = points.where("point_id is not null").select("point_id").distinct().join(p.select("point_id"), "point_id", "left_anti")
+    lone = lone.select("point_id", none.alias("split"))
     if existing is not None:
-        spots = spots.join(existing.select("sx", "sy", F.col("component").alias("old"), F.col("n_points").alias("n_old"), "split"), ["sx", "sy"], "full")
+        was_lone = existing.where("sx is null").select(F.col("component").alias("point_id"), "split")
+        came = p.join(was_lone, "point_id").groupBy("sx", "sy").agg(F.flatten(F.collect_set("split")).alias("brought"))
+        old = existing.where("sx is not null").select("sx", "sy", F.col("component").alias("old"), F.col("n_points").alias("n_old"), "split")
+        spots = spots.join(old, ["sx", "sy"], "full").join(came, ["sx", "sy"], "left")
         spots = spots.withColumn("n_points", F.greatest(F.coalesce("n_points", F.lit(0)), F.coalesce("n_old", F.lit(0))))
-        spots = spots.withColumn("first", F.least("first", "old")).drop("n_old")
+        spots = spots.withColumn("first", F.least("first", "old")).withColumn("split", F.array_distinct(F.concat(F.coalesce("split", none), F.coalesce("brought", none))))
+        spots = spots.drop("n_old", "brought")
+        lone = lone.join(was_lone.select("point_id"), "point_id", "left_anti").unionByName(was_lone.join(p.select("point_id"), "point_id", "left_anti"))
     else:
-        spots = spots.withColumn("old", F.lit(None).cast("long")).withColumn("split", F.array().cast("array<string>"))
-    spots = cut(spots.withColumn("split", F.coalesce("split", F.array().cast("array<string>"))))
+        spots = spots.withColumn("old", F.lit(None).cast("long")).withColumn("split", none)
+    spots = cut(spots)
 
-    known = "x_coord >= 0 and y_coord >= 0 and test_area is not null and not isnan(test_area)"
+    # Nodes: spots with points by their first point (spots of one first point are one node), empty spots above all points.
+    known = "x_coord >= 0 and y_coord >= 0 and x_coord < 2147483648 and y_coord < 2147483648 and test_area is not null and not isnan(test_area)"
     w = wells.where(known).select(*_spot("x_coord", "y_coord"), F.col("test_area").cast("double").cast("string").alias("link")).distinct()
-    links = w.join(spots.select("sx", "sy", "first"), ["sx", "sy"]).select("first", F.concat(F.lit("a"), "link").alias("link"))
+    empty = F.lit(1 << 62) + F.shiftleft("sx", 31) + F.col("sy")
+    links = w.join(spots.select("sx", "sy", "first"), ["sx", "sy"], "left").select(F.coalesce("first", empty).alias("node"), F.concat(F.lit("a"), "link").alias("link"))
+    wide = p.groupBy("point_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("point_id")
+    wide = p.join(wide, "point_id").join(spots.select("sx", "sy", "first"), ["sx", "sy"])
+    links = links.unionAll(wide.select("first", F.concat(F.lit("p"), F.col("point_id").cast("string"))))
     if existing is not None:
         links = links.unionAll(spots.where("old is not null").select("first", F.concat(F.lit("c"), F.col("old").cast("string"))))
-    # Spots of one first point (an old component's spots share its name) are one node.
     links = cut(links.distinct())
-    label = cut(links.select(F.col("first").alias("node")).distinct().withColumn("label", F.col("node")))
+    label = cut(links.select("node").distinct().withColumn("label", F.col("node")))
     while True:
-        least = links.join(label, F.col("first") == F.col("node")).groupBy("link").agg(F.min("label").alias("least"))
-        hooked = links.join(least, "link").groupBy(F.col("first").alias("node")).agg(F.min("least").alias("to"))
+        least = links.join(label, "node").groupBy("link").agg(F.min("label").alias("least"))
+        hooked = links.join(least, "link").groupBy("node").agg(F.min("least").alias("to"))
         hooked = cut(hooked.join(label, "node").select("node", F.least("to", "label").alias("to"), "label"))
         up = hooked.select(F.col("node").alias("of"), F.col("to").alias("jump"))
         jumped = hooked.join(up, F.col("to") == F.col("of"), "left").select("node", F.least("to", F.coalesce("jump", "to")).alias("new"), "label")
@@ -60,7 +79,9 @@ def component_table(points: DataFrame, wells: DataFrame, existing: DataFrame | N
             break
     named = spots.join(label, F.col("first") == F.col("node"), "left").withColumn("component", F.coalesce("label", "first"))
     splits = named.groupBy("component").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("split")))).alias("splits"))
-    return named.join(splits, "component").select("sx", "sy", "component", "n_points", F.col("splits").alias("split"))
+    placed = named.join(splits, "component").select("sx", "sy", "component", "n_points", F.col("splits").alias("split"))
+    nowhere = F.lit(None).cast("long")
+    return placed.unionAll(lone.select(nowhere, nowhere, "point_id", F.lit(1).cast("long"), "split"))
 
 
 def assign_splits(table: DataFrame, targets: DataFrame, seed: int = 5) -> DataFrame:
@@ -119,27 +140,21 @@ def assign_splits(table: DataFrame, targets: DataFrame, seed: int = 5) -> DataFr
 
 def point_groups(points: DataFrame, table: DataFrame) -> DataFrame:
     """group_id, point_id: each point with the smallest point_id of its linked group; points on no spot are left out."""
-    p = points.select("point_id", *_spot("x", "y")).where("point_id is not null and sx is not null").distinct()
-    return p.join(table.select("sx", "sy", "component"), ["sx", "sy"]).select(F.col("component").alias("group_id"), "point_id").distinct()
+    return _placed(points).join(table.select("sx", "sy", "component"), ["sx", "sy"]).select(F.col("component").alias("group_id"), "point_id").distinct()
 
 
 def split_points(points: DataFrame, wells: DataFrame, targets: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(point_id, component, split, state) of every point, and the table of components to persist for the next call.
 
-    Points on no spot are components of their own, with component null, placed by a hash of their id. A persisted
+    Points on no spot are components of their own and are placed by what the splits lack, as others are. A persisted
     table holds the split of each of its spots as a list of one; quarantined components keep the list of two.
     """
     table = cut(component_table(points, wells, existing))
     splits = cut(assign_splits(table, targets))
     keep = F.when(F.col("s") == "quarantined", F.col("old")).otherwise(F.array_compact(F.array("new")))
     named = table.withColumnRenamed("split", "old").join(splits.select("component", F.col("split").alias("new"), F.col("state").alias("s")), "component")
-    persist = named.select("sx", "sy", "component", "n_points", keep.alias("split"))
-    linked = point_groups(points, table).join(splits, F.col("group_id") == F.col("component")).select("point_id", "component", "split", "state")
-    lone = points.select("point_id", *_spot("x", "y")).where("sx is null").select("point_id").distinct()
-    shares = [(r[0], r[1]) for r in sorted(settings(targets.where("split_name is not null and target_share > 0").groupBy("split_name").agg(F.max("target_share"))))]
-    u, whole, chosen, upto = (F.pmod(F.xxhash64("point_id"), F.lit(1_000_003)) + 0.5) / 1_000_003, sum(s for _, s in shares) or 1.0, F.lit(None).cast("string"), 1.0
-    for name, s in reversed(shares):
-        chosen = F.when(u < upto + 1e-9, name).otherwise(chosen)
-        upto -= s / whole
-    lone = lone.select("point_id", F.lit(None).cast("long").alias("component"), chosen.alias("split"), F.lit("new").alias("state"))
-    return linked.unionAll(lone), persist
+    persist = cut(named.select("sx", "sy", "component", "n_points", keep.alias("split")))
+    linked = point_groups(points, table)
+    alone = points.where("point_id is not null").select("point_id").distinct().join(table.where("sx is null").select(F.col("component").alias("point_id")), "point_id", "left_semi")
+    linked = linked.unionAll(alone.select(F.col("point_id").alias("group_id"), "point_id"))
+    return linked.join(splits, F.col("group_id") == F.col("component")).select("point_id", "component", "split", "state"), persist

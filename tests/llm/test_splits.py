@@ -29,21 +29,16 @@ def brute(pts, wls):
             a = parent[a]
         return a
 
-    spots = defaultdict(set)
+    placed = set()
     for p, x, y in pts:
         if p is not None and x is not None and y is not None and x == x and y == y:
-            spots[round(x), round(y)].add(p)
-            find(p)
-    areas = defaultdict(set)
+            parent[find(("point", p))] = find(("spot", round(x), round(y)))
+            placed.add(p)
     for x, y, a in wls:
-        if x is not None and y is not None and x >= 0 and y >= 0 and a is not None and a == a and (x, y) in spots:
-            areas[a] |= spots[x, y]
-    for group in [*spots.values(), *areas.values()]:
-        first = min(group)
-        for p in group:
-            a, b = find(first), find(p)
-            parent[max(a, b)] = min(a, b)
-    return sorted((min(q for q in parent if find(q) == find(p)), p) for p in parent)
+        if x is not None and y is not None and x >= 0 and y >= 0 and a is not None and a == a:
+            parent[find(("spot", x, y))] = find(("area", a))
+    root = {p: find(("point", p)) for p in placed}
+    return sorted((min(q for q in placed if root[q] == root[p]), p) for p in placed)
 
 
 def groups(spark, pts, wls, existing=None):
@@ -59,6 +54,36 @@ def test_random_links(spark):
         assert groups(spark, pts, wls) == brute(pts, wls)
 
 
+def test_a_point_on_two_spots_links_them(spark):
+    pts = [(1, 0.0, 0.0), (2, 0.0, 0.0), (2, 5.0, 5.0), (3, 5.0, 5.0), (4, 9.0, 9.0)]
+    assert groups(spark, pts, []) == brute(pts, []) == [(1, 1), (1, 2), (1, 3), (4, 4)]
+    out, _ = split_points(points(spark, pts), wells(spark, []), spark.createDataFrame(SHARES, TARGETS))
+    assert len(out.collect()) == 4 and len({r.split for r in out.where("point_id < 4").collect()}) == 1
+
+
+def test_chain_over_spots_without_points(spark):
+    pts = [(1, 0.0, 0.0), (2, 50.0, 0.0)]
+    wls = [(i + d, 0, float(i)) for i in range(50) for d in (0, 1)]
+    assert groups(spark, pts, wls) == [(1, 1), (1, 2)]
+    assert groups(spark, pts, wls[:60]) == [(1, 1), (2, 2)]
+
+
+def test_points_on_no_spot_keep_their_split(spark):
+    targets = spark.createDataFrame([("a", 0.5), ("b", 0.5)], TARGETS)
+    first, table = split_points(points(spark, [(i, None, 1.0) for i in range(40)] + [(100, 3.0, 3.0)]), wells(spark, []), targets)
+    was = {r.point_id: r.split for r in first.collect()}
+    assert len(was) == 41 and abs(sum(v == "a" for v in was.values()) - 20.5) < 8 and table.where("sx is null").count() == 40
+    now = [(i, float(i), 5.0) for i in range(20)] + [(i, None, None) for i in range(20, 40)] + [(100, 3.0, 3.0), (200, None, None)]
+    second, again = split_points(points(spark, now), wells(spark, []), spark.createDataFrame([("a", 0.9), ("b", 0.1)], TARGETS), table)
+    got = {r.point_id: r for r in second.collect()}
+    assert all(got[i].split == was[i] and got[i].state == "kept" for i in was) and got[200].state == "new"
+    assert again.where("sx is null").count() == 21
+    # Two such points of different splits on one spot are a conflict.
+    i, j = next((a, b) for a in range(40) for b in range(40) if was[a] != was[b])
+    third, _ = split_points(points(spark, [(i, 7.0, 7.0), (j, 7.0, 7.0)]), wells(spark, []), targets, table)
+    assert {(r.split, r.state) for r in third.collect()} == {(None, "quarantined")}
+
+
 def test_long_chain(spark):
     pts = [(100 - i, float(i), 0.0) for i in range(60)]
     wls = [(i + d, 0, float(i)) for i in range(59) for d in (0, 1)]
@@ -69,7 +94,7 @@ def test_unknown_places_and_areas(spark):
     nan = float("nan")
     pts = [(1, 5.0, 5.0), (2, 9.0, 9.0), (3, None, 5.0), (4, nan, 5.0), (None, 5.0, 5.0), (6, 5.4, 4.6), (6, 5.4, 4.6), (7, 20.0, 20.0), (8, 30.0, 30.0)]
     wls = [(5, 5, None), (9, 9, None), (5, 5, nan), (9, 9, nan), (None, 9, 1.0), (20, 20, 2.0), (40, 40, 2.0), (40, 40, 3.0), (30, 30, 3.0)]
-    assert groups(spark, pts, wls) == [(1, 1), (1, 6), (2, 2), (7, 7), (8, 8)]
+    assert groups(spark, pts, wls) == [(1, 1), (1, 6), (2, 2), (7, 7), (7, 8)]
 
 
 def test_shares_and_whole_groups(spark):
