@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithocube.llm.lookalikes import form_sql, look_alike_pairs, one_form
+from lithocube.llm.lookalikes import look_alike_groups, look_alike_pairs, one_form
 from lithocube.llm.mixing import mix_sources
 from lithocube.llm.packing import fill_report, pack_documents
 from lithocube.llm.splits import component_table, point_groups, split_points
@@ -89,16 +91,63 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(read(spark, d, "documents"), read(spark, d, "source_targets"))[1]
 
 
+def _print_sql() -> str:
+    """What a text prints, character by character, from Unicode's names and NFKC: written apart from the operator's own tables."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    letters = {}
+    for script, names in (
+        ("CYRILLIC", {"A": "a", "VE": "B", "IE": "e", "KA": "K", "EM": "M", "EN": "H", "O": "o", "ER": "p", "ES": "c", "TE": "T", "U": "y", "HA": "x", "DZE": "s", "BYELORUSSIAN-UKRAINIAN I": "i", "JE": "j", "SHHA": "h"}),
+        ("GREEK", {"ALPHA": "A", "BETA": "B", "EPSILON": "E", "ZETA": "Z", "ETA": "H", "IOTA": "I", "KAPPA": "K", "MU": "M", "NU": "N", "OMICRON": "o", "RHO": "P", "TAU": "T", "UPSILON": "Y", "CHI": "X"}),
+    ):
+        for name, to in names.items():
+            for case, as_ in (("CAPITAL", to.upper()), ("SMALL", to)):
+                # Small letters print alike only where the Latin one is written small here.
+                if case == "CAPITAL" or to.islower():
+                    letters[unicodedata.lookup(f"{script} {case} LETTER {name}")] = as_
+    letters.pop("\u04ba", None)  # the capital does not look like H
+    table = {}
+    for i in (*range(0xA0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2070), *range(0x2150, 0x2190), 0x3000, *range(0xFB00, 0xFB07), *range(0xFE00, 0xFE10), *range(0xFEFF, 0xFF5F)):
+        c = chr(i)
+        kind = unicodedata.decomposition(c).split(" ")[0]
+        base, *accents = unicodedata.normalize("NFD", c)
+        if kind in ("<wide>", "<compat>", "<noBreak>") and (unicodedata.category(c) in ("Zs", "Nl", "Pd", "Ll", "Lu") or kind == "<wide>" or c == "\u2026"):
+            to = unicodedata.normalize("NFKC", c)
+            table[c] = "-" if to == "\u2010" else to
+        elif unicodedata.category(c) == "Cf" or 0xFE00 <= i < 0xFE10:
+            table[c] = ""
+        elif base in letters:
+            table[c] = unicodedata.normalize("NFC", letters[base] + "".join(accents))
+    table |= letters | {"\u2010": "-", "\u2011": "-", "\u00a0": " ", "\u202f": " ", "\u2007": " ", "\u3000": " "}
+    table = {c: to for c, to in table.items() if unicodedata.category(c) != "Zs" or to == " "}
+    rows = ", ".join(f"({ord(c)}, {quote(to)})" for c, to in sorted(table.items()))
+    return f"""looks(point, prints) AS (VALUES {rows}),
+      texts AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text <> ''),
+      different AS (SELECT doc_id, text FROM texts WHERE regexp_matches(text, '[^\\x00-\\x7f]')),
+      points AS (SELECT doc_id, regexp_extract_all(nfc_normalize(text), '(?s).') AS s FROM different),
+      letters AS (SELECT doc_id, unnest(s) AS l, generate_subscripts(s, 1) AS i FROM points),
+      printed AS (SELECT doc_id, nfc_normalize(string_agg(coalesce(prints, l), '' ORDER BY i)) AS form FROM letters LEFT JOIN looks ON unicode(l) = point GROUP BY doc_id),
+      forms AS (SELECT doc_id, text, coalesce(form, text) AS form FROM texts LEFT JOIN printed USING (doc_id))"""
+
+
 @query(
     "p9_found",
-    f"""WITH f AS (SELECT DISTINCT doc_id, text, {form_sql("text")} AS form FROM documents WHERE doc_id IS NOT NULL AND text <> '')
-    SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b USING (form)
+    f"""WITH {_print_sql()} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM forms a JOIN forms b USING (form)
     WHERE a.doc_id < b.doc_id AND a.text <> b.text AND trim(form) <> ''""",
 )
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alike_pairs(read(spark, d, "documents"))
 
 
-@query("p9_form", f"SELECT doc_id, {form_sql('text')} AS form FROM documents")
+@query(
+    "p9_classes",
+    f"""WITH {_print_sql()}, variants AS (SELECT form, text, min(doc_id) AS variant_id FROM forms WHERE trim(form) <> '' GROUP BY ALL),
+      many AS (SELECT form, min(variant_id) AS class_id FROM variants GROUP BY form HAVING count(*) > 1)
+    SELECT class_id, doc_id, variant_id FROM forms JOIN variants USING (form, text) JOIN many USING (form)""",
+)
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return look_alike_groups(read(spark, d, "documents"))
+
+
+@query("p9_form", f"WITH {_print_sql()} SELECT d.doc_id, CASE WHEN text = '' THEN '' ELSE form END AS form FROM documents d LEFT JOIN (SELECT doc_id, form FROM forms) USING (doc_id)")
 def p9_form(spark: SparkSession, d: str) -> DataFrame:
     return one_form(read(spark, d, "documents")).select("doc_id", "form")

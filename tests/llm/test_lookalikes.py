@@ -28,6 +28,21 @@ def test_translation_tables_fit():
     assert all(unicodedata.category(c) in ("Zs", "Mn", "Cf", "Lo") for c in la.BLANKS + la.INVISIBLE)
 
 
+def test_compatibility_forms_and_rare_letters(spark):
+    pairs = [("𝐇𝐞𝐥𝐥𝐨", "Hello"), ("ｶﾞ", "ガ"), ("￥", "¥"), ("օ", "o"), ("Ꭺ", "A"), ("Ӏ", "I"), ("ν", "v"), ("ɑ", "a"), ("ı", "i"), ("ℓ", "l"), ("−", "-"),
+             ("a\U000e0041b", "ab"), ("a\u180bb", "ab"), ("a\u3164b", "ab"), ("ﻼ", "ﻼ"), ("ﺍ", "ا"), ("x\u0600", "x\u0600"), ("203¹", "203¹"), ("①", "①")]
+    got = {r.doc_id: r.form for r in la.one_form(frame(spark, [a for a, _ in pairs])).collect()}
+    assert [got[i] for i in range(len(pairs))] == [b for _, b in pairs]
+    this, that = la.compatibility()
+    assert len(this) == len(that) == len(set(this)) and len(la.RARE) == len(la.RARE_AS) == len(set(la.RARE))
+
+
+def test_classes_are_one_row_a_document(spark):
+    d = frame(spark, [SAME[0], SAME[1], SAME[0], "alone", OTHERS[0], None])
+    assert {tuple(r) for r in la.look_alike_groups(d.unionAll(d)).collect()} == {(0, 0, 0), (0, 1, 1), (0, 2, 0)}
+    assert la.look_alike_groups(frame(spark, [])).count() == 0
+
+
 def test_same_print_same_form(spark):
     forms = {r.doc_id: r.form for r in la.one_form(frame(spark, SAME + OTHERS)).collect()}
     assert {forms[i] for i in range(len(SAME))} == {SAME[0]}
