@@ -42,7 +42,8 @@ def mix_sources(
     bucket in which the rest is used up is resolved further, four times, until single documents decide. Nothing is
     sorted; larger budgets use a superset of smaller ones.
     Report, one row per source of either table: target_share, share (target scaled to the sources taking part),
-    tokens in the corpus, tokens used, share reached, documents, most uses of a document, max_repeats.
+    tokens in the corpus, tokens used, share reached, documents, most uses of a document, max_repeats, longest document
+    (a share is met to within half of it).
     - Sources without target, with a null share, a share of 0, or without tokens are not used, and the report says so.
     - Null and empty texts have no tokens and are not used. Null source is no source. Repeated doc_ids are decided
       alike. Empty tables give empty results.
@@ -75,7 +76,7 @@ def mix_sources(
     used = mixed.groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens_used"), F.count(F.lit(1)).alias("documents_used"), F.max("uses").alias("most_uses")
     )
-    everything = d.where("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    everything = d.where("source is not null").groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest"))
     asked = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     scaled = b.select("source", "share")
     report = asked.join(everything, "source", "full").join(scaled, "source", "left").join(used, "source", "left")
@@ -84,5 +85,5 @@ def mix_sources(
     return mixed, report.select(
         "source", "target_share", "share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"),
         F.coalesce(F.try_divide("tokens_used", "all_used"), F.lit(0.0)).alias("share_reached"), F.coalesce("documents_used", F.lit(0)).alias("documents_used"),
-        F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "max_repeats",
+        F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "max_repeats", F.coalesce("longest", F.lit(0)).alias("longest"),
     )

@@ -81,6 +81,29 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p7_packed(spark, d), read(spark, d, "pack_sizes"))
 
 
+@query(
+    "p7_rules",
+    """SELECT pack_id, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS documents, 0 AS over_capacity, 0 AS cut_without_need, 0 AS broken, true AS little_room_left
+    FROM pack_sizes WHERE pack_id IS NOT NULL AND capacity_tokens >= 1""",
+)
+def p7_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every capacity: all documents in, none twice, no container too full, no needless cut, over 97 % of the room used."""
+    packs = read(spark, d, "pack_sizes")
+    p = cut(p7_packed(spark, d))
+    loads = p.groupBy("pack_id", "container").agg(F.sum("n_tokens").alias("n")).join(packs, "pack_id")
+    loads = loads.groupBy("pack_id").agg(F.sum((F.col("n") > F.col("capacity_tokens")).cast("int")).cast("int").alias("over_capacity"), F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("containers"))
+    docs = p.groupBy("pack_id", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"), F.max("first_token").alias("last"), F.min(F.struct("first_token", "n_tokens")).alias("head"), F.max(F.struct("first_token", "n_tokens")).alias("tail"))
+    docs = docs.join(packs, "pack_id")
+    broken = (F.col("head.first_token") != 0) | (F.col("tail.first_token") + F.col("tail.n_tokens") != F.col("n")) | (F.col("pieces") != F.ceil(F.col("n") / F.col("capacity_tokens")))
+    docs = docs.groupBy("pack_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum(((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity_tokens"))).cast("int")).cast("int").alias("cut_without_need"),
+        F.sum(broken.cast("int")).cast("int").alias("broken"),
+    )
+    full = F.col("tokens") / F.col("capacity_tokens")
+    both = docs.join(loads, "pack_id").join(packs, "pack_id")
+    return both.select("pack_id", "documents", "over_capacity", "cut_without_need", "broken", ((full / F.col("containers") > 0.97) | (F.col("containers") - full < 4)).alias("little_room_left"))
+
+
 @query("p8_mixture")
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(read(spark, d, "documents"), read(spark, d, "source_targets"))[0]
@@ -91,6 +114,23 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(read(spark, d, "documents"), read(spark, d, "source_targets"))[1]
 
 
+@query(
+    "p8_rules",
+    """WITH t AS (SELECT source, max(target_share) AS share, max(max_repeats) AS r FROM source_targets WHERE source IS NOT NULL AND target_share > 0 AND NOT isnan(target_share) AND max_repeats >= 1 GROUP BY source),
+      s AS (SELECT source, count(*) AS documents FROM documents WHERE text <> '' AND source IS NOT NULL GROUP BY source)
+    SELECT source, round(share / sum(share) OVER (), 9) AS share, true AS repeats_kept, true AS even, true AS share_reached FROM t JOIN s USING (source)""",
+)
+def p8_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Per source of the mixture: no document above the cap, uses of two documents apart by one at most, the share to within half a document."""
+    mixed, report = mix_sources(read(spark, d, "documents"), read(spark, d, "source_targets"))
+    by = mixed.groupBy("source").agg(F.max("uses").alias("most"), F.min("uses").alias("least"))
+    r = report.where("tokens_used > 0").join(by, "source").crossJoin(F.broadcast(report.agg(F.sum("tokens_used").alias("size"))))
+    asked = F.sum(F.col("longest")).over(Window.partitionBy()) / 2
+    # Every source misses its budget by half its longest document at most, and the size is missed by the sum of those.
+    near = F.abs(F.col("share_reached") - F.col("share")) * F.col("size") <= F.col("longest") / 2 + F.col("share") * asked + 1
+    return r.select("source", F.round("share", 9).alias("share"), (F.col("most") <= F.col("max_repeats")).alias("repeats_kept"), (F.col("most") - F.col("least") <= 1).alias("even"), near.alias("share_reached"))
+
+
 def _print_sql() -> str:
     """What a text prints, character by character, from Unicode's names and NFKC: written apart from the operator's own tables."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"

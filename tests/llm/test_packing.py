@@ -28,6 +28,16 @@ def test_best_fit():
     assert [p.put(n) for n in (6, 7, 4, 3, 10, 1)] == [0, 1, 0, 1, 2, 3]
 
 
+def test_containers_are_closed_along_the_curve():
+    p = Packer(10, keep=2)
+    p.walk()
+    assert p.put(6) == 0
+    p.walk()
+    assert p.put(7) == 1
+    p.walk()
+    assert [p.put(3), p.put(4)] == [1, 2]
+
+
 def test_tokens_are_the_vocabulary_s(spark):
     texts = ["The court held.", "", None, "Das Gericht entschied. " * 300, "<|endoftext|>", "​ naïve"]
     got = {r.doc_id: r for r in token_counts(docs(spark, texts), "doc_id", dims=3).collect()}
@@ -79,6 +89,18 @@ def test_neighbours_share_containers(spark):
     assert sum(len(k) == 1 for k in kinds.values()) > 0.5 * len(kinds)
 
 
+def test_report_counts_documents_and_distance(spark):
+    texts = ["court " * 2500, "ruling " * 30, "", "appeal " * 40]
+    packs = spark.createDataFrame([(1, 1000)], PACKS)
+    r = fill_report(pack_documents(docs(spark, texts), packs), packs).first()
+    assert r.documents == 3 and r.cut == 1 and r.containers == 3
+    mixed = ["the court dismissed the appeal " * 3 if i % 2 else "суд отклонил жалобу " * 3 for i in range(3000)]
+    packs = spark.createDataFrame([(1, 256)], PACKS)
+    near = fill_report(pack_documents(docs(spark, mixed), packs, stretch=100), packs).first()
+    anywhere = fill_report(pack_documents(docs(spark, mixed), packs, stretch=100_000, keep=0), packs).first()
+    assert near.used > 0.95 and near.apart < 0.5 and near.apart <= anywhere.apart + 1e-9
+
+
 def test_empty(spark):
     packs = spark.createDataFrame([(1, 10)], PACKS)
     assert pack_documents(docs(spark, []), packs).count() == 0
