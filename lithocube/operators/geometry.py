@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lithocube.functions.scalars import ring_distance
 from lithocube.schema import State
+from lithocube.session import small
 
 #: (well_id, x, y)
 Well = tuple[int, int, int]
@@ -175,13 +176,20 @@ def extents(wells: DataFrame, box: Box, it: Column) -> DataFrame:
 
 
 def overlaps(squares: DataFrame, box: Box, by: tuple[str, ...] = ()) -> DataFrame:
-    """a, b (a < b) and the points that both wells' squares (see extents) cover; only pairs that overlap, and none at
-    iteration 0. `by`: columns that both sides share, such as the iteration."""
-    side = lambda s: squares.select(*by, *[F.col(c).alias(f"{s}_{c}") for c in ("well_id", "x0", "x1", "y0", "y1")])
-    a, b = side("a"), side("b")
-    w = F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0") + 1
-    h = F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0") + 1
-    meet = (F.col("a_well_id") < F.col("b_well_id")) & (w > 0) & (h > 0)
-    j = a.join(b, list(by)).where(meet) if by else a.join(b, meet)
-    j = j.where((F.col("a_x0") < F.col("a_x1")) | (F.col("a_y0") < F.col("a_y1")))
-    return j.select(*by, F.col("a_well_id").alias("a"), F.col("b_well_id").alias("b"), (w * h * box.nz).alias("points"))
+    """a, b (a < b), width, height and points that both wells' squares (see extents) cover; only pairs that overlap,
+    and none at iteration 0. `by`: columns that both sides share, such as the iteration.
+
+    Squares meet in the cells of a grid as wide as the widest of them (of their `by`), so each lies in at most four
+    cells; a pair is kept in the cell that holds the overlap's first corner.
+    """
+    own = squares.where("x0 < x1 or y0 < y1").select(*by, "well_id", "x0", "x1", "y0", "y1")
+    side = F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 1).alias("_side")
+    sized = own.join(small(own.groupBy(*by).agg(side)), list(by)) if by else own.join(F.broadcast(own.agg(side)))  # one row
+    cell = lambda c: F.floor(F.col(c) / F.col("_side"))
+    sized = sized.withColumn("_cx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("_cy", F.explode(F.sequence(cell("y0"), cell("y1"))))
+    end = lambda s: sized.select(*by, "_cx", "_cy", *(["_side"] if s == "a" else []), *[F.col(c).alias(f"{s}_{c}") for c in ("well_id", "x0", "x1", "y0", "y1")])
+    j = end("a").join(end("b"), [*by, "_cx", "_cy"]).where("a_well_id < b_well_id")
+    j = j.withColumns({"_x": F.greatest("a_x0", "b_x0"), "_y": F.greatest("a_y0", "b_y0")})
+    w, h = F.least("a_x1", "b_x1") - F.col("_x") + 1, F.least("a_y1", "b_y1") - F.col("_y") + 1
+    j = j.where((w > 0) & (h > 0) & (cell("_x") == F.col("_cx")) & (cell("_y") == F.col("_cy")))
+    return j.select(*by, F.col("a_well_id").alias("a"), F.col("b_well_id").alias("b"), w.alias("width"), h.alias("height"), (w * h * box.nz).alias("points"))

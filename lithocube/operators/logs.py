@@ -64,20 +64,23 @@ def interpolated(log: DataFrame, keys: Sequence[str], targets: DataFrame, values
     Readings with a null depth or value take no part; several of one depth count as their mean.
     """
     names = list(keys)
-    out = None
-    for v in values:
-        r = log.where(F.col(depth).isNotNull() & F.col(v).isNotNull()).groupBy(*names, depth).agg(F.avg(v).alias("v"))
-        ask = log.select(*names).distinct().join(F.broadcast(targets.select(F.col(depth).alias("_t")).distinct()) if _few(targets) else targets.select(F.col(depth).alias("_t")).distinct())
-        both = r.select(*names, F.col(depth).alias("at"), "v", F.lit(0).alias("ask")).unionAll(ask.select(*names, F.col("_t").alias("at"), F.lit(None).cast("double"), F.lit(1)))
-        w = Window.partitionBy(*names).orderBy("at", "ask")
-        known = F.when(F.col("ask") == 0, F.struct("at", "v"))
-        both = both.withColumn("lo", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        both = both.withColumn("hi", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-        slope = F.try_divide(F.col("hi.v") - F.col("lo.v"), F.col("hi.at") - F.col("lo.at"))
-        value = F.coalesce(F.col("lo.v") + (F.col("at") - F.col("lo.at")) * slope, "lo.v", "hi.v")
-        one = both.where("ask = 1").select(*names, F.col("at").alias(depth), value.alias(v))
-        out = one if out is None else out.join(one, [*names, depth])
-    return out
+    r = log.where(F.col(depth).isNotNull()).groupBy(*names, F.col(depth).alias("at")).agg(*[F.avg(v).alias(v) for v in values])
+    few = targets.select(F.col(depth).alias("_t")).distinct()
+    ask = log.select(*names).distinct().join(F.broadcast(few) if _few(few) else few)
+    both = r.select(*names, "at", *values, F.lit(0).alias("ask")).unionByName(ask.select(*names, F.col("_t").alias("at"), F.lit(1).alias("ask")), allowMissingColumns=True)
+    # Both frames grow from one side: a frame that shrinks is worked out anew for every row.
+    up = Window.partitionBy(*names).orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*names).orderBy(F.desc("at"), "ask").rowsBetween(Window.unboundedPreceding, 0)
+    known = {v: F.when((F.col("ask") == 0) & F.col(v).isNotNull(), F.struct("at", F.col(v).alias("v"))) for v in values}
+    both = both.withColumns({f"lo_{v}": F.last(known[v], True).over(up) for v in values})
+    both = both.withColumns({f"hi_{v}": F.last(known[v], True).over(down) for v in values})
+
+    def value(v: str) -> Column:
+        lo, hi = (F.col(f"{s}_{v}") for s in ("lo", "hi"))
+        slope = F.try_divide(hi["v"] - lo["v"], hi["at"] - lo["at"])
+        return F.coalesce(lo["v"] + (F.col("at") - lo["at"]) * slope, lo["v"], hi["v"])
+
+    return both.where("ask = 1").select(*names, F.col("at").alias(depth), *[value(v).alias(v) for v in values])
 
 
 def _few(df: DataFrame, rows: int = 20_000) -> bool:
@@ -101,18 +104,38 @@ def ranges(log: DataFrame, key: str, *columns: str) -> DataFrame:
 
 def wells_in_areas(wells: DataFrame, areas: DataFrame, x: str = "x_coord", y: str = "y_coord") -> DataFrame:
     """Every well with every area that holds it, rims included."""
+    w, a = wells.select("well_id", x, y), areas.select("area", "min_x", "max_x", "min_y", "max_y")
+    found = _in_rectangles(w, a, x, y)
+    return found.select("well_id", "area", (F.col(x) - F.col("min_x")).alias("area_x"), (F.col(y) - F.col("min_y")).alias("area_y"))
+
+
+#: Side of the grid cells over which more rectangles than can be broadcast meet their points.
+CELL = 1024
+
+
+def _in_rectangles(wells: DataFrame, areas: DataFrame, x: str, y: str) -> DataFrame:
+    """Every well with every rectangle that holds it: few rectangles are broadcast, many meet the wells in grid cells."""
     inside = F.col(x).between(F.col("min_x"), F.col("max_x")) & F.col(y).between(F.col("min_y"), F.col("max_y"))
-    a = areas.select("area", "min_x", "max_x", "min_y", "max_y")
-    w = wells.select("well_id", x, y)
-    return w.join(small(a), inside).select("well_id", "area", (F.col(x) - F.col("min_x")).alias("area_x"), (F.col(y) - F.col("min_y")).alias("area_y"))
+    if _few(areas):
+        return wells.join(F.broadcast(areas), inside)
+    cell = lambda c: F.floor(F.col(c) / CELL)
+    w = wells.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_cx": cell(x), "_cy": cell(y)})
+    # Rectangles are cut by the cells that hold a well.
+    there = w.groupBy("_cx").agg(F.min("_cy").alias("_lo"), F.max("_cy").alias("_hi"))
+    span = w.agg(F.min("_cx").alias("_first"), F.max("_cx").alias("_end"))
+    a = areas.where("min_x <= max_x and min_y <= max_y").join(F.broadcast(span)).withColumn("_a", F.greatest(cell("min_x"), F.col("_first"))).withColumn("_b", F.least(cell("max_x"), F.col("_end")))  # one row
+    a = a.where("_a <= _b").withColumn("_cx", F.explode(F.sequence("_a", "_b"))).join(there, "_cx")
+    a = a.withColumn("_a", F.greatest(cell("min_y"), F.col("_lo"))).withColumn("_b", F.least(cell("max_y"), F.col("_hi"))).where("_a <= _b")
+    a = a.withColumn("_cy", F.explode(F.sequence("_a", "_b"))).drop("_a", "_b", "_lo", "_hi", "_first", "_end")
+    return w.join(a, ["_cx", "_cy"]).where(inside).drop("_cx", "_cy")
 
 
 def first_area(wells: DataFrame, areas: DataFrame, x: str = "x_coord", y: str = "y_coord") -> DataFrame:
     """Every well with the first listed area that holds it, null if none does."""
     a = areas.select("area_id", "area", "min_x", "max_x", "min_y", "max_y")
-    inside = F.col(x).between(F.col("min_x"), F.col("max_x")) & F.col(y).between(F.col("min_y"), F.col("max_y"))
-    found = wells.select("well_id", x, y).join(small(a), inside, "left")
-    return found.groupBy("well_id").agg(F.min_by("area", "area_id").alias("area"))
+    found = _in_rectangles(wells.select("well_id", x, y), a, x, y).select("well_id", "area_id", "area")
+    every = wells.select("well_id", F.lit(None).cast("long").alias("area_id"), F.lit(None).cast("string").alias("area"))
+    return found.unionByName(every).groupBy("well_id").agg(F.min_by("area", "area_id").alias("area"))
 
 
 def merge_with_traces(log: DataFrame, traces: DataFrame, resolution: float, start: str = "start", value: str = "amp") -> DataFrame:

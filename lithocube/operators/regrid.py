@@ -134,15 +134,16 @@ def regular_grid(
     blocks = spread.groupBy("run_id", F.col("c.block").alias("block")).agg(
         F.collect_list(F.when(F.col("c.mine"), cell)).alias("own"),
         F.collect_list(F.when(~F.col("c.mine"), cell)).alias("near"),
-        F.max(F.when(F.col("c.mine"), F.struct("bucket", "v"))).alias("last"),
-        F.min(F.when(F.col("c.mine"), F.struct("bucket", "v"))).alias("start"),
     )
     spans = cells.groupBy("run_id").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
     frame = spans.select("run_id", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK), F.floor(F.col("hi") / BLOCK))).alias("block"))
+    # Only the ends of blocks, a few numbers each, are looked at along a run; frames grow from one side, so it is linear.
+    ends = cells.groupBy("run_id", own.alias("block")).agg(F.max(F.struct("bucket", "v")).alias("last"), F.min(F.struct("bucket", "v")).alias("start"))
+    along = Window.partitionBy("run_id").rowsBetween(Window.unboundedPreceding, -1)
+    frame = frame.join(ends, ["run_id", "block"], "left")
+    frame = frame.withColumn("before", F.last("last", ignorenulls=True).over(along.orderBy("block")))
+    frame = cut(frame.withColumn("after", F.last("start", ignorenulls=True).over(along.orderBy(F.desc("block")))).drop("last", "start"))
     blocks = frame.join(blocks, ["run_id", "block"], "left")
-    w = Window.partitionBy("run_id").orderBy("block")
-    blocks = blocks.withColumn("before", F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    blocks = blocks.withColumn("after", F.first("start", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
     margin = lambda b, sign: F.greatest(F.col("lo"), F.least(F.col("hi"), b + sign * MARGIN))
     start, end = F.col("block") * BLOCK, F.col("block") * BLOCK + BLOCK - 1
     every = F.concat(F.coalesce("own", F.array()), F.coalesce("near", F.array()))

@@ -30,20 +30,22 @@ def z_statistic(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
 def bootstrap_z(df: DataFrame, value: str, side: str, key: str, n: int = 10, reps: int = 100, seed: int = 9) -> DataFrame:
     """rep, z of `reps` resamples with replacement of about `n` rows of each side (`side` true or false).
 
-    A row is taken a Poisson number of times per replicate, by a hash of row and replicate: one pass over the data.
+    A row is taken a Poisson number of times in all replicates together, and each time a replicate is drawn for it, by
+    hashes: about n * reps hits come out, and no row is met once a replicate.
     """
-    sizes = df.groupBy(side).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = df.groupBy(side).agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(float(n) * reps) / F.col("_n"))
+    # Rows with more than one hit to expect are drawn for in so many parts, each with at most one to expect.
+    sizes = sizes.withColumn("_parts", F.ceil("_all")).withColumn("_rate", F.col("_all") / F.col("_parts"))
     # Number of hits of a Poisson variable: the steps of its distribution function that lie below a uniform number.
-    rate = F.lit(float(n)) / F.col("_n")
-    terms = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.exp(-F.col("rate") + i * F.log("rate") - F.log(F.factorial(i))))
+    terms = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.exp(-F.col("_rate") + i * F.log("_rate") - F.log(F.factorial(i))))
     grow = lambda a, t: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + t)
-    steps = sizes.withColumn("rate", rate).select(side, F.aggregate(terms, F.array().cast("array<double>"), grow).alias("_cdf"))
-    d = df.where(F.col(value).isNotNull()).join(F.broadcast(steps.limit(3)), side)  # one row a side
-    d = d.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    u = (F.pmod(F.xxhash64(key, "rep", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
-    k = F.size(F.filter("_cdf", lambda c: c <= F.col("u")))
+    steps = sizes.select(side, "_parts", F.aggregate(terms, F.array().cast("array<double>"), grow).alias("_cdf"))
+    d = df.where(F.col(value).isNotNull()).select(key, side, value).join(F.broadcast(steps.limit(3)), side)  # one row a side
+    d = d.withColumn("part", F.explode(F.sequence(F.lit(1), F.col("_parts"))))
+    u = (F.pmod(F.xxhash64(key, "part", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
     d = d.withColumn("u", u).where(F.col("u") >= F.get("_cdf", F.lit(0)))
-    d = d.withColumn("k", k).where("k > 0")
+    d = d.withColumn("hit", F.explode(F.sequence(F.lit(1), F.size(F.filter("_cdf", lambda c: c <= F.col("u"))))))
+    d = d.select(F.pmod(F.xxhash64(key, "part", "hit", F.lit(seed + 1)), F.lit(reps)).cast("int").alias("rep"), side, value, F.lit(1).alias("k"))
     m = d.groupBy("rep", side).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col(value)).alias("s"), F.sum(F.col("k") * F.col(value) ** 2).alias("q"))
     m = m.select("rep", side, "n", (F.col("s") / F.col("n")).alias("m"), F.greatest(F.lit(0.0), F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2).alias("v"))
     one = lambda f, c: F.max(F.when(f, F.col(c)))

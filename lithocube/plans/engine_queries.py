@@ -262,13 +262,22 @@ def j13(spark, d):
     return p.join(w, ["sx", "sy"]).groupBy("point_id").agg(F.min("well_id").alias("well_id"))
 
 
-@query("j16_well_overlaps", """WITH w(w, x, y) AS (VALUES (0, 4, 5), (1, 12, 10), (2, 17, 20), (3, 8, 15))
-  SELECT a.w AS a, b.w AS b, CAST(greatest(0, least(a.x, b.x) + 5 - greatest(a.x, b.x) + 5 + 1) AS INTEGER) AS width FROM w a JOIN w b ON a.w < b.w WHERE abs(a.x - b.x) <= 10 AND abs(a.y - b.y) <= 10""")
+_PLACED = "placed AS (SELECT DISTINCT well_id, x_coord AS x, y_coord AS y FROM wells_info_completed WHERE x_coord >= 0 AND y_coord >= 0), box AS (SELECT max(x) + 1 AS nx, max(y) + 1 AS ny FROM placed)"
+_OVERLAP = "least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1", "least(a.y1, b.y1) - greatest(a.y0, b.y0) + 1"
+
+
+def _placed(spark: SparkSession, d: str) -> tuple[DataFrame, geometry.Box]:
+    """All wells of known place, and the box that holds them."""
+    w = read(spark, d, "wells_info_completed").where("x_coord >= 0 and y_coord >= 0").select("well_id", F.col("x_coord").alias("x"), F.col("y_coord").alias("y")).distinct()
+    nx, ny = w.agg(F.max("x"), F.max("y")).first()
+    return w, geometry.Box((nx or 0) + 1, (ny or 0) + 1, NZ)
+
+
+@query("j16_well_overlaps", f"""WITH {_PLACED}, squares AS (SELECT well_id, greatest(x - 5, 0) AS x0, least(x + 5, nx - 1) AS x1, greatest(y - 5, 0) AS y0, least(y + 5, ny - 1) AS y1 FROM placed, box)
+  SELECT a.well_id AS a, b.well_id AS b, {_OVERLAP[0]} AS width, {_OVERLAP[1]} AS height FROM squares a JOIN squares b ON a.well_id < b.well_id AND a.x0 <= b.x1 AND b.x0 <= a.x1 WHERE a.y0 <= b.y1 AND b.y0 <= a.y1""")
 def j16(spark, d):
-    w = spark.createDataFrame(WELLS, "w int, x int, y int")
-    a, b = w.select([F.col(c).alias(f"a{c}") for c in w.columns]), w.select([F.col(c).alias(f"b{c}") for c in w.columns])
-    j = a.join(small(b), (F.col("aw") < F.col("bw")) & (F.abs(F.col("ax") - F.col("bx")) <= 10) & (F.abs(F.col("ay") - F.col("by")) <= 10))
-    return j.select(F.col("aw").alias("a"), F.col("bw").alias("b"), F.greatest(F.lit(0), F.least("ax", "bx") + 5 - F.greatest("ax", "bx") + 5 + 1).alias("width"))
+    w, box = _placed(spark, d)
+    return geometry.overlaps(geometry.extents(w, box, F.lit(5)), box).select("a", "b", "width", "height")
 
 
 @query("j17_tiles_of_rings", f"""WITH {CUBE}, tiles AS (SELECT DISTINCT x // 5 AS tx, y // 5 AS ty FROM embeddings_cube), w(w, wx, wy) AS (VALUES (0, 4, 5), (1, 12, 10), (2, 17, 20))
@@ -561,8 +570,9 @@ def w10(spark, d):
     return logs.interpolated(l, ["run_id"], targets, ["por"]).withColumn("por", r5("por"))
 
 
-@query("w11_resampled_traces", f"""WITH {CUBE}, target AS (SELECT CAST(i AS BIGINT) AS z, i / 2.0 AS t FROM range(127) s(i))
-  SELECT x, y, k.z, round(a.amp + (t - floor(t)) * (b.amp - a.amp), 6) + 0.0 AS amp FROM target k JOIN embeddings_cube a ON a.z = floor(t) JOIN embeddings_cube b USING (x, y) WHERE b.z = ceil(t)""")
+@query("w11_resampled_traces", """WITH t AS (SELECT CAST(vec_id % 20 AS INTEGER) AS x, CAST(vec_id // 20 AS INTEGER) AS y, embedding AS e FROM embeddings),
+  k AS (SELECT x, y, e, CAST(unnest(range(127)) AS BIGINT) AS z FROM t)
+  SELECT x, y, z, round(e[z // 2 + 1]::DOUBLE + (z / 2.0 - z // 2) * (e[(z + 1) // 2 + 1]::DOUBLE - e[z // 2 + 1]::DOUBLE), 6) + 0.0 AS amp FROM k""")
 def w11(spark, d):
     m = logs.resample_traces(traces(spark, d), range(NZ), [i / 2 for i in range(2 * NZ - 1)])
     return stencil.points(m, "amp").withColumn("amp", r6("amp"))
@@ -871,32 +881,31 @@ def f14(spark, d):
     return m.select("x", "y", "z", "label", r6(F.get("row", F.lit(0)) + 10 * F.get("row", F.lit(1))).alias("row_sum"))
 
 
-@query("c14_ring_distance", f"WITH {CUBE}, {WELL_ROWS} SELECT DISTINCT x, y, well_id, CAST(greatest(abs(x - wx), abs(y - wy)) AS INTEGER) AS ring FROM embeddings_cube, wells WHERE greatest(abs(x - wx), abs(y - wy)) <= 3")
+@query("c14_ring_distance", f"WITH {CUBE}, {WELL_ROWS} SELECT DISTINCT x, y, well_id, CAST(greatest(abs(x - wx), abs(y - wy)) AS INTEGER) AS ring FROM embeddings_cube, wells")
 def c14(spark, d):
-    w = spark.createDataFrame(WELLS, "well_id int, wx int, wy int")
-    ring = scalars.ring_distance(F.col("x"), F.col("y"), F.col("wx"), F.col("wy"))
-    near = F.col("x").between(F.col("wx") - 3, F.col("wx") + 3) & F.col("y").between(F.col("wy") - 3, F.col("wy") + 3)
-    return traces(spark, d).select("x", "y").join(small(w), near).select("x", "y", "well_id", ring.cast("int").alias("ring"))
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("well_id"), scalars.ring_distance(F.col("x"), F.col("y"), wx, wy).cast("int").alias("ring")) for w, wx, wy in WELLS]))
+    return traces(spark, d).select("x", "y").distinct().select("x", "y", each.alias("r")).select("x", "y", "r.well_id", "r.ring")
 
 
 _ITS = "its(it) AS (SELECT CAST(i AS INTEGER) FROM range(0, 9) r(i))"
-_EXTENTS = f"""squares AS (SELECT it, well_id, CAST(wx AS INTEGER) AS x, CAST(wy AS INTEGER) AS y, greatest(wx - it, 0) AS x0, least(wx + it, 19) AS x1, greatest(wy - it, 0) AS y0, least(wy + it, 24) AS y1 FROM wells, its)"""
+_EXTENTS = f"""{_PLACED}, {_ITS}, squares AS (SELECT it, well_id, x, y, greatest(x - it, 0) AS x0, least(x + it, nx - 1) AS x1, greatest(y - it, 0) AS y0, least(y + it, ny - 1) AS y1 FROM placed, box, its)"""
 
 
-def _squares(spark: SparkSession) -> DataFrame:
-    w = spark.createDataFrame(WELLS, "well_id int, x int, y int").withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(8))))
-    return geometry.extents(w, geometry.Box(20, 25, 64), F.col("it"))
+def _squares(spark: SparkSession, d: str) -> tuple[DataFrame, geometry.Box]:
+    w, box = _placed(spark, d)
+    return geometry.extents(w.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(8)))), box, F.col("it")), box
 
 
-@query("c15_c16_extents", f"WITH {WELL_ROWS}, {_ITS}, {_EXTENTS} SELECT *, ((x1 - x0 + 1) * (y1 - y0 + 1) - 1) * 64 AS predicted FROM squares")
+@query("c15_c16_extents", f"WITH {_EXTENTS} SELECT *, ((x1 - x0 + 1) * (y1 - y0 + 1) - 1) * 64 AS predicted FROM squares")
 def c15(spark, d):
-    return _squares(spark)
+    return _squares(spark, d)[0]
 
 
-@query("c17_overlap_volumes", f"""WITH {WELL_ROWS}, {_ITS}, {_EXTENTS} SELECT it, a.well_id AS a, b.well_id AS b, (least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1) * (least(a.y1, b.y1) - greatest(a.y0, b.y0) + 1) * 64 AS points
-  FROM squares a JOIN squares b USING (it) WHERE a.well_id < b.well_id AND it > 0 AND least(a.x1, b.x1) >= greatest(a.x0, b.x0) AND least(a.y1, b.y1) >= greatest(a.y0, b.y0)""")
+@query("c17_overlap_volumes", f"""WITH {_EXTENTS} SELECT it, a.well_id AS a, b.well_id AS b, ({_OVERLAP[0]}) * ({_OVERLAP[1]}) * 64 AS points
+  FROM squares a JOIN squares b USING (it) WHERE a.well_id < b.well_id AND it > 0 AND b.x0 BETWEEN a.x0 - 17 AND a.x1 AND a.x1 >= b.x0 AND b.x1 >= a.x0 AND a.y1 >= b.y0 AND b.y1 >= a.y0""")
 def c17(spark, d):
-    return geometry.overlaps(_squares(spark), geometry.Box(20, 25, 64), ("it",))
+    squares, box = _squares(spark, d)
+    return geometry.overlaps(squares, box, ("it",)).select("it", "a", "b", "points")
 
 
 @query("c20_depth_index", f"WITH {_CLEAN} SELECT log_id, CAST(floor(depth / 5.0) - floor(start / 5.0) AS INTEGER) AS i FROM (SELECT log_id, depth, min(depth) OVER (PARTITION BY run_id) AS start FROM clean)")
@@ -961,10 +970,12 @@ def x6(spark, d):
     return stencil.points(cubes.with_halo(t, geometry.Box(*stencil.cube_shape(t)), 2), "amp")
 
 
-@query("x10_canal_cube", f"""WITH {WELL_ROWS}, {CUBE}, pts AS (SELECT x, y, z, amp, well_id FROM embeddings_cube LEFT JOIN wells ON x = wx AND y = wy WHERE z < 8 AND (well_id IS NOT NULL OR amp > 0.1))
-  SELECT CAST(a.x AS INTEGER) AS x, CAST(b.y AS INTEGER) AS y, CAST(c.z AS INTEGER) AS z, coalesce(p.amp, 0) AS phi, CASE WHEN p.well_id IS NOT NULL THEN 0 WHEN p.amp IS NOT NULL THEN 2 ELSE 5 END AS real,
-  CASE WHEN p.well_id IS NOT NULL THEN 0 ELSE -1 END AS ring, coalesce(p.well_id, -1) AS well_id FROM range(20) a(x), range(25) b(y), range(8) c(z) LEFT JOIN pts p ON p.x = a.x AND p.y = b.y AND p.z = c.z""")
+@query("x10_canal_cube", f"""WITH {WELL_ROWS}, {CUBE}, {SHAPE}, pts AS (SELECT x, y, z, amp, well_id FROM embeddings_cube LEFT JOIN wells ON x = wx AND y = wy WHERE well_id IS NOT NULL OR amp > 0.1),
+  xs AS (SELECT unnest(range(nx)) AS x FROM shape), ys AS (SELECT unnest(range(ny)) AS y FROM shape), zs AS (SELECT unnest(range(nz)) AS z FROM shape)
+  SELECT CAST(xs.x AS INTEGER) AS x, CAST(ys.y AS INTEGER) AS y, CAST(zs.z AS INTEGER) AS z, coalesce(p.amp, 0) AS phi, CASE WHEN p.well_id IS NOT NULL THEN 0 WHEN p.amp IS NOT NULL THEN 2 ELSE 5 END AS real,
+  CASE WHEN p.well_id IS NOT NULL THEN 0 ELSE -1 END AS ring, coalesce(p.well_id, -1) AS well_id FROM xs, ys, zs LEFT JOIN pts p ON p.x = xs.x AND p.y = ys.y AND p.z = zs.z""")
 def x10(spark, d):
     w = spark.createDataFrame(WELLS, "well_id int, x int, y int")
-    p = cube_of(spark, d).where("z < 8").join(small(w), ["x", "y"], "left").where("well_id is not null or amp > 0.1")
-    return cubes.overlay(cubes.empty_cube(spark, geometry.Box(20, 25, 8)), p.withColumnRenamed("amp", "phi"), others=2)
+    box = geometry.Box(*stencil.cube_shape(traces(spark, d)))
+    p = cube_of(spark, d).join(small(w), ["x", "y"], "left").where("well_id is not null or amp > 0.1")
+    return cubes.overlay(cubes.empty_cube(spark, box), p.withColumnRenamed("amp", "phi"), others=2)
