@@ -51,11 +51,56 @@ def p2_grid(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid(read(spark, d, "well_logs"), read(spark, d, "aggregation_params"))
 
 
-@query("p3_found")
+_CELLS = " UNION ALL ".join(f"SELECT run_id, log_id, depth, '{f}' AS field, {f} AS v FROM once WHERE NOT {_missing(f)}" for f in FIELDS)
+
+
+def _episode(n: int) -> str:
+    """Starts of episodes of `n` values that leave the levels on both sides, those next to it being back at one of them."""
+    apart = [f"abs(v{k} - before) > far AND abs(v{k} - after{n}) > far" for k in range(n)]
+    back = [f"(abs({v} - before) <= far OR abs({v} - after{n}) <= far)" for v in ("last", f"v{n}")]
+    return f"SELECT run_id, field, j, {n} AS n FROM places WHERE far > 0 AND {' AND '.join(apart + back)}"
+
+
+@query(
+    "p3_found",
+    f"""WITH once AS (SELECT * FROM well_logs WHERE depth IS NOT NULL AND NOT isnan(depth) QUALIFY row_number() OVER (PARTITION BY run_id, log_id ORDER BY depth, received_at DESC) = 1),
+      cells AS ({_CELLS}),
+      units AS (SELECT run_id, count_if(v BETWEEN 0 AND 1) * 2 > count_if(v BETWEEN 0 AND 100) AS fraction FROM cells GROUP BY run_id),
+      ordered AS (SELECT *, row_number() OVER w AS i, v IS DISTINCT FROM lag(v) OVER w AS new FROM cells WINDOW w AS (PARTITION BY run_id, field ORDER BY depth, log_id)),
+      stretches AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY run_id, field ORDER BY i) AS stretch FROM ordered),
+      judged AS (SELECT s.run_id, log_id, field, v, i, v < 0 OR v > CASE WHEN fraction THEN 1 ELSE 100 END OR count(*) OVER (PARTITION BY s.run_id, field, stretch) >= 6 AS odd
+        FROM stretches s JOIN units u ON s.run_id IS NOT DISTINCT FROM u.run_id),
+      rest AS (SELECT *, row_number() OVER (PARTITION BY run_id, field ORDER BY i) AS j FROM judged WHERE NOT odd),
+      levels AS (SELECT *, median(v) OVER (PARTITION BY run_id, field ORDER BY j ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS level,
+        median(v) OVER (PARTITION BY run_id, field ORDER BY j ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS before,
+        median(v) OVER (PARTITION BY run_id, field ORDER BY j ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) AS after FROM rest),
+      scatters AS (SELECT run_id, field, 10 * CASE WHEN median(abs(v - level)) = 0 THEN avg(least(abs(v - level), 1e6)) ELSE 1.4826 * median(abs(v - level)) END AS far FROM levels GROUP BY ALL),
+      places AS (SELECT l.run_id, l.field, log_id, j, v AS v0, before, far, lag(v) OVER w AS last, lead(v) OVER w AS v1, lead(v, 2) OVER w AS v2, lead(v, 3) OVER w AS v3,
+          lead(after) OVER w AS after1, lead(after, 2) OVER w AS after2, lead(after, 3) OVER w AS after3
+        FROM levels l JOIN scatters s ON l.run_id IS NOT DISTINCT FROM s.run_id AND l.field = s.field WINDOW w AS (PARTITION BY l.run_id, l.field ORDER BY j)),
+      episodes AS ({' UNION ALL '.join(map(_episode, (1, 2, 3)))}),
+      members AS (SELECT run_id, field, unnest(range(j, j + n)) AS j FROM episodes)
+    SELECT log_id, field FROM judged WHERE odd UNION SELECT log_id, r.field FROM rest r JOIN members m ON r.run_id IS NOT DISTINCT FROM m.run_id AND r.field = m.field AND r.j = m.j""",
+)
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return flagged_cells(flag_spikes(read(spark, d, "well_logs")))
 
 
+@query(
+    "p3_measured",
+    "SELECT field, CAST(count(DISTINCT log_id) AS BIGINT) AS values, true AS few_unusual FROM ("
+    + " UNION ALL ".join(f"SELECT '{f}' AS field, log_id FROM well_logs WHERE depth IS NOT NULL AND NOT isnan(depth) AND NOT {_missing(f)}" for f in FIELDS)
+    + ") GROUP BY field",
+)
+def p3_measured(spark: SparkSession, d: str) -> DataFrame:
+    """Per field: values judged, and whether those beyond their tail's cutoff are few, as its risk says (spikes aside)."""
+    f = p3_flags(spark, d)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col("flag_" + c).alias("flag"), F.col("tail_" + c).alias("tail")) for c in FIELDS]))
+    f = f.select(each.alias("c")).where("c.flag is not null")
+    plain = F.count_if(F.col("c.tail") & (F.col("c.flag") == "none")) / F.count_if(F.col("c.flag") == "none")
+    return f.groupBy("c.field").agg(F.count(F.lit(1)).alias("values"), (plain < 0.05).alias("few_unusual"))
+
+
 @query("p3_flags")
 def p3_flags(spark: SparkSession, d: str) -> DataFrame:
     return flag_spikes(read(spark, d, "well_logs"))

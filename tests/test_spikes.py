@@ -3,7 +3,7 @@ from datetime import datetime
 import numpy as np
 from conftest import rows
 
-from lithocube.operators.spikes import flag_series, flag_spikes, flagged_cells, pareto_cutoff
+from lithocube.operators.spikes import PHASES, flag_series, flag_spikes, flagged_cells, pareto_cutoff, seasonal
 
 SCHEMA = "log_id long, run_id long, depth double, neutron_por double, density_por double, sonic_por double, received_at timestamp, flag string, seg int"
 T = datetime(2031, 1, 1)
@@ -107,6 +107,30 @@ def test_cutoff_follows_the_tail():
     assert 2.3 < low < 2.9 and 3.0 < high < 3.7
 
 
+def test_the_tail_decides_what_is_unusual(monkeypatch):
+    # Far but no spikes by the exact rule: five scatters off in a quiet run, nothing in one with a heavy tail.
+    quiet, heavy = np.random.default_rng(3).uniform(-0.3, 0.3, 400) + 20, 20 + 0.2 * np.random.default_rng(4).standard_t(2.5, 400)
+    quiet[200], heavy[200] = 21.2, 21.2
+    x, k = np.concatenate([quiet, heavy]), np.repeat([0, 1], 400)
+    flag, cutoff, beyond = flag_series(x, k, np.array([False, False]))
+    assert beyond[200] and cutoff[0] < cutoff[1] and flag[200] == 0 and not beyond[600]
+    monkeypatch.setattr("lithocube.operators.spikes.pareto_cutoff", lambda r, s, n, *a: np.full(n, 8.0))
+    assert not flag_series(x, k, np.array([False, False]))[2][200]
+
+
+def test_a_recurring_part_is_no_news():
+    # Every tenth phase lies higher: by itself unusual, as a part of every cycle not.
+    n = 2000
+    phase = np.arange(n) // 3 % PHASES
+    x = noise(n, 5, 0.1) + np.where(phase == 4, 0.25, 0.0)
+    k = np.zeros(n, int)
+    far = lambda p: flag_series(x, k, np.array([False]), risk=0.02, phase=p)
+    assert far(phase)[1][0] < far(None)[1][0]
+    s = seasonal(np.where(phase == 4, 1.0, 0.0), np.array([0.2]), k, phase)
+    assert s[phase == 4].max() == 0.4 and s[phase != 4].max() == 0
+    assert (seasonal(np.ones(7), np.array([1.0]), np.zeros(7, int), np.zeros(7, int)) == 0).all()
+
+
 def frame(spark, data):
     return spark.createDataFrame([(*r, T, "", 9) for r in data], SCHEMA)
 
@@ -119,7 +143,8 @@ def test_table_order_repeats_nulls(spark):
     f = flag_spikes(frame(spark, data[::-1]))
     assert f.count() == 62
     assert rows(flagged_cells(f)) == sorted([(20, "neutron_por"), (901, "neutron_por"), (None, "neutron_por")], key=repr)
-    assert f.where("log_id = 3").first().flag_density_por is None
+    assert f.where("log_id = 3").first().flag_density_por is None and f.where("log_id = 3").first().tail_density_por is None
+    assert f.where("log_id = 20").first().tail_neutron_por
 
 
 def test_long_runs_in_stretches_give_the_same(spark):
