@@ -6,6 +6,7 @@ found from sums per bin; the leaf with the greatest gain is split next.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -48,6 +49,10 @@ class Tree:
             node[rows] = np.where(~(v > self.threshold[n]), self.left[n], self.right[n])
 
 
+#: Parts of a tree and their kinds.
+TREE = {"feature": np.int64, "threshold": np.float64, "left": np.int64, "right": np.int64, "value": np.float64}
+
+
 @dataclass
 class Model:
     base: float
@@ -60,6 +65,15 @@ class Model:
             out += t.predict(x)
         return out
 
+    def dumps(self) -> str:
+        """The model as JSON text; numbers are written so that they are read back exactly."""
+        return json.dumps({"base": float(self.base), "trees": [{k: getattr(t, k).tolist() for k in TREE} for t in self.trees]})
+
+    @staticmethod
+    def loads(text: str) -> Model:
+        d = json.loads(text)
+        return Model(d["base"], [Tree(**{k: np.array(t[k], kind) for k, kind in TREE.items()}) for t in d["trees"]])
+
 
 def _bins(x: np.ndarray, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Bin numbers (0 for missing) and upper edges per feature."""

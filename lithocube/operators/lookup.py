@@ -59,8 +59,8 @@ def with_features(points: DataFrame, traces: DataFrame, chosen: Sequence[tuple[s
     return out
 
 
-def minicube(points: DataFrame, traces: DataFrame, window: int, shape: tuple[int, int, int], key: Sequence[str] = ("x", "y", "z")) -> DataFrame:
-    """`key` and `values`: all (2 * window + 1)^3 samples around each point in order of dx, dy, dz.
+def minicube(points: DataFrame, traces: DataFrame, window: int, shape: tuple[int, int, int], key: Sequence[str] = ("x", "y", "z"), by: Sequence[str] = ()) -> DataFrame:
+    """`key`, `by` (columns of the traces, such as the feature) and `values`: all (2 * window + 1)^3 samples around each point in order of dx, dy, dz.
 
     Points are spread over the (dx, dy) they look at and meet the traces in one equi-join; vertical neighbours are a
     slice of the trace.
@@ -69,11 +69,11 @@ def minicube(points: DataFrame, traces: DataFrame, window: int, shape: tuple[int
     side = F.sequence(F.lit(-window), F.lit(window))
     p = points.select(*key).withColumn("dx", F.explode(side)).withColumn("dy", F.explode(side))
     p = p.withColumn("_x", clamped(F.col("x") + F.col("dx"), nx)).withColumn("_y", clamped(F.col("y") + F.col("dy"), ny))
-    t = traces.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "amp")
+    t = traces.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "amp", *by)
     line = F.transform(side, lambda dz: F.get("amp", clamped(F.col("z") + dz, nz).cast("int")))
-    got = p.join(t, ["_x", "_y"]).select(*key, F.struct("dx", "dy", line.alias("v")).alias("s"))
-    lines = got.groupBy(*key).agg(F.array_sort(F.collect_list("s")).alias("s"))
-    return lines.select(*key, F.flatten(F.transform("s", lambda s: s["v"])).alias("values"))
+    got = p.join(t, ["_x", "_y"]).select(*key, *by, F.struct("dx", "dy", line.alias("v")).alias("s"))
+    lines = got.groupBy(*key, *by).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return lines.select(*key, *by, F.flatten(F.transform("s", lambda s: s["v"])).alias("values"))
 
 
 def candidate_index(dx: Column | int, dy: Column | int, dz: Column | int, window: int) -> Column:

@@ -86,16 +86,15 @@ def forward_selection(
     """
     features = traces.select("feature").distinct()
     names = sorted(r[0] for r in settings(features, 10_000))[:max_features]
-    cubes = None
-    for name in names:
-        m = minicube(points, traces.where(F.col("feature") == name), window, shape).withColumn("feature", F.lit(name))
-        cubes = m if cubes is None else cubes.unionByName(m)
-    if cubes is None:
+    if not names:
         return [], None
+    # All features in one join: the traces bring their feature along.
+    wanted = traces if len(names) == features.count() else traces.join(small(points.sparkSession.createDataFrame([(n,) for n in names], "feature string")), "feature", "left_semi")
+    cubes = minicube(points, wanted, window, shape, by=("feature",))
     cubes = cut(points.select("x", "y", "z", "phi", "well_id", "real").join(cubes, ["x", "y", "z"]))
     side = 2 * window + 1
     at = ((F.col("dx") + window) * side + (F.col("dy") + window)) * side + F.col("dz") + window
-    every = list_candidates(features.where(F.col("feature").isin(*names)), window, only_z, first=first).withColumn("at", at)
+    every = list_candidates(features if max_features is None else features.where(F.col("feature").isin(*names)), window, only_z, first=first).withColumn("at", at)
     chosen: list[Chosen] = []
     results = None
     committed = points.select("x", "y", "z", F.array().cast("array<double>").alias("committed"))
@@ -114,6 +113,46 @@ def forward_selection(
     return chosen, results
 
 
+def best_of_all(rounds: Sequence[DataFrame]) -> DataFrame:
+    """The best of all sets tested in all rounds (results of forward_selection, one after the other): round, the
+    candidate and its errors. A set of an early round, which is shorter, may win; ties go to the shorter set."""
+    every = [r.withColumn("round", F.lit(i)) for i, r in enumerate(rounds)]
+    out = every[0]
+    for r in every[1:]:
+        out = out.unionByName(r)
+    return out.where("rmse is not null").orderBy("rmse", "round", "feature", "dx", "dy", "dz").limit(1)
+
+
+def guided_search(
+    points: DataFrame, features: Sequence[str], space: DataFrame, base: gbdt.Params = gbdt.Params(), budgets: Sequence[int] = (20, 60, 180), keep: float = 1 / 3,
+    done: DataFrame | None = None, path: str | None = None,
+) -> DataFrame:
+    """stage, trial, rounds, rmse, mae, folds of a search by successive halving: all of `space` with few boosting
+    rounds, the best `keep` of them with more, and so on through `budgets`.
+
+    A stage is one job. With `path` each stage's results are written there, and those already there (or in `done`) are
+    not computed again, so a search that was cut off goes on; the best trial is the first by stage (descending) and rmse.
+    """
+    spark = points.sparkSession
+    left, out = space.drop("rounds"), None
+    n = space.count()
+    for stage, rounds in enumerate(budgets):
+        have = None if done is None else done.where(F.col("stage") == stage).select("stage", "trial", "rounds", "rmse", "mae", "folds")
+        ask = left if have is None else left.join(have.select("trial"), "trial", "left_anti")
+        got = parameter_search(points, features, ask.withColumn("rounds", F.lit(rounds)), base)
+        got = got.select(F.lit(stage).alias("stage"), "trial", F.lit(rounds).alias("rounds"), "rmse", "mae", "folds")
+        if have is not None:
+            got = got.unionByName(have.join(left.select("trial"), "trial", "left_semi").select(*got.columns))
+        got = cut(got)
+        if path:
+            got.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stage").parquet(path)
+        out = got if out is None else out.unionByName(got)
+        n = max(1, int(np.ceil(n * keep)))
+        best = [r["trial"] for r in got.where("rmse is not null").orderBy("rmse", "trial").limit(n).collect()]
+        left = left.join(small(spark.createDataFrame([(b,) for b in best], space.schema["trial"].dataType.simpleString()).toDF("trial")), "trial", "left_semi")
+    return out
+
+
 def parameter_search(points: DataFrame, features: Sequence[str], space: DataFrame, base: gbdt.Params = gbdt.Params()) -> DataFrame:
     """trial, rmse, mae, folds for every row of `space` (trial and parameters by the names of gbdt.Params): each trial
     is a group with the same leave-one-well-out body as feature selection."""

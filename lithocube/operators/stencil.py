@@ -86,20 +86,47 @@ def _views(padded: np.ndarray, window: tuple[int, int, int]) -> np.ndarray:
 
 def moving(window: tuple[int, int, int], how: Callable[..., np.ndarray]) -> Kernel:
     """Kernel that applies a numpy reduction (np.mean, np.median, any function with `axis`) to every window."""
-    return lambda padded: how(_views(padded, window).reshape(*_inner(padded, window), -1), axis=-1)
+    return lambda padded: _by_layers(padded, window, how)
 
 
-def _inner(padded: np.ndarray, window: tuple[int, int, int]) -> tuple[int, int, int]:
-    return tuple(padded.shape[i] - 2 * (window[i] // 2) for i in range(3))  # type: ignore[return-value]
+def reduction(window: tuple[int, int, int], how: str) -> Kernel:
+    """Kernel of a named reduction; mean, sum, least and greatest go axis by axis."""
+    if how == "mean":
+        return lambda padded: _along(padded, window, np.sum) / float(np.prod(window))
+    if how in SEPARABLE:
+        return lambda padded: _along(padded, window, SEPARABLE[how])
+    return moving(window, REDUCTIONS[how])
 
 
+def _along(padded: np.ndarray, window: tuple[int, int, int], f: Callable[..., np.ndarray]) -> np.ndarray:
+    """A reduction that can be done axis by axis: the window is never laid out, a tile costs its own size a few times over."""
+    out = padded
+    for axis in range(3):
+        n = padded.shape[axis] - 2 * (window[axis] // 2)
+        parts = np.lib.stride_tricks.sliding_window_view(out, window[axis], axis=axis)
+        out = f(parts[tuple(slice(0, n) if i == axis else slice(None) for i in range(3))], axis=-1)
+    return out
+
+
+def _by_layers(padded: np.ndarray, window: tuple[int, int, int], f: Callable[..., np.ndarray]) -> np.ndarray:
+    """A reduction of whole windows, so many layers of samples at a time that their copies stay below COPY numbers."""
+    v = _views(padded, window)
+    step = max(1, COPY // max(1, v.shape[0] * v.shape[1] * int(np.prod(window))))
+    parts = [f(v[:, :, z : z + step].reshape(v.shape[0], v.shape[1], -1, int(np.prod(window))), axis=-1) for z in range(0, v.shape[2], step)]
+    return np.concatenate(parts, axis=2)
+
+
+#: Numbers that a task lays out at once when a reduction needs whole windows (32 MB).
+COPY = 4_000_000
+#: Reductions that are made axis by axis.
+SEPARABLE = {"sum": np.sum, "min": np.min, "max": np.max}
 REDUCTIONS = {"mean": np.mean, "sum": np.sum, "min": np.min, "max": np.max, "median": np.median}
 
 
 def moving_window(traces: DataFrame, window: tuple[int, int, int], how: str | Callable[..., np.ndarray], name: str = "value") -> DataFrame:
     """x, y and an array `name`: a reduction over the window around every sample, mirrored at the border."""
-    f = REDUCTIONS[how] if isinstance(how, str) else how
-    return on_tiles(traces, cube_shape(traces), half(window), {name: moving(window, f)})
+    kernel = reduction(window, how) if isinstance(how, str) else moving(window, how)
+    return on_tiles(traces, cube_shape(traces), half(window), {name: kernel})
 
 
 def rms_kernel(depth: int) -> Kernel:

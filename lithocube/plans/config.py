@@ -56,6 +56,8 @@ class Config:
     generate_porosity_cube: bool = True
     metrics_by_it: bool = True
     n_training_chunks: int = 1
+    max_points_per_chunk: int = -1
+    save_cube_every: int = -1
     first_features: int | None = None
     first_candidates: int | None = None
     only_z: bool = False
@@ -92,6 +94,9 @@ _FIELDS: dict[tuple[str, ...], tuple[str, Any]] = {
     ("porosity_cube_output_path",): ("output_path", str),
     ("alg", "num_its"): ("num_its", int),
     ("alg", "it"): ("it", int),
+    ("alg", "starting_it"): ("it", int),
+    ("alg", "save_cube_every_n_its"): ("save_cube_every", int),
+    ("alg", "parallel", "max_points_per_chunk"): ("max_points_per_chunk", int),
     ("alg", "window"): ("window", int),
     ("alg", "max_num_features"): ("max_num_features", int),
     ("alg", "layers_to_predict"): ("layers_to_predict", int),
@@ -107,6 +112,24 @@ _FIELDS: dict[tuple[str, ...], tuple[str, Any]] = {
 }
 
 
+#: Settings that load() reads by itself.
+_OTHERS = {("wells", "coords"), ("alg", "test_only_wells"), ("alg", "validation_only_wells"), ("alg", "feature_selection_type"), ("alg", "save_models_on")}
+
+
+def unknown(raw: Mapping, at: tuple[str, ...] = ()) -> list[str]:
+    """Names of settings that mean nothing, dotted."""
+    out = []
+    for k, v in raw.items():
+        here = (*at, str(k))
+        if here in _FIELDS or here in _OTHERS:
+            continue
+        if isinstance(v, Mapping) and any(f[: len(here)] == here for f in (*_FIELDS, *_OTHERS)):
+            out += unknown(v, here)
+        elif v is not None or not any(f[: len(here)] == here for f in (*_FIELDS, *_OTHERS)):
+            out.append(".".join(here))
+    return out
+
+
 def merged(base: Mapping, over: Mapping) -> dict:
     """`base` with the values of `over`, section by section."""
     out = dict(base)
@@ -117,7 +140,10 @@ def merged(base: Mapping, over: Mapping) -> dict:
 
 def _wells(coords: Any) -> list[tuple[int, int, int]]:
     pairs: Sequence = list(coords.values()) if isinstance(coords, Mapping) else list(coords)
-    return [(i, int(p[0]), int(p[1])) for i, p in enumerate(pairs)]
+    try:
+        return [(i, int(p["x"]), int(p["y"])) if isinstance(p, Mapping) else (i, int(p[0]), int(p[1])) for i, p in enumerate(pairs)]
+    except (KeyError, IndexError, TypeError, ValueError) as e:
+        raise TypeError(f"wells.coords: {coords!r} is not valid") from e
 
 
 def load(source: str | Path | Mapping | None = None, *overrides: Mapping, check: bool = True) -> Config:
@@ -134,6 +160,8 @@ def load(source: str | Path | Mapping | None = None, *overrides: Mapping, check:
             raise TypeError("settings must be a mapping")
     for o in overrides:
         raw = merged(raw, o)
+    if check and (odd := unknown(raw)):
+        raise ValueError(f"settings that do not exist: {', '.join(odd)}")
     c = Config()
     for keys, (name, cast) in _FIELDS.items():
         v: Any = raw
@@ -178,5 +206,9 @@ def validate(c: Config) -> None:
         raise ValueError("two wells lie at one place")
     if any(x < 0 or y < 0 for _, x, y in c.wells):
         raise ValueError("well coordinates must not be negative")
+    if c.max_points_per_chunk == 0:
+        raise ValueError("max_points_per_chunk must not be 0")
+    if c.sampling.seed < 0:
+        raise ValueError("seed must be 0 or more")
     if c.sampling.alpha <= 0 or c.sampling.beta <= 0:
         raise ValueError("alpha and beta must be above 0")
