@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,3 +131,27 @@ def with_halo(traces: DataFrame, box: Box, window: int) -> DataFrame:
     t = traces.withColumn("_x", F.explode(copy("x", box.nx))).withColumn("_y", F.explode(copy("y", box.ny)))
     first, last = F.array_repeat(F.element_at("amp", 1), window), F.array_repeat(F.element_at("amp", -1), window)
     return t.select((F.col("_x") + window).alias("x"), (F.col("_y") + window).alias("y"), F.concat(first, "amp", last).alias("amp"))
+
+
+def random_wells(spark: SparkSession, box: Box, n: int, seed: int = 1, first_id: int = 0) -> DataFrame:
+    """x, y, z, phi, well_id of `n` made-up wells at different places, with made-up porosities, for trials of size.
+
+    Places are a walk through all columns by a step prime to their number, so none is met twice and none is remembered.
+    """
+    columns = box.nx * box.ny
+    if n > columns:
+        raise ValueError("more wells than columns")
+    step = next(s for s in range(int(columns * 0.618) + 1, 2 * columns + 3) if math.gcd(s, columns) == 1)
+    at = F.pmod(F.col("id") * step + seed, F.lit(columns))
+    w = spark.range(n).select((F.col("id") + first_id).cast("int").alias("well_id"), F.floor(at / box.ny).cast("int").alias("x"), F.pmod(at, F.lit(box.ny)).cast("int").alias("y"))
+    w = w.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(box.nz - 1))))
+    phi = F.pmod(F.xxhash64("well_id", "z", F.lit(seed)), F.lit(30_000)) / 1000.0
+    return w.select("x", "y", "z", phi.alias("phi"), "well_id")
+
+
+def scratch_sets(cube: DataFrame, test_wells: Sequence[int], share: float = 1.0, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(train, test) of the known points: those of `test_wells` test, of the others a share chosen by hash trains."""
+    known = cube.where(F.col("real").isin(int(State.REAL), int(State.PROPAGATED)))
+    u = F.pmod(F.xxhash64("x", "y", "z", F.lit(seed)), F.lit(1_000_003)) / 1_000_003
+    own = F.col("well_id").isin(*test_wells) if test_wells else F.lit(False)
+    return known.where(~own & (u < share)), known.where(own & (F.col("real") == int(State.REAL)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithocube.session import cut
+from lithocube.session import BROADCAST_ROWS, cut
 
 #: Sides of the cells of a level, in multiples of the distance asked for.
 LEVELS = (64, 8, 1)
@@ -123,16 +123,19 @@ def inside_pairs(
         F.col(region).alias("rid"), F.least(lo_x, hi_x).alias("r_lo_x"), F.greatest(lo_x, hi_x).alias("r_hi_x"),
         F.least(lo_y, hi_y).alias("r_lo_y"), F.greatest(lo_y, hi_y).alias("r_hi_y"),
     ).where("r_hi_x >= 0 and r_hi_y >= 0").distinct()
-    # Rectangles are cut by the extent of the points, so their number of root cells is bounded by the roots there are.
-    extent = p.agg(F.max("c0x").alias("mx"), F.max("c0y").alias("my"))
-    cover = r.crossJoin(F.broadcast(extent)).where("mx is not null")  # one row
-    span = lambda c, m: F.sequence(F.floor(F.greatest(F.lit(0.0), F.col(f"r_lo_{c}")) / root), F.floor(F.least(F.col(f"r_hi_{c}") / root, F.col(m).cast("double"))))
-    cover = cover.where((F.floor(F.greatest(F.lit(0.0), F.col("r_lo_x")) / root) <= F.col("mx")) & (F.floor(F.greatest(F.lit(0.0), F.col("r_lo_y")) / root) <= F.col("my")))
-    cover = cover.withColumn("gx", F.explode(span("x", "mx"))).withColumn("gy", F.explode(span("y", "my"))).drop("mx", "my")
+    # Rectangles meet the columns of roots that hold a point, so far-off points and wide rectangles cost nothing between.
+    roots = cut(_nodes(p, 0))
+    columns = roots.select(F.col("cx").alias("gx")).distinct()
+    first, last = F.floor(F.greatest(F.lit(0.0), F.col("r_lo_x")) / root), F.floor(F.col("r_hi_x") / root)
+    if columns.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        cover = r.join(F.broadcast(columns), F.col("gx").between(first, last))
+    else:
+        extent = roots.agg(F.max("cx").alias("mx"))
+        cover = r.join(F.broadcast(extent)).where(first <= F.col("mx")).withColumn("gx", F.explode(F.sequence(first, F.least(last, F.col("mx"))))).drop("mx")  # one row
     apart = (F.col("lo_x") > F.col("r_hi_x")) | (F.col("hi_x") < F.col("r_lo_x")) | (F.col("lo_y") > F.col("r_hi_y")) | (F.col("hi_y") < F.col("r_lo_y"))
     within = (F.col("lo_x") >= F.col("r_lo_x")) & (F.col("hi_x") <= F.col("r_hi_x")) & (F.col("lo_y") >= F.col("r_lo_y")) & (F.col("hi_y") <= F.col("r_hi_y"))
     rect = ["rid", "r_lo_x", "r_hi_x", "r_lo_y", "r_hi_y"]
-    top = _nodes(p, 0).join(cover, (F.col("cx") == F.col("gx")) & (F.col("cy") == F.col("gy"))).where(~apart)
+    top = roots.join(cover, F.col("cx") == F.col("gx")).where(~apart)
     top = cut(top.select("cx", "cy", *rect, within.alias("sure")))
     low = _nodes(p, 1).join(top.where("not sure").withColumnsRenamed({"cx": "ux", "cy": "uy"}), (F.col("px") == F.col("ux")) & (F.col("py") == F.col("uy")))
     low = cut(low.where(~apart).select("cx", "cy", *rect, within.alias("sure")))

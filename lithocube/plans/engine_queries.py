@@ -7,6 +7,8 @@ Fourier transforms, boosting) and are tested against brute force.
 from __future__ import annotations
 
 import math
+import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,8 @@ from lithocube.plans.fixtures import cube as cube_of
 from lithocube.plans.fixtures import predictions, state, traces
 from lithocube.plans.problem_queries import _missing
 from lithocube.plans.registry import query
-from lithocube.session import cut, read, small
+from lithocube.session import cut, read, shared_dir, small
+from lithocube.sources import io
 from lithocube.sources.io import run_metrics
 
 # Rounded so that the order of a sum does not show, and minus zero is zero. Means of decimal numbers are shifted off the
@@ -553,9 +556,16 @@ def c5(spark, d):
     return p.select("x", "y", "z", *[(F.round(every[n], k) + F.lit(0.0)).alias(n) for n, k in digits.items()])
 
 
-@query("c13_complex_trace")
+@query("c13_complex_trace", """WITH t AS (SELECT CAST(vec_id % 20 AS INTEGER) AS x, CAST(vec_id // 20 AS INTEGER) AS y, CAST(embedding AS DOUBLE[]) AS e, len(embedding) AS n FROM embeddings),
+  k AS (SELECT n, i, [CASE WHEN (i - j) % 2 = 0 THEN 0 ELSE 2.0 / n * cot(pi() * (i - j) / n) END FOR j IN range(n)] AS h FROM (SELECT DISTINCT n, unnest(range(n)) AS i FROM t)),
+  s AS (SELECT x, y, i, t.n, e[i + 1] AS re, list_dot_product(e, h) AS im FROM t JOIN k USING (n)),
+  a AS (SELECT *, atan2(im, re) AS angle, atan2(im, re) - lag(atan2(im, re)) OVER (PARTITION BY x, y ORDER BY i) AS d FROM s),
+  u AS (SELECT *, first_value(angle) OVER w + coalesce(sum(d - 2 * pi() * floor((d + pi()) / (2 * pi()))) OVER w, 0) AS phase FROM a WINDOW w AS (PARTITION BY x, y ORDER BY i)),
+  f AS (SELECT *, (lead(phase) OVER (PARTITION BY x, y ORDER BY i) - phase) / (2 * pi()) * n AS up, (phase - lag(phase) OVER (PARTITION BY x, y ORDER BY i)) / (2 * pi()) * n AS down FROM u)
+  SELECT x, y, CAST(i AS BIGINT) AS z, round(sqrt(re * re + im * im), 6) + 0.0 AS envelope, round(phase, 6) + 0.0 AS phase, round(coalesce(up, down), 6) + 0.0 AS frequency FROM f""")
 def c13(spark, d):
-    return stencil.points(attributes.complex_trace(traces(spark, d)), "envelope", "phase", "frequency")
+    p = stencil.points(attributes.complex_trace(traces(spark, d)), "envelope", "phase", "frequency")
+    return p.select("x", "y", "z", *[r6(c).alias(c) for c in ("envelope", "phase", "frequency")])
 
 
 @query("w10_one_resolution", f"""WITH {_CLEAN}, long AS (SELECT run_id FROM clean GROUP BY run_id ORDER BY count(*) DESC, run_id LIMIT 1),
@@ -979,3 +989,177 @@ def x10(spark, d):
     box = geometry.Box(*stencil.cube_shape(traces(spark, d)))
     p = cube_of(spark, d).join(small(w), ["x", "y"], "left").where("well_id is not null or amp > 0.1")
     return cubes.overlay(cubes.empty_cube(spark, box), p.withColumnRenamed("amp", "phi"), others=2)
+
+
+# Sources and sinks: tables are written and read again. SQL states the table itself.
+
+
+def _file(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that all executors share; as a plain path, for files written in place."""
+    folder = shared_dir(spark).replace("file://", "", 1).rstrip("/") + f"/sources-{uuid.uuid4().hex}"
+    if "://" not in folder:
+        os.makedirs(folder, exist_ok=True)
+    return f"{folder}/{name}"
+
+
+def _uri(path: str) -> str:
+    return path if "://" in path else "file://" + path
+
+
+_SAMPLES = f"WITH {CUBE} SELECT x, y, CAST(z AS BIGINT) AS z, amp FROM embeddings_cube"
+
+
+@query("s10_segy", _SAMPLES)
+def s10(spark, d):
+    t = traces(spark, d)
+    shape = stencil.cube_shape(t)
+    path = _file(spark, "cube.sgy")
+    io.write_segy(t, path, shape)
+    return stencil.points(io.read_segy(spark, _uri(path), shape[1], 1 << 16), "amp").select("x", "y", "z", "amp")
+
+
+@query("s21_s22_npy", _SAMPLES)
+def s21(spark, d):
+    t = traces(spark, d)
+    path = _file(spark, "AMP_cube.npy")
+    io.write_npy(t, path, stencil.cube_shape(t))
+    return stencil.points(io.read_npy(spark, _uri(path), 1 << 16), "amp").select("x", "y", "z", "amp")
+
+
+@query("s4_s9_feature_store", f"WITH {CUBE} SELECT x, y, CAST(z AS BIGINT) AS z, round(amp * 2, 6) + 0.0 AS amp FROM embeddings_cube")
+def s4(spark, d):
+    t = traces(spark, d).withColumn("feature", F.lit("AMP"))
+    twice = t.withColumn("feature", F.lit("TWICE")).withColumn("amp", F.transform("amp", lambda v: v * 2))
+    path = _uri(_file(spark, "features"))
+    io.write_features(t.unionByName(twice), path)
+    return stencil.points(io.read_features(spark, path, "TWICE"), "amp").select("x", "y", "z", r6("amp").alias("amp"))
+
+
+@query("s12_s20_csv", "SELECT well_id, well, x_coord, y_coord, CASE WHEN isnan(test_area) THEN NULL ELSE test_area END AS test_area FROM wells_info_completed")
+def s12(spark, d):
+    w = read(spark, d, "wells_info_completed").select("well_id", "well", "x_coord", "y_coord", "test_area")
+    path = _uri(_file(spark, "wells"))
+    io.write_csv(w, path)
+    return logs.no_nan(io.read_csv(spark, path, "well_id long, well string, x_coord int, y_coord int, test_area double"))
+
+
+@query("s14_plain_log", f"WITH {_CLEAN} SELECT log_id, depth, por FROM clean")
+def s14(spark, d):
+    path = _uri(_file(spark, "plain"))
+    _clean(spark, d).select(F.concat_ws(" ", "log_id", "depth", "por").alias("value")).write.text(path)
+    return io.read_plain(spark, path, "log_id long, depth double, por double")
+
+
+@query("s15_las", f"WITH {_CLEAN} SELECT run_id, min(depth) AS first, max(depth) AS last, count(*) AS n FROM clean GROUP BY run_id")
+def s15(spark, d):
+    path = _uri(_file(spark, "las"))
+    line = F.concat_ws(" ", F.format_string("%.17g", "depth"), F.format_string("%.17g", "por"))
+    head = F.concat(F.lit("~W\nNULL. -999.25 : none\n~A DEPTH POR\n"), F.array_join(F.array_agg(line), "\n"))
+    _clean(spark, d).groupBy("run_id").agg(head.alias("value")).write.partitionBy("run_id").text(path)
+    las = io.read_las(spark, path + "/*/*.txt").withColumn("run_id", F.regexp_extract("file", r"run_id=(\d+)", 1).cast("long"))
+    return las.groupBy("run_id").agg(F.min(F.get("values", F.lit(0))).alias("first"), F.max(F.get("values", F.lit(0))).alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+@query("s18_training_dump", f"{WITH_STATE} SELECT phi, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM state WHERE real IN (0, 1)")
+def s18(spark, d):
+    path = _uri(_file(spark, "dump"))
+    io.write_training_dump(predicates.PREDICTION.of(state(spark, d)), path, "phi", "x", "y", "z")
+    return io.read_training_dump(spark, path, ["phi", "x", "y", "z"])
+
+
+@query("s19_points_around_wells", f"WITH {CUBE}, {WELL_ROWS} SELECT well_id, x, y, z, amp AS phi FROM embeddings_cube JOIN wells ON abs(x - wx) <= 2 AND abs(y - wy) <= 2")
+def s19(spark, d):
+    path = _uri(_file(spark, "points"))
+    cube_of(spark, d).select(F.concat_ws(" ", "x", "y", "z", "amp").alias("value")).write.text(path)
+    p = io.read_numbers(spark, path, ["x", "y", "z", "phi"])
+    p = p.select(*[F.col(c).cast("int").alias(c) for c in ("x", "y", "z")], "phi")
+    return io.around_wells(p, WELLS, 2).select("well_id", "x", "y", "z", "phi")
+
+
+# Further operators.
+
+
+@query("x8_random_wells", f"{WITH_CUBE} SELECT CAST(nx * ny // 4 AS BIGINT) AS wells, CAST(nx * ny // 4 AS BIGINT) AS places, CAST(nx * ny // 4 * nz AS BIGINT) AS points, true AS inside FROM shape")
+def x8(spark, d):
+    box = geometry.Box(*stencil.cube_shape(traces(spark, d)))
+    w = cubes.random_wells(spark, box, box.nx * box.ny // 4)
+    inside = F.bool_and(F.col("x").between(0, box.nx - 1) & F.col("y").between(0, box.ny - 1) & F.col("z").between(0, box.nz - 1) & F.col("phi").between(0, 30))
+    return w.agg(F.countDistinct("well_id").alias("wells"), F.countDistinct("x", "y").alias("places"), F.count(F.lit(1)).alias("points"), inside.alias("inside"))
+
+
+@query("x12_scratch_sets", f"{WITH_STATE} SELECT CASE WHEN well_id IN (3) THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM state WHERE real IN (0, 1) AND (well_id NOT IN (3) OR real = 0) GROUP BY part")
+def x12(spark, d):
+    train, test = cubes.scratch_sets(state(spark, d), TEST)
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m13_rings", f"{WITH_STATE} SELECT real, CASE WHEN real = 5 AND o.ring IN (5, 6) THEN o.ring ELSE s.ring END AS ring, CASE WHEN real = 5 AND o.ring IN (5, 6) THEN o.well_id ELSE s.well_id END AS well_id, count(*) AS points, true AS in_range FROM state s JOIN own o USING (x, y) GROUP BY ALL".replace("SELECT real,", "SELECT CASE WHEN real = 5 AND o.ring IN (5, 6) THEN 1 ELSE real END AS real,"))
+def m13_rings(spark, d):
+    """The replayed cube by state, ring and well, and whether predictions stay within what was known."""
+    low, high = state(spark, d).where("real in (0, 1)").agg(F.min("phi"), F.max("phi")).first()
+    within = F.bool_and(~(F.col("real") == 1) | F.col("phi").between(low - 1e-6, high + 1e-6))
+    return m13(spark, d).groupBy("real", "ring", "well_id").agg(F.count(F.lit(1)).alias("points"), within.alias("in_range"))
+
+
+@query("g4_ring", f"{WITH_STATE} SELECT o.well_id, o.ring, count(*) AS points, 1 AS real, true AS in_range FROM state s JOIN own o USING (x, y) WHERE real = 5 AND o.ring = 5 GROUP BY ALL")
+def g4_ring(spark, d):
+    """The next ring's points by well, and whether predictions stay within what was known."""
+    low, high = state(spark, d).where("real in (0, 1)").agg(F.min("phi"), F.max("phi")).first()
+    g = g4(spark, d).groupBy("well_id", "ring", "real").agg(F.count(F.lit(1)).alias("points"), F.bool_and(F.col("phi").between(low - 1e-6, high + 1e-6)).alias("in_range"))
+    return g.select("well_id", "ring", "points", "real", "in_range")
+
+
+@query("m4_bounds", "SELECT feature, 27 AS tried, 3 AS folds, true AS ordered, true AS useful FROM (VALUES ('AMP'), ('SMOOTH')) f(feature)")
+def m4_bounds(spark, d):
+    """Candidates of the first round by feature: all displacements tried in all folds, MAE at most RMSE, and the best no worse than a constant."""
+    spread = predicates.SELECTION.wells([w[0] for w in TRAIN]).of(state(spark, d)).where("real = 0").agg(F.max(F.abs("phi")).alias("most"))
+    m = m4(spark, d).crossJoin(F.broadcast(spread))  # one row
+    return m.groupBy("feature").agg(
+        F.count(F.lit(1)).cast("int").alias("tried"), F.min("folds").alias("folds"), F.bool_and(F.col("mae") <= F.col("rmse") + 1e-9).alias("ordered"), (F.min("rmse") <= F.max("most")).alias("useful")
+    )
+
+
+@query("d5_sample_sizes", f"{_RINGS}, q AS (SELECT ring, well_id, count(*) AS n FROM known GROUP BY ALL) SELECT ring, well_id, true AS within FROM q")
+def d5_sizes(spark, d):
+    """The weighted sample holds of every ring and well what its quota says."""
+    points = P.from_ring(0).of(state(spark, d))
+    got = d5(spark, d).groupBy("ring", "well_id").agg(F.count(F.lit(1)).alias("n"))
+    return sampling.well_quotas(points, 3000).join(got, ["ring", "well_id"], "left").select("ring", "well_id", (F.coalesce("n", F.lit(0)) == F.col("quota")).alias("within"))
+
+
+@query("g7_canal_errors", f"""WITH {CUBE}, {WELL_ROWS}, {OWN}, canal AS (SELECT x, y, ring FROM own JOIN embeddings_cube USING (x, y) LEFT JOIN wells w ON x = wx AND y = wy WHERE w.well_id IS NULL AND amp > 0.1)
+  SELECT CAST(ring AS INTEGER) AS ring, count(*) AS n, true AS better_than_nothing FROM canal WHERE ring BETWEEN 1 AND 3 GROUP BY ring""")
+def g7(spark, d):
+    """Errors on canal points of three rings: fewer than those of no prediction at all."""
+    w = spark.createDataFrame(WELLS, "w int, x int, y int")
+    c = cube_of(spark, d).join(small(w), ["x", "y"], "left")
+    c = c.select("x", "y", "z", F.col("amp").alias("phi"), F.when(F.col("w").isNotNull(), 0).otherwise(F.when(F.col("amp") > 0.1, 2).otherwise(5)).alias("real"),
+                 F.when(F.col("w").isNotNull(), 0).otherwise(-1).alias("ring"), F.coalesce("w", F.lit(-1)).alias("well_id"))
+    f = _two_features(spark, d)
+    shape, chosen = stencil.cube_shape(f), [("AMP", (0, 0, 0))]
+    c = cut(c)
+    model = propagate.ring_model(c, f, TEST, chosen, shape, 1, _QUICK)
+    e = propagate.canal_errors(c, f, TRAIN, chosen, shape, [1, 2, 3], model)
+    return e.select("ring", "n", (F.col("rmse") < 0.25).alias("better_than_nothing"))
+
+
+@query("o4_best_of_all_sets", "SELECT true AS least, 1 AS n")
+def o4(spark, d):
+    """The best set of all rounds: no candidate of any round is better."""
+    f = _two_features(spark, d)
+    points = cut(predicates.SELECTION.wells([w[0] for w in TRAIN]).of(state(spark, d)))
+    _, first = selection.forward_selection(points, f, 0, stencil.cube_shape(f), 1, _QUICK)
+    _, second = selection.forward_selection(points, f, 0, stencil.cube_shape(f), 2, _QUICK)
+    best = selection.best_of_all([first, second])
+    every = first.select("rmse").unionAll(second.select("rmse")).agg(F.min("rmse").alias("most"))
+    return best.crossJoin(F.broadcast(every)).agg(F.bool_and(F.col("rmse") == F.col("most")).alias("least"), F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("h2_guided_search", "SELECT * FROM (VALUES (0, 6, 4), (1, 2, 8), (2, 1, 16)) t(stage, trials, rounds)")
+def h2(spark, d):
+    """Trials and boosting rounds of every stage of a guided search."""
+    f = _two_features(spark, d)
+    points = predicates.SELECTION.wells([w[0] for w in TRAIN]).of(state(spark, d))
+    p = lookup.with_features(points, f, [("AMP", (0, 0, 1)), ("SMOOTH", (0, 0, 0))], stencil.cube_shape(f))
+    g = selection.guided_search(cut(p), ["f0", "f1"], selection.random_space(spark, 6), _QUICK, (4, 8, 16))
+    return g.groupBy("stage").agg(F.count(F.lit(1)).cast("int").alias("trials"), F.max("rounds").alias("rounds"))

@@ -124,6 +124,37 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near.unionAll(inside_pairs(wells, areas).select(F.lit("inside"), "a_id", "b_id"))
 
 
+@query(
+    "p1_states",
+    "WITH once AS (SELECT log_id, " + ", ".join(f"any_value({_missing(f)}) AS {f}_gap" for f in FIELDS) + " FROM well_logs WHERE log_id IS NOT NULL GROUP BY log_id) SELECT log_id, "
+    + ", ".join(f"CASE WHEN {f}_gap THEN 'filled' ELSE 'measured' END AS {f}_state" for f in FIELDS) + ", true AS in_range FROM once",
+)
+def p1_states(spark: SparkSession, d: str) -> DataFrame:
+    """The mark of every cell, and whether the filled ones hold a porosity."""
+    p = p1_filled(spark, d)
+    good = [(F.col(f"{f}_state") != "filled") | F.coalesce(F.col(f).between(0, 100), F.lit(False)) for f in FIELDS]
+    return p.select("log_id", *[f"{f}_state" for f in FIELDS], (good[0] & good[1] & good[2]).alias("in_range"))
+
+
+@query(
+    "p2_steps",
+    f"""WITH once AS (SELECT run_id, log_id, CAST(floor(depth / n_meters) AS BIGINT) AS bucket, min(density_por) AS v FROM well_logs JOIN aggregation_params USING (campaign)
+        WHERE depth IS NOT NULL AND NOT isnan(depth) AND run_id IS NOT NULL AND NOT {_missing('density_por')} GROUP BY ALL),
+      cells AS (SELECT run_id, bucket, avg(greatest(0, least(100, v))) AS v, count(*) AS n FROM once GROUP BY ALL),
+      spans AS (SELECT run_id, min(bucket) AS lo, max(bucket) AS hi, min(v) AS least_v, max(v) AS most_v FROM cells GROUP BY run_id),
+      steps AS (SELECT run_id, unnest(range(lo, hi + 1)) AS bucket FROM spans)
+    SELECT run_id, bucket, coalesce(n, 0) AS n_readings, n IS NULL AS filled, round(v + 1e-7, 5) AS measured, true AS within_run FROM steps LEFT JOIN cells USING (run_id, bucket)""",
+)
+def p2_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Every step of every run with its measured mean, and whether filled ones stay within what the run has measured."""
+    g = p2_grid(spark, d)
+    v = F.col("density_por")
+    span = g.where("not filled").groupBy("run_id").agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
+    g = g.join(span, "run_id")
+    within = v.between(F.col("lo") - 1e-9, F.col("hi") + 1e-9)
+    return g.select("run_id", "bucket", "n_readings", "filled", F.when(~F.col("filled"), F.round(v + 1e-7, 5)).alias("measured"), within.alias("within_run"))
+
+
 #: Entries and their statements line by line, by regular expressions of their own.
 _ENTRIES = r"""l AS (SELECT log_file, line_no, max(raw_line) AS raw FROM run_log_lines WHERE line_no IS NOT NULL GROUP BY ALL),
   t AS (SELECT log_file, line_no, rtrim(regexp_replace(translate(raw, chr(9) || chr(160), '  '), '\x1b\[[0-9;]*[A-Za-z]|[\x00-\x08\x0b-\x1f\x7f\x{200b}\x{feff}]', '', 'g')) AS txt FROM l),
@@ -154,6 +185,19 @@ def p6_entries(spark: SparkSession, d: str) -> DataFrame:
     return parse_entries(read(spark, d, "run_log_lines"))
 
 
+@query(
+    "p6_values",
+    f"""WITH {_ENTRIES}, v AS (SELECT log_file, stream, first_line, line_no,
+        try_cast(replace(regexp_extract(body, '(?i)\\brmse"?\\s*[:=]?\\s*([+-]?\\d+(?:[.,]\\d+)?(?:[eE][+-]?\\d+)?)', 1), ',', '.') AS DOUBLE) AS r,
+        try_cast(replace(coalesce(nullif(regexp_extract(body, '(?i)\\b(?:took|tempo|total time\\(s\\)|seconds"?)\\s*[:=]?\\s*(\\d+(?:[.,]\\d+)?(?:[eE][+-]?\\d+)?)', 1), ''),
+          regexp_extract(body, '(\\d+(?:[.,]\\d+)?(?:[eE][+-]?\\d+)?)\\s*sec\\s+elapsed', 1)), ',', '.') AS DOUBLE) AS s FROM e)
+    SELECT log_file, CAST(first_line AS INTEGER) AS first_line, CAST(max(line_no) AS INTEGER) AS last_line, arg_min(r, line_no) AS rmse, arg_min(s, line_no) AS seconds FROM v GROUP BY log_file, stream, first_line""",
+)
+def p6_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry with the RMSE and the seconds that it states."""
+    return p6_entries(spark, d).select("log_file", "first_line", "last_line", "rmse", "seconds")
+
+
 @query("p6_templates")
 def p6_templates(spark: SparkSession, d: str) -> DataFrame:
     return mined_templates(read(spark, d, "run_log_lines"))

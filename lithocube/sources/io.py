@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -67,20 +69,77 @@ def depth_range(las: DataFrame) -> DataFrame:
     return las.groupBy("file").agg(F.min(F.get("values", F.lit(0))).alias("first"), F.max(F.get("values", F.lit(0))).alias("last"))
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """feature, x, y, amp: 3-D arrays in .npy files as traces; the feature is the file's stem."""
+#: Bytes of a file that one task reads.
+RANGE = 64 << 20
 
-    def parse(batches):
+
+def _ranges(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """path, at: the stretches of `size` bytes that files are read in, spread over tasks; no content is read here."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    r = files.select("path", F.explode(F.sequence(F.lit(0), F.floor(F.col("length") / size))).alias("k"))
+    n = r.count()
+    return r.select("path", (F.col("k") * size).alias("at")).repartition(max(1, min(n, 10_000)))
+
+
+def _open(path: str) -> Any:
+    """A file that can be sought in, on any file system that Arrow knows."""
+    from pyarrow import fs
+
+    where = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path
+    system, name = fs.FileSystem.from_uri(where) if "://" in where else (fs.LocalFileSystem(), where)
+    return system.open_input_file(name)
+
+
+def _stem(path: str) -> str:
+    return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+
+
+def read_npy(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """feature, x, y, amp: 3-D arrays in .npy files as traces; the feature is the file's stem.
+
+    Files are read in stretches of `size` bytes, so a large cube is many tasks. Arrays in column order are an error.
+    """
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path_, content in zip(pdf["path"], pdf["content"]):
-                cube = np.load(io.BytesIO(content), allow_pickle=False)
-                if cube.ndim != 3:
-                    raise ValueError(f"{path_}: not a cube")
-                name = path_.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-                for x in range(cube.shape[0]):
-                    yield pd.DataFrame({"feature": name, "x": x, "y": range(cube.shape[1]), "amp": [r.tolist() for r in cube[x].astype(float)]})
+            for path_, at in zip(pdf["path"], pdf["at"]):
+                with _open(path_) as f:
+                    version = np.lib.format.read_magic(f)
+                    shape, fortran, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+                    if len(shape) != 3 or fortran or kind.hasobject:
+                        raise ValueError(f"{path_}: not a cube of numbers in row order")
+                    first, length, count = f.tell(), shape[2] * kind.itemsize, shape[0] * shape[1]
+                    lo, hi = (min(count, max(0, -(-(p - first) // max(length, 1)))) for p in (at, at + size))
+                    step = max(1, (8 << 20) // max(length, 1))
+                    for i in range(lo, hi, step):
+                        j = min(i + step, hi)
+                        f.seek(first + i * length)
+                        rows = np.frombuffer(f.read((j - i) * length), kind).reshape(j - i, shape[2]).astype(float)
+                        k = np.arange(i, j)
+                        yield pd.DataFrame({"feature": _stem(path_), "x": k // shape[1], "y": k % shape[1], "amp": list(rows)})
+
+    return _ranges(spark, path, size).mapInPandas(parse, "feature string, x int, y int, amp array<double>")
+
+
+def write_npy(traces: DataFrame, path: str, shape: tuple[int, int, int], kind: str = "<f8") -> None:
+    """Traces (x, y, amp) as one .npy cube: the file is laid out first, every task then writes its own traces in place.
+
+    `path` is a file in a folder that all executors share as a file system. A task that is run again writes the same
+    bytes. Missing traces stay 0.
+    """
+    np.lib.format.open_memmap(path, mode="w+", dtype=np.dtype(kind), shape=shape).flush()
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "feature string, x int, y int, amp array<double>")
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cube = np.lib.format.open_memmap(path, mode="r+")
+        n = 0
+        for pdf in batches:
+            for x, y, amp in zip(pdf["x"], pdf["y"], pdf["amp"]):
+                cube[x, y, : len(amp)] = amp
+            n += len(pdf)
+        cube.flush()
+        yield pd.DataFrame({"n": [n]})
+
+    traces.select("x", "y", "amp").mapInPandas(put, "n long").agg(F.sum("n")).collect()
 
 
 def read_points_npy(spark: SparkSession, path: str) -> DataFrame:
@@ -103,27 +162,79 @@ def ibm_floats(raw: np.ndarray) -> np.ndarray:
     return sign * (v & 0x00FFFFFF).astype(float) / 2**24 * 16.0**exponent
 
 
-def read_segy(spark: SparkSession, path: str, crosslines: int) -> DataFrame:
+def read_segy(spark: SparkSession, path: str, crosslines: int, size: int = RANGE) -> DataFrame:
     """file, x, y, amp: SEG-Y traces as a cube of `crosslines` columns; trace i lies at (i div crosslines, i mod crosslines).
 
     Sample formats 1 (hexadecimal) and 5 (IEEE). A number of traces that the crosslines do not divide is an error.
+    Traces of a file are all of one length, so a task finds those of its stretch of `size` bytes by arithmetic.
     """
 
-    def parse(batches):
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path_, content in zip(pdf["path"], pdf["content"]):
-                head = content[3200:3600]
-                n, form = int.from_bytes(head[20:22], "big"), int.from_bytes(head[24:26], "big")
-                size = 240 + 4 * n
-                count, rest = divmod(len(content) - 3600, size)
-                if rest or count % crosslines:
-                    raise ValueError(f"{path_}: {count} traces are not whole lines of {crosslines}")
-                body = np.frombuffer(content, np.uint8, offset=3600).reshape(count, size)[:, 240:].copy()
-                amp = ibm_floats(body.view(">u4")) if form == 1 else body.view(">f4").astype(float)
-                i = np.arange(count)
-                yield pd.DataFrame({"file": path_, "x": i // crosslines, "y": i % crosslines, "amp": [r.tolist() for r in amp]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "file string, x int, y int, amp array<double>")
+            for path_, at in zip(pdf["path"], pdf["at"]):
+                with _open(path_) as f:
+                    head = f.read(3600)[3200:]
+                    n, form = int.from_bytes(head[20:22], "big"), int.from_bytes(head[24:26], "big")
+                    length = 240 + 4 * n
+                    count, rest = divmod(f.size() - 3600, length)
+                    if rest or count % crosslines:
+                        raise ValueError(f"{path_}: {count} traces are not whole lines of {crosslines}")
+                    lo, hi = (min(count, max(0, -(-(p - 3600) // length))) for p in (at, at + size))
+                    step = max(1, (8 << 20) // length)
+                    for i in range(lo, hi, step):
+                        j = min(i + step, hi)
+                        f.seek(3600 + i * length)
+                        body = np.frombuffer(f.read((j - i) * length), np.uint8).reshape(j - i, length)[:, 240:].copy()
+                        amp = ibm_floats(body.view(">u4")) if form == 1 else body.view(">f4").astype(float)
+                        k = np.arange(i, j)
+                        yield pd.DataFrame({"file": path_, "x": k // crosslines, "y": k % crosslines, "amp": list(amp)})
+
+    return _ranges(spark, path, size).mapInPandas(parse, "file string, x int, y int, amp array<double>")
+
+
+def write_segy(traces: DataFrame, path: str, shape: tuple[int, int, int], step_us: int = 4000) -> None:
+    """Traces (x, y, amp) as one SEG-Y file of IEEE samples, written in place as write_npy does."""
+    nx, ny, nz = shape
+    head = bytearray(3600)
+    head[3216:3218], head[3220:3222], head[3224:3226] = step_us.to_bytes(2, "big"), nz.to_bytes(2, "big"), (5).to_bytes(2, "big")
+    length = 240 + 4 * nz
+    with open(path, "wb") as f:
+        f.write(bytes(head))
+        f.truncate(3600 + nx * ny * length)
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = 0
+        with open(path, "r+b") as f:
+            for pdf in batches:
+                for x, y, amp in zip(pdf["x"], pdf["y"], pdf["amp"]):
+                    i = int(x) * ny + int(y)
+                    mark = bytearray(240)
+                    mark[0:4], mark[114:116], mark[188:192], mark[192:196] = (i + 1).to_bytes(4, "big"), nz.to_bytes(2, "big"), int(x).to_bytes(4, "big"), int(y).to_bytes(4, "big")
+                    f.seek(3600 + i * length)
+                    f.write(bytes(mark) + np.resize(np.asarray(amp, ">f4"), nz).tobytes())
+                n += len(pdf)
+        yield pd.DataFrame({"n": [n]})
+
+    traces.select("x", "y", "amp").mapInPandas(put, "n long").agg(F.sum("n")).collect()
+
+
+def write_training_dump(points: DataFrame, path: str, *names: str) -> None:
+    """Training rows as text, one list of (target, feature values) a line, as write_csv does for tables."""
+    row = F.concat(F.lit("("), F.concat_ws(", ", *[F.col(n).cast("string") for n in names]), F.lit(")"))
+    points.select(row.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_training_dump(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Columns of numbers of a text of (a, b, ...) rows; what is no number is null."""
+    t = F.split(F.regexp_replace(F.trim("value"), r"^\(|\)$", ""), r",\s*")
+    return spark.read.text(path).where("trim(value) <> ''").select(*[F.get(t, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(names)])
+
+
+def around_wells(points: DataFrame, wells: list[tuple[int, int, int]], reach: int) -> DataFrame:
+    """Points (x, y and others) within the square of `reach` around a well (well_id, x, y), once per well; wells are a
+    short list of settings."""
+    near = F.array_compact(F.array(*[F.when((F.abs(F.col("x") - wx) <= reach) & (F.abs(F.col("y") - wy) <= reach), F.lit(w)) for w, wx, wy in wells]))
+    return points.withColumn("well_id", F.explode(near))
 
 
 def read_feature_sets(spark: SparkSession, path: str) -> DataFrame:
@@ -163,9 +274,12 @@ def feature_catalog(spark: SparkSession, glob: str, first: int | None = None) ->
     return c if first is None else c.orderBy("feature").limit(first)
 
 
-def write_features(traces: DataFrame, path: str) -> None:
-    """Traces by feature: each feature is a partition that is read alone."""
-    traces.repartition("feature").sortWithinPartitions("x", "y").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("feature").parquet(path)
+def write_features(traces: DataFrame, path: str, pieces: int | None = None) -> None:
+    """Traces by feature: each feature is a partition that is read alone, in `pieces` files of neighbouring lines
+    (by default as many as the session's shuffles have, where a feature has so many lines)."""
+    pieces = pieces or int(traces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lying = traces.withColumn("_p", F.floor(F.col("x") / 32)).repartition(pieces, "feature", "_p").sortWithinPartitions("feature", "x", "y").drop("_p")
+    lying.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("feature").parquet(path)
 
 
 def read_features(spark: SparkSession, path: str, *names: str) -> DataFrame:

@@ -35,7 +35,7 @@ def test_crowded_spot_is_whole(spark):
     assert rows(near_pairs(points(spark, data), 25)) == sorted(brute_near(data, 25), key=repr)
 
 
-def test_regions(spark):
+def test_regions(spark, monkeypatch):
     rng = np.random.default_rng(4)
     data = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 30_000, (400, 2)))] + [(900, 100.0, 200.0), (901, None, 3.0), (902, -5.0, 5.0)]
     areas = [(1, 0.0, 20_000.0, 0.0, 20_000.0), (2, 9000.0, 5000.0, 12_000.0, 4000.0), (3, 100.0, 100.0, 200.0, 200.0), (4, None, 9e9, 0.0, 9e9), (5, 25_000.0, 1e9, -1e9, 1e9),
@@ -43,6 +43,12 @@ def test_regions(spark):
     want = sorted({(a, p) for p, x, y in data if x is not None and x >= 0 for a, x0, x1, y0, y1 in areas if x0 is not None and min(x0, x1) <= x <= max(x0, x1) and min(y0, y1) <= y <= max(y0, y1)}, key=repr)
     got = rows(inside_pairs(points(spark, data), spark.createDataFrame([(*a, "") for a in areas], AREAS)))
     assert got == want and (3, 900) in got
+    monkeypatch.setattr("lithocube.operators.near.BROADCAST_ROWS", 1)
+    assert rows(inside_pairs(points(spark, data), spark.createDataFrame([(*a, "") for a in areas], AREAS))) == want
+    far = [*data, (903, 9e14, 9e14)]
+    wide = [(1, 0.0, 9.5e14, 0.0, 9.5e14, "")]
+    monkeypatch.undo()
+    assert len(rows(inside_pairs(points(spark, far), spark.createDataFrame(wide, AREAS)))) == 402
 
 
 def test_empty(spark):

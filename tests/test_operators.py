@@ -96,7 +96,7 @@ def test_tiles_that_rings_touch(spark):
         assert want == got
 
 
-# Predicates and cubes.
+# Predicates and cube.
 
 
 def test_predicates(spark):
@@ -390,3 +390,100 @@ def test_scalars(spark):
     r = spark.range(1).select(scalars.round_half_even(F.lit(0.00005), 4).alias("a"), scalars.name_of_file(F.lit("/d/abc_1.csv")).alias("b"), scalars.beta_density(F.lit(0.5), 1.0, 1.0).alias("c"),
                               scalars.well_type(F.lit(1), F.lit(2500)).alias("d"), scalars.is_header(F.lit("depth por")).alias("e"), scalars.depth_index(F.lit(12.0), 5.0, F.lit(7.0)).alias("f")).first()
     assert (r.a, r.b, r.c, r.d, r.e, r.f) == (0.0, "ABC", 1.0, "complete", True, 1)
+
+
+def test_overlaps_against_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    pts = [(i, int(x), int(y)) for i, (x, y) in enumerate(rng.integers(0, 60, (80, 2)))]
+    box = geometry.Box(60, 60, 2)
+    for it in (0, 1, 5):
+        s = geometry.extents(spark.createDataFrame(pts, "well_id int, x int, y int"), box, F.lit(it))
+        want = []
+        for i, a in enumerate(pts):
+            for b in pts[i + 1 :]:
+                if it and (v := geometry.overlap_volume(a, b, it, box)):
+                    want.append((a[0], b[0], v))
+        assert rows(geometry.overlaps(s, box), "a", "b", "points") == sorted(want, key=repr)
+
+
+def test_many_areas_meet_wells_in_cells(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    w = spark.createDataFrame([(i, int(x), int(y)) for i, (x, y) in enumerate(rng.integers(0, 5000, (60, 2)))] + [(90, None, 3), (91, 10**8, 10**8)], "well_id long, x_coord int, y_coord int")
+    a = spark.createDataFrame([(i, f"a{i}", int(x), int(x + d), int(y), int(y + d)) for i, (x, y, d) in enumerate(rng.integers(0, 4000, (40, 3)))] + [(99, "all", 0, 2 * 10**8, 0, 2 * 10**8)], "area_id long, area string, min_x int, max_x int, min_y int, max_y int")
+    few = rows(logs.wells_in_areas(w, a)), rows(logs.first_area(w, a))
+    monkeypatch.setattr(logs, "_few", lambda df, rows=0: False)
+    assert (rows(logs.wells_in_areas(w, a)), rows(logs.first_area(w, a))) == few and len(few[0]) > 60 and len(few[1]) == 62
+
+
+def test_interpolation_of_many_values_is_linear(spark):
+    log = spark.createDataFrame([(1, float(z), float(z) if z % 3 else None, float(2 * z)) for z in range(0, 40, 2)] + [(2, 5.0, 1.0, None)], "w int, depth double, a double, b double")
+    t = spark.createDataFrame([(float(z),) for z in range(-2, 42)], "depth double")
+    got = {(r.w, r.depth): (r.a, r.b) for r in logs.interpolated(log, ["w"], t, ["a", "b"]).collect()}
+    for z in range(-2, 42):
+        assert got[1, float(z)] == (min(max(z, 2), 38), 2 * min(max(z, 0), 38)) and got[2, float(z)] == (1.0, None)
+
+
+def test_stencils_go_axis_by_axis(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    padded = rng.normal(size=(9, 10, 12))
+    for window in ((3, 3, 3), (1, 5, 3), (2, 3, 4)):
+        for how, f in stencil.REDUCTIONS.items():
+            views = stencil._views(padded, window)
+            want = f(views.reshape(*views.shape[:3], -1), axis=-1)
+            assert np.allclose(stencil.reduction(window, how)(padded), want)
+    monkeypatch.setattr(stencil, "COPY", 100)
+    v = stencil._views(padded, (3, 3, 3))
+    assert np.allclose(stencil.reduction((3, 3, 3), "median")(padded), np.median(v.reshape(*v.shape[:3], -1), axis=-1))
+
+
+def test_bootstrap_draws_about_n_a_side(spark):
+    d = spark.range(3000).select("id", (F.col("id") % 3 == 0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("v"))
+    for n in (50, 2000):
+        z = [r.z for r in stats.bootstrap_z(d, "v", "side", "id", n=n, reps=60).collect()]
+        assert len(z) == 60 and abs(np.mean(z)) < 3 and 0.6 < np.std(z) < 1.5
+
+
+def test_guided_search_halves_and_goes_on(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(90, 2))
+    pts = [(i % 3, int(i), 0, 0, 0 if i % 2 else 1, float(2 * a + b), float(a), float(b)) for i, (a, b) in enumerate(x)]
+    p = spark.createDataFrame(pts, "well_id int, x int, y int, z int, real int, phi double, f0 double, f1 double")
+    base = gbdt.Params(min_data=2, num_leaves=4)
+    space = selection.random_space(spark, 9)
+    g = selection.guided_search(p, ["f0", "f1"], space, base, (2, 6, 12), path=str(tmp_path / "search"))
+    assert sorted((r.stage, r["count"]) for r in g.groupBy("stage").count().collect()) == [(0, 9), (1, 3), (2, 1)]
+    first = {r.trial: r.rmse for r in g.where("stage = 0").collect()}
+    assert {r.trial for r in g.where("stage = 1").collect()} == set(sorted(first, key=lambda k: (first[k], k))[:3])
+    calls = []
+    inner = selection.parameter_search
+    selection.parameter_search = lambda pts_, f, s, b: calls.append(s.count()) or inner(pts_, f, s, b)
+    try:
+        again = selection.guided_search(p, ["f0", "f1"], space, base, (2, 6, 12), done=spark.read.parquet(str(tmp_path / "search")).where("stage < 2"))
+    finally:
+        selection.parameter_search = inner
+    assert calls == [0, 0, 1] and rows(again, "stage", "trial", "rmse") == rows(g, "stage", "trial", "rmse")
+
+
+def test_best_of_all_may_be_an_earlier_set(spark):
+    s = "feature string, dx int, dy int, dz int, rmse double, mae double, folds int"
+    one, two = spark.createDataFrame([("A", 0, 0, 0, 0.5, 0.4, 2)], s), spark.createDataFrame([("B", 0, 0, 0, 0.6, 0.4, 2), ("C", 0, 0, 0, None, None, 0)], s)
+    r = selection.best_of_all([one, two]).first()
+    assert (r["feature"], r["round"]) == ("A", 0)
+
+
+def test_models_are_written_and_read_exactly():
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(200, 3))
+    m = gbdt.train(x, x[:, 0] * 2 + x[:, 1], gbdt.Params(rounds=20, min_data=5))
+    assert (gbdt.Model.loads(m.dumps()).predict(x) == m.predict(x)).all()
+
+
+def test_random_wells_and_scratch_sets(spark):
+    box = geometry.Box(7, 5, 3)
+    w = cube.random_wells(spark, box, 35, first_id=10)
+    assert w.count() == 105 and w.select("x", "y").distinct().count() == 35 and w.agg(F.min("well_id")).first()[0] == 10
+    with pytest.raises(ValueError):
+        cube.random_wells(spark, box, 36)
+    c = cube.overlay(cube.empty_cube(spark, box), w.where("well_id < 14"))
+    train, test = cube.scratch_sets(c, [12])
+    assert train.count() == 9 and test.count() == 3 and cube.scratch_sets(c, [], 0.0)[0].count() == 0

@@ -35,6 +35,32 @@ def test_segy(spark, tmp_path):
     assert io.ibm_floats(np.array([0xC276A000, 0x41100000, 0])).tolist() == [-118.625, 1.0, 0.0]
 
 
+def test_files_are_read_in_stretches(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(7, 9, 11)).astype("f4")
+    np.save(tmp_path / "A_x.npy", a)
+    t = io.read_npy(spark, str(tmp_path / "A_x.npy"), 1000)
+    whole = {(x, y): a[x, y].astype(float).tolist() for x in range(7) for y in range(9)}
+    assert {(r.x, r.y): r.amp for r in t.collect()} == whole and t.count() == 63
+    io.write_npy(t, str(tmp_path / "B_x.npy"), (7, 9, 11), "<f4")
+    assert (np.load(tmp_path / "B_x.npy") == a).all()
+    io.write_segy(t, str(tmp_path / "c.sgy"), (7, 9, 11))
+    s = io.read_segy(spark, str(tmp_path / "c.sgy"), 9, 700)
+    assert {(r.x, r.y): r.amp for r in s.collect()} == whole and s.count() == 63
+    np.save(tmp_path / "flat.npy", np.zeros((2, 2)))
+    with pytest.raises(Exception, match="not a cube"):
+        io.read_npy(spark, str(tmp_path / "flat.npy")).count()
+    np.save(tmp_path / "none.npy", np.zeros((0, 3, 4)))
+    assert io.read_npy(spark, str(tmp_path / "none.npy")).count() == 0
+
+
+def test_dump_and_points_around_wells(spark, tmp_path):
+    p = spark.createDataFrame([(0.5, 1, 2, None), (1.5, 3, 4, 2.5)], "phi double, x int, y int, f double")
+    io.write_training_dump(p.fillna(0.0), str(tmp_path / "dump"), "phi", "x", "f")
+    assert rows(io.read_training_dump(spark, str(tmp_path / "dump"), ["phi", "x", "f"])) == [(0.5, 1.0, 0.0), (1.5, 3.0, 2.5)]
+    assert rows(io.around_wells(p.select("x", "y"), [(0, 1, 1), (1, 2, 3)], 1)) == [(1, 2, 0), (1, 2, 1), (3, 4, 1)]
+
+
 def test_text_formats(spark, tmp_path):
     (tmp_path / "WELL1_log.csv").write_text("depth,por\n1.5,NaN\n2.5,20.0\n")
     (tmp_path / "OTHER_log.csv").write_text("depth,por\n1.5,1\n")
@@ -74,13 +100,21 @@ def test_config():
         config.load(bad, check=False)
     with pytest.raises(TypeError):
         config.load({"alg": {"num_its": "x"}})
+    c2 = config.load({"wells": {"coords": [{"x": "1", "y": 2}, {"x": 3, "y": 4}]}, "alg": {"starting_it": 7, "save_cube_every_n_its": 2, "parallel": {"max_points_per_chunk": 100}, "save_models_on": [1, 3]}})
+    assert c2.wells == [(0, 1, 2), (1, 3, 4)] and c2.it == 7 and c2.save_cube_every == 2 and c2.max_points_per_chunk == 100 and c2.save_list == [1, 3]
+    for bad in ({"alg": {"starting_iteration": 3}}, {"colour": 1}, {"alg": {"sampling": {"beta_dist": {"gamma": 2}}}}, {"alg": {"parallel": {"max_points_per_chunk": 0}}}):
+        with pytest.raises(ValueError):
+            config.load(bad)
+    for bad in ([{"x": 1}], [[1]], 5):
+        with pytest.raises(TypeError):
+            config.load({"wells": {"coords": bad}})
     with pytest.raises(KeyError):
         c.well_at(9, 9)
 
 
 def test_whole_run_and_resume(spark, tmp_path):
     from lithocube.operators import cube as cubes
-    from lithocube.operators import gbdt
+    from lithocube.operators import gbdt, propagate
     from lithocube.operators.geometry import Box
 
     a = np.random.default_rng(1).normal(size=(9, 8, 5))
@@ -98,6 +132,23 @@ def test_whole_run_and_resume(spark, tmp_path):
     assert spark.read.parquet(path).where("ring = 2").count() == 125
     c.it, c.num_its, c.sampling.max_points = 3, 1, 50
     assert run(done, t, c)[1][0].points > 0
+    # Rings are appended: the cube is as if every point had been rewritten, and a saved model repeats its ring.
+    assert done.count() == 360 and done.select("x", "y", "z").distinct().count() == 360 and done.where("real = 5").count() == 360 - 205
+    c = config.Config(wells=wells, test_only_wells=[2], window=0, num_its=3, params=gbdt.Params(rounds=10, min_data=1), save_models_on=config.Save.EVERY_N, save_every=2, max_points_per_chunk=4)
+    models = str(tmp_path / "models")
+    now, its = run(cube, t, c, models=models)
+    assert [r.it for r in spark.read.parquet(models).select("it").collect()] == [2]
+    model, chosen = propagate.load_model(spark, models)
+    ring, _ = propagate.propagate_ring(now.where("ring < 2"), t, wells, [2], chosen, (9, 8, 5), 2, model=model)
+    assert ring.count() == 0  # nothing empty is left without the cube's empty points
+    base = cubes.update_where(now, F.col("ring") >= 2, real=5, ring=-1, well_id=-1, phi=0.0)
+    again, _ = propagate.propagate_ring(base, t, wells, [2], chosen, (9, 8, 5), 2, model=model)
+    assert rows(again.select("x", "y", "z", "phi")) == rows(now.where("ring = 2").select("x", "y", "z", "phi"))
+    assert propagate.load_model(spark, models, 2)[1] == chosen
+    with pytest.raises(LookupError):
+        propagate.load_model(spark, models, 1)
+    c.wells = wells[:1]
+    assert run(cube, t, c)[1][-1].ended.startswith("no candidate")
 
 
 def test_ring_model_is_trained_on_the_sample(spark, monkeypatch):
