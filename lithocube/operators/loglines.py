@@ -61,29 +61,29 @@ _WORD = re.compile(r"[^\W\d_]")
 
 
 def masked(lines: DataFrame) -> DataFrame:
-    """`lines` (raw_line and others) with stream, body, head, stamp, rest, shape, numbers; blank lines are left out.
+    """`lines` (raw_line and others) with stream, body, head, lead, masked, shape, severity, filled.
 
-    `head`: the line opens an entry; `rest`: what follows its timestamp. All expressions stay in the scan's stage.
+    `head`: the line opens an entry; `lead`: its beginning up to the timestamp; `masked`: what follows, with lists and
+    timestamps as placeholders, null where it holds none; `filled`: it is not blank. All in the scan's stage, each
+    expression once: nothing is filtered here, as a filter would be worked out apart.
     """
-    text = F.rtrim(F.regexp_replace(F.translate(F.coalesce("raw_line", F.lit("")), "\t\xa0", "  "), _UNSEEN, ""))
-    d = lines.withColumn("_t", text).where("trim(_t) <> ''")
-    process = F.when(F.col("_t").startswith("["), F.regexp_extract("_t", _STREAM, 0)).otherwise(F.lit(""))
-    d = d.withColumn("_p", process)
-    d = d.withColumns({"stream": F.regexp_replace("_p", _STREAM, "$1,$2"), "body": F.expr("substring(_t, length(_p) + 1)")}).where("trim(body) <> ''")
-    opening = F.substring("body", 1, 1).rlike(r"[\d=t<{A-Z]")
-    d = d.withColumn("_h", F.when(opening, F.regexp_extract("body", _HEAD, 1)).otherwise(F.lit("")))
-    d = d.withColumn("head", (F.col("_h") != "") | F.col("body").startswith("{"))
-    d = d.withColumn("rest", F.expr("substring(body, length(_h) + 1)"))
-    quoted = F.col("rest").contains('"') & F.col("rest").contains("T")
-    plain = F.when(quoted, F.regexp_replace("rest", _STAMPS[0], STAMP)).otherwise(F.col("rest"))
-    d = d.withColumn("_m", F.when(F.col("rest").contains("_") | F.col("rest").contains("('"), F.regexp_replace(plain, _LISTED, LIST)).otherwise(plain))
-    kind = F.when(F.col("_h") == "", F.lit("")).otherwise(F.regexp_replace(F.regexp_replace("_h", "[A-Z][a-z]{2} +", "M "), r"\d++", "0"))
-    d = d.withColumns({
-        "numbers": F.regexp_extract_all("_m", F.lit(_NUMBER), F.lit(0)), "shape": F.concat(kind, F.lit("\n"), F.regexp_replace("_m", _NUMBER, NUM)),
-        "stamp": F.when(F.col("_h") != "", F.regexp_extract("body", _HEAD, 2)),
-        "severity": F.when(F.col("_h").startswith("<"), F.substring("_h", 2, 1)),
-    })
-    return d.drop("_t", "_p", "_h", "_m", "raw_line")
+    raw = F.coalesce("raw_line", F.lit(""))
+    raw = F.when(raw.contains("\t") | raw.contains("\xa0"), F.translate(raw, "\t\xa0", "  ")).otherwise(raw)
+    d = lines.withColumn("_t", F.rtrim(F.regexp_replace(raw, _UNSEEN, "")))
+    d = d.withColumn("_p", F.when(F.col("_t").startswith("["), F.regexp_extract("_t", _STREAM, 0)).otherwise(F.lit("")))
+    d = d.withColumns({"stream": F.when(F.col("_p") == "", "").otherwise(F.regexp_replace("_p", _STREAM, "$1,$2")), "body": F.expr("substring(_t, length(_p) + 1)")})
+    first = F.substring("body", 1, 1)
+    d = d.withColumn("lead", F.when(first.between("0", "9") | first.isin("=", "t", "<") | first.between("A", "Z"), F.regexp_extract("body", _HEAD, 1)).otherwise(F.lit("")))
+    d = d.withColumn("_r", F.expr("substring(body, length(lead) + 1)"))
+    stamped = F.when(F.col("_r").contains('"') & F.col("_r").contains("T"), F.regexp_replace("_r", _STAMPS[0], STAMP)).otherwise(F.col("_r"))
+    d = d.withColumn("_s", stamped)
+    d = d.withColumn("_m", F.when(F.col("_s").contains("_") | F.col("_s").contains("('"), F.regexp_replace("_s", _LISTED, LIST)).otherwise(F.col("_s")))
+    kind = F.when(F.col("lead") == "", F.lit("")).otherwise(F.regexp_replace(F.regexp_replace("lead", "[A-Z][a-z]{2} +", "M "), r"\d++", "0"))
+    return d.select(
+        *[c for c in lines.columns if c != "raw_line"], "stream", "body", "lead", ((F.col("lead") != "") | F.col("body").startswith("{")).alias("head"),
+        F.when(F.col("_m") != F.col("_r"), F.col("_m")).alias("masked"), F.concat(kind, F.lit("\n"), F.regexp_replace("_m", _NUMBER, NUM)).alias("shape"),
+        F.when(F.col("lead").startswith("<"), F.substring("lead", 2, 1)).alias("severity"), (F.trim("body") != "").alias("filled"),
+    )
 
 
 def tokens(shape: str) -> list[tuple[str, int]]:
@@ -203,11 +203,11 @@ def _lines(log_lines: DataFrame, block: int) -> DataFrame:
         F.coalesce(F.col("log_file"), F.lit("\0")).alias("file"), F.col("line_no").cast("int").alias("line_no"), "raw_line", shipped.alias("shipped")
     ).withColumn("block", F.floor(F.col("line_no") / block))
     d = d.repartition("file", "block")
-    latest = Window.partitionBy("file", "block", "line_no").orderBy(F.desc_nulls_last("raw_line"), "shipped")
-    first = F.min("shipped").over(Window.partitionBy("file", "block", "line_no"))
-    d = masked(d.withColumn("shipped", first).withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").drop("_rn"))
+    latest = Window.partitionBy("file", "block", "line_no").orderBy(F.desc_nulls_last("raw_line"), F.asc_nulls_last("shipped"))
+    d = masked(d.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").drop("_rn"))
     up_to = Window.partitionBy("file", "block", "stream").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return cut(d.withColumn("opened", F.last(F.when(F.col("head"), F.col("line_no")), ignorenulls=True).over(up_to)))
+    d = d.withColumn("opened", F.last(F.when(F.col("head"), F.col("line_no")), ignorenulls=True).over(up_to))
+    return cut(d.where("filled").drop("filled"))
 
 
 def _shapes(lines: DataFrame) -> DataFrame:
@@ -249,15 +249,21 @@ def parse_entries(log_lines: DataFrame, share: float = SHARE, block: int = BLOCK
     plans = mined_plans(_shapes(lines), share, least).drop("n", "template", "way")
     named = plans.withColumnsRenamed({c: "at_" + c for c in ("iteration", "rmse", "seconds")})
     d = _with_first(lines).join(small(named), "shape")
+    # Numbers are taken out only of lines whose plan names one of them (or has some before the message).
+    d = d.withColumn("rest", F.expr("substring(body, length(lead) + 1)"))
+    asked = F.col("at_iteration").isNotNull() | F.col("at_rmse").isNotNull() | F.col("at_seconds").isNotNull()
+    taken = lambda when: F.when(when, F.regexp_extract_all(F.coalesce("masked", "rest"), F.lit(_NUMBER), F.lit(0)))
+    d = d.withColumn("numbers", taken(asked))
     literal = lambda c: F.get("numbers", F.col("at_" + c))
     value = lambda c: F.expr(f"try_cast(replace(get(numbers, at_{c}), ',', '.') as double)")
     feats = F.when(F.col("shape").contains(LIST), F.regexp_extract_all("rest", F.lit(_FEATURE), F.lit(0)))
     keyed = F.regexp_extract("rest", r'(?:\bmsg=|"(?:msg|message)"\s*:\s*)"((?:[^"\\]|\\.)*)"', 1)
-    lead = F.col("cut") - F.col("cut_numbers") + F.aggregate(F.slice("numbers", F.lit(1), F.greatest(F.col("cut_numbers"), F.lit(0))), F.lit(0), lambda a, x: a + F.length(x))
+    before = F.slice(taken(F.col("cut_numbers") > 0), F.lit(1), F.greatest(F.col("cut_numbers"), F.lit(0)))
+    lead = F.col("cut") - F.col("cut_numbers") + F.coalesce(F.aggregate(before, F.lit(0), lambda a, x: a + F.length(x)), F.lit(0))
     d = d.withColumns({
         "_it": F.when(literal("iteration").rlike(r"^\d{1,9}$"), literal("iteration").cast("int")), "_rmse": value("rmse"), "_sec": value("seconds"),
         "_feats": feats, "_lists": F.col("shape").contains(LIST),
-        "_stamp": F.coalesce("stamp", F.when(F.col("stamped"), F.regexp_extract("rest", _STAMPS[0], 0))),
+        "_stamp": F.coalesce(F.when(F.col("lead") != "", F.regexp_extract("body", _HEAD, 2)), F.when(F.col("stamped"), F.regexp_extract("rest", _STAMPS[0], 0))),
         "_level": F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SYSLOG.items() for x in kv]), F.coalesce("severity", F.lit(""))), F.col("level")),
         "_json": F.col("head") & F.col("body").startswith("{"),
         "_keyed": F.when(F.col("keyed"), keyed),
