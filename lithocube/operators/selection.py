@@ -149,7 +149,7 @@ def guided_search(
         out = got if out is None else out.unionByName(got)
         n = max(1, int(np.ceil(n * keep)))
         best = [r["trial"] for r in got.where("rmse is not null").orderBy("rmse", "trial").limit(n).collect()]
-        left = left.join(small(spark.createDataFrame([(b,) for b in best], space.schema["trial"].dataType.simpleString()).toDF("trial")), "trial", "left_semi")
+        left = left.join(small(spark.createDataFrame([(b,) for b in best], f"trial {space.schema['trial'].dataType.simpleString()}")), "trial", "left_semi")
     return out
 
 

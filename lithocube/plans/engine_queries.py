@@ -1123,8 +1123,9 @@ def m4_bounds(spark, d):
 def d5_sizes(spark, d):
     """The weighted sample holds of every ring and well what its quota says."""
     points = P.from_ring(0).of(state(spark, d))
-    got = d5(spark, d).groupBy("ring", "well_id").agg(F.count(F.lit(1)).alias("n"))
-    return sampling.well_quotas(points, 3000).join(got, ["ring", "well_id"], "left").select("ring", "well_id", (F.coalesce("n", F.lit(0)) == F.col("quota")).alias("within"))
+    got = d5(spark, d).groupBy("ring", "well_id").agg(F.count(F.lit(1)).alias("drawn"))
+    quotas = sampling.well_quotas(points, 3000).join(got, ["ring", "well_id"], "left")
+    return quotas.select("ring", "well_id", (F.coalesce("drawn", F.lit(0)) == F.col("quota")).alias("within"))
 
 
 @query("g7_canal_errors", f"""WITH {CUBE}, {WELL_ROWS}, {OWN}, canal AS (SELECT x, y, ring FROM own JOIN embeddings_cube USING (x, y) LEFT JOIN wells w ON x = wx AND y = wy WHERE w.well_id IS NULL AND amp > 0.1)

@@ -210,8 +210,10 @@ def write_segy(traces: DataFrame, path: str, shape: tuple[int, int, int], step_u
                     i = int(x) * ny + int(y)
                     mark = bytearray(240)
                     mark[0:4], mark[114:116], mark[188:192], mark[192:196] = (i + 1).to_bytes(4, "big"), nz.to_bytes(2, "big"), int(x).to_bytes(4, "big"), int(y).to_bytes(4, "big")
+                    samples = np.zeros(nz, ">f4")
+                    samples[: len(amp)] = amp
                     f.seek(3600 + i * length)
-                    f.write(bytes(mark) + np.resize(np.asarray(amp, ">f4"), nz).tobytes())
+                    f.write(bytes(mark) + samples.tobytes())
                 n += len(pdf)
         yield pd.DataFrame({"n": [n]})
 
