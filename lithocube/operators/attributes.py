@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithocube.functions.curvature import attributes, with_shared
+from lithocube.sources.io import write_features
 from lithocube.operators.stencil import _inner, _views, cube_shape, half, on_tiles, points
 
 
@@ -201,3 +205,19 @@ def complex_trace(traces: DataFrame) -> DataFrame:
 
     kind = lambda c: traces.schema[c].dataType.simpleString()
     return traces.select("x", "y", "amp").mapInPandas(run, f"x {kind('x')}, y {kind('y')}, envelope array<double>, phase array<double>, frequency array<double>")
+
+
+def apply_and_save(traces: DataFrame, functions: dict[str, Callable[[DataFrame], DataFrame]], path: str) -> DataFrame:
+    """Each of `functions` on `traces`, written as a feature of its name; one that fails is skipped.
+
+    Result: feature, error (null where it was written), one row per function, in order.
+    """
+    done: list[tuple[str, str | None]] = []
+    for name, f in functions.items():
+        try:
+            write_features(f(traces).select("x", "y", "amp").withColumn("feature", F.lit(name)), path)
+            done.append((name, None))
+        except Exception as e:  # the user's function may fail in any way; the others go on
+            logging.getLogger(__name__).warning("%s is skipped: %s", name, e)
+            done.append((name, str(e).splitlines()[0] if str(e) else type(e).__name__))
+    return traces.sparkSession.createDataFrame(done, "feature string, error string")

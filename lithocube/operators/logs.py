@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -166,3 +166,13 @@ def resample_traces(traces: DataFrame, depths: Sequence[float], targets: Sequenc
         return amp.map(lambda a: np.interp(t, d, np.asarray(a, float)).tolist() if a is not None else None)
 
     return traces.withColumn("amp", at("amp"))
+
+
+def by_well(log: DataFrame, keys: Sequence[str], function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """The user's `function` on the readings of every series; what it gives has `schema`. A series is one pandas table,
+    so this is for functions that no expression can state."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        return function(pdf)
+
+    return log.groupBy(*keys).applyInPandas(work, schema)

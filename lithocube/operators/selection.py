@@ -21,6 +21,15 @@ from lithocube.session import cut, settings, small
 
 Chosen = tuple[str, tuple[int, int, int]]
 
+#: Training points that one candidate's group may hold; more are an error, so that a run sets max_points.
+MOST_POINTS = 2_000_000
+
+
+def bounded(points: DataFrame) -> DataFrame:
+    if points.limit(MOST_POINTS + 1).count() > MOST_POINTS:
+        raise ValueError(f"more than {MOST_POINTS} training points; sample them first (max_points)")
+    return points
+
 
 def leave_wells_out(x: np.ndarray, y: np.ndarray, wells: np.ndarray, real: np.ndarray, p: gbdt.Params, chunks: int = 1) -> tuple[float, float, int] | None:
     """Mean over wells of RMSE and MAE, and the number of folds; None if a fold has nothing to train on.
@@ -84,6 +93,7 @@ def forward_selection(
     candidates tried in a round, as a run's settings may. The best error is looked for anew in every round. Selection
     ends early when no candidate can be trained: at least two wells are needed.
     """
+    bounded(points)
     features = traces.select("feature").distinct()
     names = sorted(r[0] for r in settings(features, 10_000))[:max_features]
     if not names:
@@ -157,7 +167,7 @@ def parameter_search(points: DataFrame, features: Sequence[str], space: DataFram
     """trial, rmse, mae, folds for every row of `space` (trial and parameters by the names of gbdt.Params): each trial
     is a group with the same leave-one-well-out body as feature selection."""
     names = [c for c in space.columns if c != "trial"]
-    each = points.join(small(space))  # every trial sees all points of the bounded sample
+    each = bounded(points).join(small(space))  # every trial sees all points of the bounded sample
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["well_id", "x", "y", "z"])

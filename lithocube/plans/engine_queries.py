@@ -24,6 +24,7 @@ from lithocube.plans.registry import query
 from lithocube.session import cut, read, shared_dir, small
 from lithocube.sources import io
 from lithocube.sources.io import run_metrics
+from lithocube.streaming import progress
 
 # Rounded so that the order of a sum does not show, and minus zero is zero. Means of decimal numbers are shifted off the
 # ties of rounding first.
@@ -1164,3 +1165,68 @@ def h2(spark, d):
     p = lookup.with_features(points, f, [("AMP", (0, 0, 1)), ("SMOOTH", (0, 0, 0))], stencil.cube_shape(f))
     g = selection.guided_search(cut(p), ["f0", "f1"], selection.random_space(spark, 6), _QUICK, (4, 8, 16))
     return g.groupBy("stage").agg(F.count(F.lit(1)).cast("int").alias("trials"), F.max("rounds").alias("rounds"))
+
+
+@query("s1_s2_ring_partitions", f"{WITH_STATE} SELECT {STATE_COLUMNS} FROM state WHERE ring IN (1, 2)")
+def s1(spark, d):
+    """The cube written by rings; of it the two rings before the third, other partitions unread."""
+    path = _uri(_file(spark, "cube"))
+    cubes.write_ring(state(spark, d), path)
+    return cubes.known_before(spark, path, 3, 2).select(*cubes.COLUMNS)
+
+
+_CANAL = f"""canal AS (SELECT e.x, e.y, e.z, amp, CASE WHEN w.well_id IS NOT NULL THEN 0 WHEN amp > 0.1 THEN 2 ELSE 5 END AS real FROM embeddings_cube e LEFT JOIN wells w ON e.x = w.wx AND e.y = w.wy)"""
+
+
+def _canal(spark: SparkSession, d: str) -> DataFrame:
+    w = spark.createDataFrame(WELLS, "w int, x int, y int")
+    c = cube_of(spark, d).join(small(w), ["x", "y"], "left")
+    real = F.when(F.col("w").isNotNull(), 0).otherwise(F.when(F.col("amp") > 0.1, 2).otherwise(5))
+    return c.select("x", "y", "z", F.col("amp").alias("phi"), real.alias("real"), F.lit(-1).alias("ring"), F.lit(-1).alias("well_id"))
+
+
+@query("g6_canal_ring", f"WITH {CUBE}, {WELL_ROWS}, {OWN}, {_CANAL} SELECT x, y, z, amp AS phi, CAST(ring AS INTEGER) AS ring, well_id FROM canal JOIN own USING (x, y) WHERE real = 2 AND ring = 2")
+def g6(spark, d):
+    return geometry.frontier(_canal(spark, d), TRAIN, 2, 2).select("x", "y", "z", "phi", "ring", "well_id")
+
+
+@query("g9_expanded", f"WITH {CUBE}, {WELL_ROWS}, {OWN}, {_CANAL} SELECT x, y, z, real, CAST(ring AS INTEGER) AS ring, well_id FROM canal JOIN own USING (x, y) WHERE real IN (2, 5) AND ring BETWEEN 1 AND 3")
+def g9(spark, d):
+    """Empty and canal points of the next three rings, each with its ring and well."""
+    open_ = _canal(spark, d).where("real in (2, 5)").drop("ring", "well_id")
+    return geometry.assign_rings(open_, TRAIN, 1).where("ring between 1 and 3").select("x", "y", "z", "real", "ring", "well_id")
+
+
+@query("m9_counts", f"{WITH_STATE} SELECT well_id, count(*) AS n, true AS ordered FROM state WHERE well_id IN (3) AND real = 0 GROUP BY GROUPING SETS ((well_id), ())")
+def m9_counts(spark, d):
+    """Test points of every test well and of all, and whether MAE is at most RMSE."""
+    return m9(spark, d).select("well_id", "n", (F.col("mae") <= F.col("rmse") + 1e-9).alias("ordered"))
+
+
+@query("k13_progress", r"""WITH m AS (SELECT try_cast(regexp_extract(raw_line, '(?i)\b(?:iteration|iter|it|iteracao)\W{0,3}(\d+)', 1) AS INTEGER) AS iteration,
+    try_cast(regexp_extract(raw_line, '(?i)\brmse\W{0,3}([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)', 1) AS DOUBLE) AS rmse,
+    try_cast(regexp_extract(raw_line, '(?i)\b(?:seconds|took|time\(s\))\W{0,3}([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)', 1) AS DOUBLE) AS seconds FROM run_log_lines)
+  SELECT iteration, min(rmse) AS rmse, round(sum(seconds), 3) AS seconds, count(*) AS lines FROM m WHERE iteration IS NOT NULL GROUP BY iteration""")
+def k13(spark, d):
+    return progress.latest(progress.metrics(read(spark, d, "run_log_lines"), "raw_line")).withColumn("seconds", F.round("seconds", 3))
+
+
+@query("s13_user_aggregate", f"WITH {_CLEAN} SELECT run_id, round(median(por), 5) AS por, count(*) AS n FROM clean GROUP BY run_id")
+def s13_user(spark, d):
+    """A function of the user's own on every series."""
+    middle = lambda pdf: pdf.groupby("run_id", as_index=False).agg(por=("por", "median"), n=("por", "size"))
+    return logs.by_well(_clean(spark, d).select("run_id", "por"), ["run_id"], middle, "run_id long, por double, n long").withColumn("por", F.round("por", 5))
+
+
+@query("s21_apply_and_save", "SELECT * FROM (VALUES ('MEAN', true, 0), ('WRONG', false, 0), ('TWICE', true, 0)) t(feature, written, left_out)")
+def s21_apply(spark, d):
+    """Attributes written one by one; the one that fails is skipped and reported."""
+    path = _uri(_file(spark, "attributes"))
+    t = traces(spark, d)
+    made = attributes.apply_and_save(t, {
+        "MEAN": lambda v: stencil.moving_window(v, (3, 3, 3), "mean", "amp"), "WRONG": lambda v: v.select("nothing"), "TWICE": lambda v: v.withColumn("amp", F.transform("amp", lambda a: a * 2)),
+    }, path)
+    n = t.count()
+    there = io.read_features(spark, path).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    j = made.join(there, "feature", "left")
+    return j.select("feature", F.col("error").isNull().alias("written"), F.when(F.col("n").isNull(), 0).otherwise(n - F.col("n")).cast("int").alias("left_out"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -9,9 +11,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
-#: Rows up to which a side may be broadcast; checked by counting, never assumed.
-BROADCAST_ROWS = 20_000
+#: Rows, and bytes of texts and arrays, up to which a side may be broadcast; checked by counting, never assumed.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 64 << 20
 
 
 _SHIPPED: set[str] = set()
@@ -23,7 +26,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    to = Path(tempfile.mkdtemp(prefix="lithocube-")) / "lithocube.zip"
+    folder = tempfile.mkdtemp(prefix="lithocube-")
+    atexit.register(shutil.rmtree, folder, True)
+    to = Path(folder) / "lithocube.zip"
     with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, Path(root.name) / f.relative_to(root))
@@ -59,9 +64,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` marked for broadcast if it has at most `rows` rows, else as it is (the join then shuffles)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` marked for broadcast if it has at most `rows` rows, and its texts and arrays at most `bytes_` bytes, else as
+    it is (the join then shuffles)."""
+    wide = [f for f in df.schema if not isinstance(f.dataType, (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType))]
+    size = F.lit(0).cast("long")
+    for f in wide:
+        text = F.col(f"`{f.name}`") if isinstance(f.dataType, (StringType, BinaryType)) else F.to_json(F.struct(f"`{f.name}`"))
+        size = size + F.coalesce(F.octet_length(text).cast("long"), F.lit(0))
+    n, b = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return F.broadcast(df) if n <= rows and (b or 0) <= bytes_ else df
 
 
 def settings(df: DataFrame, rows: int = 1_000) -> list[Row]:

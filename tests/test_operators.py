@@ -487,3 +487,30 @@ def test_random_wells_and_scratch_sets(spark):
     c = cube.overlay(cube.empty_cube(spark, box), w.where("well_id < 14"))
     train, test = cube.scratch_sets(c, [12])
     assert train.count() == 9 and test.count() == 3 and cube.scratch_sets(c, [], 0.0)[0].count() == 0
+
+
+def test_functions_of_the_user(spark, tmp_path):
+    log = spark.createDataFrame([(1, 2.0), (1, 4.0), (None, 7.0)], "w int, v double")
+    got = logs.by_well(log, ["w"], lambda p: p.groupby("w", as_index=False, dropna=False).agg(v=("v", "sum")), "w int, v double")
+    assert rows(got) == sorted([(1, 6.0), (None, 7.0)], key=repr)
+    t = spark.createDataFrame([(x, y, [1.0, 2.0]) for x in range(3) for y in range(2)], "x int, y int, amp array<double>")
+    made = attributes.apply_and_save(t, {"A": lambda v: v, "B": lambda v: 1 / 0, "C": lambda v: v.select("x", "y", F.expr("assert_true(x > 5)").alias("amp"))}, str(tmp_path / "f"))
+    assert [(r.feature, r.error is None) for r in made.collect()] == [("A", True), ("B", False), ("C", False)]
+    assert spark.read.parquet(str(tmp_path / "f")).where("feature = 'A'").count() == 6
+
+
+def test_broadcast_needs_few_rows_and_few_bytes(spark):
+    from lithocube.session import small
+
+    hint = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    d = spark.range(50).select("id", F.repeat(F.lit("x"), 1000).alias("text"), F.array(F.lit(1)).alias("a"))
+    assert hint(small(d)) and not hint(small(d, rows=49)) and not hint(small(d, bytes_=40_000)) and hint(small(d.select("id"), bytes_=0))
+    assert hint(small(d.limit(0)))
+
+
+def test_too_many_training_points_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(selection, "MOST_POINTS", 3)
+    p = spark.range(4).select(F.col("id").cast("int").alias("x"))
+    with pytest.raises(ValueError):
+        selection.bounded(p)
+    assert selection.bounded(p.limit(3)).count() == 3
