@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Vocabulary file (a parameter everywhere; never part of this repository).
@@ -16,12 +18,29 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+_SHIPPED: set[tuple[str, str]] = set()
+
+
+def ship_vocabulary(spark: SparkSession, vocabulary: str) -> None:
+    """Send the vocabulary file to the executors, once per application, so it need not lie on their disks."""
+    key = (spark.sparkContext.applicationId, vocabulary)
+    if key not in _SHIPPED and Path(vocabulary).exists():
+        spark.sparkContext.addFile(str(Path(vocabulary).resolve()))
+        _SHIPPED.add(key)
+
+
+def _found(vocabulary: str) -> str:
+    """The file as sent with the application, else at its own path."""
+    sent = SparkFiles.get(Path(vocabulary).resolve().name) if SparkFiles._root_directory else ""
+    return sent if sent and Path(sent).exists() else vocabulary
+
+
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str):
     """The tokenizer of a vocabulary file, once per Python worker."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
+    with open(_found(vocabulary), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -58,6 +77,7 @@ def token_counts(documents: DataFrame, *keep: str, vocabulary: str = VOCABULARY,
     Whole texts are counted; null and empty texts have 0 tokens and a place of zeros. The strings of special tokens
     are ordinary text.
     """
+    ship_vocabulary(documents.sparkSession, vocabulary)
     d = documents.select(*keep, F.col(text).alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "text") + ", n_tokens long"
     return d.mapInArrow(_counter(vocabulary, dims), kinds + (", place array<double>" if dims else ""))
