@@ -229,7 +229,7 @@ def _with_first(lines: DataFrame) -> DataFrame:
 
 def parse_entries(log_lines: DataFrame, share: float = SHARE, block: int = BLOCK, least: int = LEAST) -> DataFrame:
     """One row per log entry: log_file, stream, first_line, last_line, ts, stamp, level, component, message,
-    iteration, rmse, seconds, features.
+    iteration, rmse, seconds, features, listed (whether there are features).
 
     `log_lines`: log_file, line_no, raw_line. A line that starts as an entry does (a timestamp in any of the known
     notations, or an opening brace) opens one; other lines continue the last entry of their stream, a stream being a
@@ -294,6 +294,7 @@ def parse_entries(log_lines: DataFrame, share: float = SHARE, block: int = BLOCK
     return groups.select(
         F.nullif("file", F.lit("\0")).alias("log_file"), "stream", "first_line", "last_line", "stamp", "level", "component", message.alias("message"),
         "iteration", "rmse", "seconds", F.when(F.col("_upto") >= F.col("_from"), listed).alias("features"), ts.alias("ts"),
+        F.coalesce(F.col("_upto") >= F.col("_from"), F.lit(False)).alias("listed"),
     )
 
 
@@ -317,5 +318,5 @@ def mined_templates(log_lines: DataFrame, share: float = SHARE, block: int = BLO
 
 def stated(entries: DataFrame) -> DataFrame:
     """Entries that state an iteration number with an RMSE, a list of features or a number of seconds."""
-    more = F.col("rmse").isNotNull() | F.col("features").isNotNull() | F.col("seconds").isNotNull()
+    more = F.col("rmse").isNotNull() | F.col("listed") | F.col("seconds").isNotNull()
     return entries.where(F.col("iteration").isNotNull() & more)
