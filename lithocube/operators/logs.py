@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithocube.functions.scalars import depth_index
-from lithocube.session import small
+from lithocube.operators.segments import ranked, segmented
+from lithocube.session import cut, small
 
 
 def no_nan(df: DataFrame, *columns: str) -> DataFrame:
@@ -37,11 +39,30 @@ def after_start(log: DataFrame, starts: DataFrame | None, key: str, time: str, d
     return joined.where(F.col(time) >= F.coalesce("_start", F.lit(default))).drop("_k", "_start")
 
 
-def rolling_mean(log: DataFrame, keys: Sequence[str], order: Sequence[str], window: int, values: Sequence[str]) -> DataFrame:
-    """Values replaced by the mean of the centred window of `window` readings of their series; fewer at its ends."""
+#: A series of more readings is averaged in stretches of so many, each with its neighbours: the means are the same.
+STRETCH = 50_000
+
+
+def rolling_mean(log: DataFrame, keys: Sequence[str], order: Sequence[str], window: int, values: Sequence[str], stretch: int = STRETCH) -> DataFrame:
+    """Values replaced by the mean of the centred window of `window` readings of their series; fewer at its ends.
+
+    Series of more than `stretch` readings are cut by exact place into stretches that see the `window` readings next to
+    them, so no series has to lie in one task. `order` should tell all readings of a series apart.
+    """
     back = window // 2
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-back, window - 1 - back)
-    return log.withColumns({v: F.avg(v).over(w) for v in values})
+    frame = (-back, window - 1 - back)
+    over = lambda d, w: d.withColumns({v: F.avg(v).over(w.rowsBetween(*frame)) for v in values})
+    plain = Window.partitionBy(*keys).orderBy(*order)
+    names = [f"_k{i}" for i in range(len(keys))]
+    long = log.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > stretch)
+    long = cut(long.select(*names, F.row_number().over(Window.orderBy(*names)).alias("_s")))
+    if long.isEmpty():
+        return over(log, plain)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    short = over(log.join(small(long), same, "left_anti"), plain)
+    rows = segmented(ranked(log.join(small(long), same).drop(*names), "_s", order, "_rank"), stretch, window, "_rank")
+    rows = over(rows.repartition("_s", "seg"), Window.partitionBy("_s", "seg").orderBy("_rank"))
+    return short.unionByName(rows.where("core").select(*log.columns))
 
 
 def mean_every(log: DataFrame, keys: Sequence[str], n: Column | float, values: Sequence[str], depth: str = "depth") -> DataFrame:

@@ -514,3 +514,12 @@ def test_too_many_training_points_are_an_error(spark, monkeypatch):
     with pytest.raises(ValueError):
         selection.bounded(p)
     assert selection.bounded(p.limit(3)).count() == 3
+
+
+def test_rolling_means_of_long_series_are_cut(spark):
+    rng = np.random.default_rng(11)
+    data = [(w, i, float(rng.normal()) if i % 7 else None, float(i)) for w, n in ((1, 900), (None, 400), (2, 30)) for i in range(n)]
+    log = spark.createDataFrame(data, "w int, i int, v double, u double")
+    for window in (1, 4, 5):
+        whole, pieces = (rows(logs.rolling_mean(log, ["w"], ["i"], window, ["v", "u"], stretch=s).select("w", "i", F.round("v", 9), F.round("u", 9))) for s in (10_000, 50))
+        assert whole == pieces and len(whole) == 1330
