@@ -101,6 +101,20 @@ def near_pairs(points: DataFrame, distance: float, key: str = "well_id", x: str
     return found.distinct()
 
 
+def near_spots(points: DataFrame, distance: float, key: str = "well_id", x: str = "x_coord", y: str = "y_coord") -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): near_pairs with every spot once, however many keys lie on it.
+
+    pairs: a_x, a_y, b_x, b_y of every two different spots at most `distance` apart, (a_x, a_y) < (b_x, b_y); members:
+    `key`, x, y of every key with a known place, once per spot. Keys are near each other if they share a spot or their
+    spots are a pair, so n keys on one spot are n rows, not n squared. Unknown places and empty tables as in near_pairs.
+    """
+    members = points.select(F.col(key), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    members = cut(members.where(F.col(key).isNotNull()).where("x >= 0 and y >= 0 and x < 1e15 and y < 1e15").distinct())
+    spots = members.select(F.struct("x", "y").alias("spot"), "x", "y").distinct()
+    pairs = near_pairs(spots, distance, "spot", "x", "y")
+    return pairs.select("a_id.x", "a_id.y", "b_id.x", "b_id.y").toDF("a_x", "a_y", "b_x", "b_y"), members
+
+
 def inside_pairs(
     points: DataFrame, regions: DataFrame, root: float = 4096.0, leaf: float = 256.0, key: str = "well_id", x: str = "x_coord", y: str = "y_coord",
     region: str = "area_id", bounds: tuple[str, str, str, str] = ("min_x", "max_x", "min_y", "max_y"),

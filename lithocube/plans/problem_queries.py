@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lithocube.operators.loglines import mined_templates, parse_entries, stated
 from lithocube.operators.missing import CODES, FIELDS, filled_cells, impute_chained
-from lithocube.operators.near import inside_pairs, near_pairs
+from lithocube.operators.near import inside_pairs, near_pairs, near_spots
 from lithocube.operators.regrid import regular_grid
 from lithocube.operators.spikes import flag_spikes, flagged_cells
 from lithocube.plans.registry import query
@@ -155,6 +155,18 @@ def p2_steps(spark: SparkSession, d: str) -> DataFrame:
     return g.select("run_id", "bucket", "n_readings", "filled", F.when(~F.col("filled"), F.round(v + 1e-7, 5)).alias("measured"), within.alias("within_run"))
 
 
+_SPOTS = "s AS (SELECT DISTINCT CAST(x_coord AS DOUBLE) AS x, CAST(y_coord AS DOUBLE) AS y FROM wells_info_completed WHERE x_coord >= 0 AND y_coord >= 0 AND well_id IS NOT NULL)"
+
+
+@query(
+    "p4_spots",
+    f"""WITH {_SPOTS} SELECT a.x AS a_x, a.y AS a_y, b.x AS b_x, b.y AS b_y FROM s a JOIN s b ON b.x BETWEEN a.x AND a.x + 25
+    WHERE (a.x < b.x OR a.y < b.y) AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 625""",
+)
+def p4_spots(spark: SparkSession, d: str) -> DataFrame:
+    return near_spots(read(spark, d, "wells_info_completed"), 25.0)[0]
+
+
 #: Entries and their statements line by line, by regular expressions of their own.
 _ENTRIES = r"""l AS (SELECT log_file, line_no, max(raw_line) AS raw FROM run_log_lines WHERE line_no IS NOT NULL GROUP BY ALL),
   t AS (SELECT log_file, line_no, rtrim(regexp_replace(translate(raw, chr(9) || chr(160), '  '), '\x1b\[[0-9;]*[A-Za-z]|[\x00-\x08\x0b-\x1f\x7f\x{200b}\x{feff}]', '', 'g')) AS txt FROM l),

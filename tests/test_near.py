@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from conftest import rows
 
-from lithocube.operators.near import inside_pairs, near_pairs
+from lithocube.operators.near import inside_pairs, near_pairs, near_spots
 
 POINTS = "well_id long, x_coord double, y_coord double, id string, cx int"
 AREAS = "area_id long, min_x double, max_x double, min_y double, max_y double, rid string"
@@ -35,6 +35,17 @@ def test_crowded_spot_is_whole(spark):
     assert rows(near_pairs(points(spark, data), 25)) == sorted(brute_near(data, 25), key=repr)
 
 
+def test_spots_stand_for_their_keys(spark):
+    data = [(i, 10.0, 10.0) for i in range(50)] + [(100, 20.0, 10.0), (101, 20.0, 10.0), (101, 30.0, 10.0), (102, 500.0, 1.0), (103, None, 1.0), (None, 11.0, 10.0)]
+    pairs, members = near_spots(points(spark, data), 12)
+    assert rows(pairs) == [(10.0, 10.0, 20.0, 10.0), (20.0, 10.0, 30.0, 10.0)]
+    m = rows(members)
+    assert len(m) == 54
+    spot = {(r.a_x, r.a_y, r.b_x, r.b_y) for r in pairs.collect()}
+    near = {(a[0], b[0]) for a in m for b in m if a[0] < b[0] and (a[1:] == b[1:] or (*a[1:], *b[1:]) in spot or (*b[1:], *a[1:]) in spot)}
+    assert near == set(brute_near(data, 12))
+
+
 def test_regions(spark, monkeypatch):
     rng = np.random.default_rng(4)
     data = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 30_000, (400, 2)))] + [(900, 100.0, 200.0), (901, None, 3.0), (902, -5.0, 5.0)]
