@@ -504,21 +504,57 @@ def w12(spark, d):
     return stencil.points(m, "value").select("x", "y", "z", r6("value").alias("value"))
 
 
-@query("w13_eigen_coherence")
+def _squared(k: int) -> str:
+    """The matrix of the step before times itself, scaled to trace 1: powers of it end at the largest eigenvalue's projector."""
+    trace = "list_sum([m[i][i] FOR i IN range(1, 10)])"
+    return f"q{k} AS (SELECT x, y, z, c, [[list_dot_product(a, b) FOR b IN n] FOR a IN n] AS m FROM (SELECT x, y, z, c, [[v / t FOR v IN a] FOR a IN m] AS n FROM (SELECT *, {trace} AS t FROM q{k - 1})))"
+
+
+_EIGEN = f"""e AS (SELECT x, y, list(amp ORDER BY z) AS v FROM embeddings_cube GROUP BY x, y),
+  p AS (SELECT x, y, list_concat(list_reverse(v[1:DEPTH]), v, list_reverse(v[-DEPTH:])) AS v FROM e),
+  n AS (SELECT e.x, e.y, list(p.v ORDER BY dx, dy) AS ps FROM e, shape, range(-1, 2) rx(dx), range(-1, 2) ry(dy) JOIN p ON p.x = {_MIRROR.format('(e.x + dx)', 'nx')} AND p.y = {_MIRROR.format('(e.y + dy)', 'ny')} GROUP BY e.x, e.y),
+  w AS (SELECT x, y, z, [p[z + 1 : z + 2 * DEPTH + 1] FOR p IN ps] AS w FROM n, range(64) r(z)),
+  q0 AS (SELECT x, y, z, [[list_dot_product(a, b) FOR b IN w] FOR a IN w] AS c, c AS m FROM w), {', '.join(map(_squared, range(1, 21)))},
+  core AS (SELECT x, y, z, list_sum([list_dot_product(c[i], m[i]) FOR i IN range(1, 10)]) / list_sum([m[i][i] FOR i IN range(1, 10)]) / list_sum([c[i][i] FOR i IN range(1, 10)]) AS value FROM q20)"""
+
+
+@query("w13_eigen_coherence", f"{WITH_CUBE}, {_EIGEN.replace('DEPTH', '4')} SELECT x, y, CAST(z AS BIGINT) AS z, round(value + 1e-8, 6) AS value FROM core")
 def w13(spark, d):
     t = traces(spark, d)
     m = stencil.on_tiles(t, stencil.cube_shape(t), (1, 1, 4), {"value": attributes.eigen_kernel((3, 3, 9))})
-    return stencil.points(m, "value")
+    return stencil.points(m, "value").withColumn("value", F.round(F.col("value") + 1e-8, 6))
+
+
+_STEP = "-1, 2"
+_SIDE = {a: f"CASE WHEN c.{a} + d{a} < 0 OR c.{a} + d{a} >= n{a} THEN -1 ELSE 1 END" for a in "xy"}
+
+
+def _slope(axis: str) -> str:
+    """The derivative along one axis: weighted samples of the line through each point."""
+    on = " AND ".join(f"s.{a} = " + (_MIRROR.format(f"(c.{a} + d)", f"n{a}") if a == axis else f"c.{a}") for a in "xyz")
+    return f"slope_{axis} AS (SELECT c.x, c.y, c.z, sum(weight * s.amp) AS g{axis} FROM embeddings_cube c, shape, k JOIN embeddings_cube s ON {on} GROUP BY c.x, c.y, c.z)"
 
 
-@query("w14_structure_tensor")
+@query("w14_structure_tensor", f"""{WITH_CUBE}, k AS (SELECT d, d * exp(-0.5 * d * d) / sum(exp(-0.5 * d * d)) OVER () AS weight FROM range(-4, 5) r(d)),
+  {', '.join(map(_slope, 'xyz'))}, g AS (SELECT * FROM slope_x JOIN slope_y USING (x, y, z) JOIN slope_z USING (x, y, z)),
+  s AS (SELECT c.x, c.y, c.z, sum(gx * gx) AS xx, sum(gy * gy) AS yy, sum(gz * gz) AS zz, sum(gx * gy * sx * sy) AS xy, sum(gx * gz * sx) AS xz, sum(gy * gz * sy) AS yz
+    FROM (SELECT c.x, c.y, c.z, {_MIRROR.format('(c.x + dx)', 'nx')} AS ax, {_MIRROR.format('(c.y + dy)', 'ny')} AS ay, abs(CASE WHEN c.z + dz >= nz THEN 2 * nz - 2 - (c.z + dz) ELSE c.z + dz END) AS az,
+      {_SIDE['x']} AS sx, {_SIDE['y']} AS sy FROM embeddings_cube c, shape, range({_STEP}) rx(dx), range({_STEP}) ry(dy), range({_STEP}) rz(dz)) c JOIN g ON g.x = ax AND g.y = ay AND g.z = az GROUP BY c.x, c.y, c.z),
+  m AS (SELECT *, (xx + yy + zz) / 3 AS q FROM s), p AS (SELECT *, sqrt(((xx - q) ** 2 + (yy - q) ** 2 + (zz - q) ** 2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM m),
+  r AS (SELECT *, greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / p ** 3 / 2)) AS r FROM p),
+  l AS (SELECT x, y, z, q, q + 2 * p * cos(acos(r) / 3) AS l0, q + 2 * p * cos(acos(r) / 3 + 2 * pi() / 3) AS l2 FROM r)
+  SELECT x, y, CAST(z AS BIGINT) AS z, round((l0 - (3 * q - l0 - l2)) / (l0 + (3 * q - l0 - l2)) + 1e-7, 5) AS gst FROM l""")
 def w14(spark, d):
-    return stencil.points(attributes.structure_tensor_coherence(traces(spark, d), (3, 3, 3)), "gst")
+    return stencil.points(attributes.structure_tensor_coherence(traces(spark, d), (3, 3, 3)), "gst").withColumn("gst", r5("gst"))
 
 
-@query("w15_sobel_coherence")
+@query("w15_sobel_coherence", f"""{WITH_CUBE}, {_EIGEN.replace('DEPTH', '2')},
+  s AS (SELECT c.x, c.y, c.z, sum(dx * (2 - abs(dy)) * (2 - abs(dz)) * s.value) AS gx, sum(dy * (2 - abs(dx)) * (2 - abs(dz)) * s.value) AS gy, sum(dz * (2 - abs(dx)) * (2 - abs(dy)) * s.value) AS gz
+    FROM core c, shape, range({_STEP}) rx(dx), range({_STEP}) ry(dy), range({_STEP}) rz(dz)
+    JOIN core s ON s.x = {_MIRROR.format('(c.x + dx)', 'nx')} AND s.y = {_MIRROR.format('(c.y + dy)', 'ny')} AND s.z = {_MIRROR.format('(c.z + dz)', 'nz')} GROUP BY c.x, c.y, c.z)
+  SELECT x, y, CAST(z AS BIGINT) AS z, round(sqrt(gx * gx + gy * gy + gz * gz) + 1e-7, 5) AS sobel FROM s""")
 def w15(spark, d):
-    return stencil.points(attributes.sobel_coherence(traces(spark, d), (3, 3, 5)), "sobel")
+    return stencil.points(attributes.sobel_coherence(traces(spark, d), (3, 3, 5)), "sobel").withColumn("sobel", r5("sobel"))
 
 
 _DIFF = "CASE WHEN {a} = 0 THEN lead({v}) OVER {w} - {v} WHEN {a} = {n} - 1 THEN {v} - lag({v}) OVER {w} ELSE (lead({v}) OVER {w} - lag({v}) OVER {w}) / 2 END"
