@@ -210,6 +210,23 @@ def p6_values(spark: SparkSession, d: str) -> DataFrame:
     return p6_entries(spark, d).select("log_file", "first_line", "last_line", "rmse", "seconds")
 
 
+@query(
+    "p6_heads",
+    f"""WITH {_ENTRIES}, v AS (SELECT log_file, stream, first_line, line_no,
+        coalesce(nullif(regexp_extract(body, '\\b(?:level|lvl|severity)"?\\s*[:=]\\s*"?(\\w+)', 1), ''), nullif(regexp_extract(body, '^=== [^|]+\\| (\\w+) \\|', 1), ''),
+          nullif(regexp_extract(body, '^\\d\\d/\\d\\d/\\d{{4}} [^;]+;(\\w);', 1), ''), nullif(regexp_extract(body, '^\\d{{4}}-\\d\\d-\\d\\d [^ ]+ +(\\w+) ', 1), ''), nullif(regexp_extract(body, '^<(\\d)>\\d', 1), '')) AS l,
+        coalesce(nullif(regexp_extract(body, '\\b(?:comp|component|logger)"?\\s*[:=]\\s*"?(\\w+)', 1), ''), nullif(regexp_extract(body, '^=== [^|]+\\| \\w+ \\| ([\\w-]+)', 1), ''),
+          nullif(regexp_extract(body, '^\\d\\d/\\d\\d/\\d{{4}} [^;]+;\\w;([\\w-]+);', 1), ''), nullif(regexp_extract(body, '^\\d{{4}}-\\d\\d-\\d\\d [^ ]+ +\\w+ +([\\w-]+) - ', 1), ''),
+          nullif(regexp_extract(body, '^<\\d>[\\d.]+ ([\\w-]+)', 1), ''), nullif(regexp_extract(body, '^[A-Z][a-z]{{2}} +\\d+ [\\d:]+ \\[([\\w-]+)\\]', 1), '')) AS c FROM e)
+    SELECT log_file, CAST(first_line AS INTEGER) AS first_line, CASE lower(arg_min(l, line_no)) WHEN 'debug' THEN 'DEBUG' WHEN 'd' THEN 'DEBUG' WHEN '7' THEN 'DEBUG' WHEN 'info' THEN 'INFO' WHEN 'i' THEN 'INFO'
+        WHEN '6' THEN 'INFO' WHEN '5' THEN 'INFO' WHEN 'warning' THEN 'WARNING' WHEN 'warn' THEN 'WARNING' WHEN 'w' THEN 'WARNING' WHEN '4' THEN 'WARNING' WHEN 'error' THEN 'ERROR' WHEN 'e' THEN 'ERROR' WHEN '3' THEN 'ERROR'
+        WHEN 'critical' THEN 'CRITICAL' WHEN 'fatal' THEN 'CRITICAL' WHEN 'c' THEN 'CRITICAL' WHEN '2' THEN 'CRITICAL' END AS level, arg_min(c, line_no) AS component FROM v GROUP BY log_file, stream, first_line""",
+)
+def p6_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry with its level and component."""
+    return p6_entries(spark, d).select("log_file", "first_line", "level", "component")
+
+
 @query("p6_templates")
 def p6_templates(spark: SparkSession, d: str) -> DataFrame:
     return mined_templates(read(spark, d, "run_log_lines"))
