@@ -124,11 +124,12 @@ def p8_rules(spark: SparkSession, d: str) -> DataFrame:
     """Per source of the mixture: no document above the cap, uses of two documents apart by one at most, the share to within half a document."""
     mixed, report = mix_sources(read(spark, d, "documents"), read(spark, d, "source_targets"))
     by = mixed.groupBy("source").agg(F.max("uses").alias("most"), F.min("uses").alias("least"))
-    r = report.where("tokens_used > 0").join(by, "source").crossJoin(F.broadcast(report.agg(F.sum("tokens_used").alias("size"))))
+    # A source whose budget is below half of its first document may come out unused: that too is within half a document.
+    r = report.where("share is not null").join(by, "source", "left").crossJoin(F.broadcast(report.agg(F.sum("tokens_used").alias("size"))))
     asked = F.sum(F.col("longest")).over(Window.partitionBy()) / 2
     # Every source misses its budget by half its longest document at most, and the size is missed by the sum of those.
     near = F.abs(F.col("share_reached") - F.col("share")) * F.col("size") <= F.col("longest") / 2 + F.col("share") * asked + 1
-    return r.select("source", F.round("share", 9).alias("share"), (F.col("most") <= F.col("max_repeats")).alias("repeats_kept"), (F.col("most") - F.col("least") <= 1).alias("even"), near.alias("share_reached"))
+    return r.select("source", F.round("share", 9).alias("share"), F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True)).alias("repeats_kept"), F.coalesce(F.col("most") - F.col("least") <= 1, F.lit(True)).alias("even"), near.alias("share_reached"))
 
 
 def _print_sql() -> str:
