@@ -32,8 +32,8 @@ def test_query(spark, data, duck, name):
     df = QUERIES[name](spark, data)
     columns = sorted(df.columns)
     got = sorted(repr(tuple(map(plain, r))) for r in df.select(*columns).collect())
-    assert got
     if name not in SQL:
+        assert got
         # Lost executors run their tasks again, so a result must be the same every time.
         assert got == sorted(repr(tuple(map(plain, r))) for r in QUERIES[name](spark, data).select(*columns).collect())
         return
