@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from lithocube.functions.scalars import ring_distance
 from lithocube.schema import State
-from lithocube.session import small
 
 #: (well_id, x, y)
 Well = tuple[int, int, int]
@@ -175,21 +174,42 @@ def extents(wells: DataFrame, box: Box, it: Column) -> DataFrame:
     return w.withColumn("predicted", ((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1) - 1) * box.nz)
 
 
-def overlaps(squares: DataFrame, box: Box, by: tuple[str, ...] = ()) -> DataFrame:
-    """a, b (a < b), width, height and points that both wells' squares (see extents) cover; only pairs that overlap,
-    and none at iteration 0. `by`: columns that both sides share, such as the iteration.
+def _meeting(squares: DataFrame) -> DataFrame:
+    """Pairs of `squares` (well_id, x0, x1, y0, y1) that overlap, with width and height: the columns of the one with the
+    smaller well_id as `a_...`, of the other as `b_...`.
 
-    Squares meet in the cells of a grid as wide as the widest of them (of their `by`), so each lies in at most four
-    cells; a pair is kept in the cell that holds the overlap's first corner.
+    Squares meet in the cells of a grid as wide as the widest of them, so each lies in at most four cells; a pair is kept
+    in the cell that holds the overlap's first corner. Rows multiply on the way to the join and the planner's estimate
+    does not see it, so the join is never left to a broadcast; both sides are one shuffle.
     """
-    own = squares.where("x0 < x1 or y0 < y1").select(*by, "well_id", "x0", "x1", "y0", "y1")
     side = F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 1).alias("_side")
-    sized = own.join(small(own.groupBy(*by).agg(side)), list(by)) if by else own.join(F.broadcast(own.agg(side)))  # one row
+    sized = squares.join(F.broadcast(squares.agg(side)))  # one row
     cell = lambda c: F.floor(F.col(c) / F.col("_side"))
     sized = sized.withColumn("_cx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("_cy", F.explode(F.sequence(cell("y0"), cell("y1"))))
-    end = lambda s: sized.select(*by, "_cx", "_cy", *(["_side"] if s == "a" else []), *[F.col(c).alias(f"{s}_{c}") for c in ("well_id", "x0", "x1", "y0", "y1")])
-    j = end("a").join(end("b"), [*by, "_cx", "_cy"]).where("a_well_id < b_well_id")
+    end = lambda s: sized.select("_side", "_cx", "_cy", *[F.col(c).alias(f"{s}_{c}") for c in squares.columns])
+    j = end("a").join(end("b").hint("merge"), ["_side", "_cx", "_cy"]).where("a_well_id < b_well_id")
     j = j.withColumns({"_x": F.greatest("a_x0", "b_x0"), "_y": F.greatest("a_y0", "b_y0")})
-    w, h = F.least("a_x1", "b_x1") - F.col("_x") + 1, F.least("a_y1", "b_y1") - F.col("_y") + 1
-    j = j.where((w > 0) & (h > 0) & (cell("_x") == F.col("_cx")) & (cell("_y") == F.col("_cy")))
-    return j.select(*by, F.col("a_well_id").alias("a"), F.col("b_well_id").alias("b"), w.alias("width"), h.alias("height"), (w * h * box.nz).alias("points"))
+    j = j.withColumns({"width": F.least("a_x1", "b_x1") - F.col("_x") + 1, "height": F.least("a_y1", "b_y1") - F.col("_y") + 1})
+    return j.where((F.col("width") > 0) & (F.col("height") > 0) & (cell("_x") == F.col("_cx")) & (cell("_y") == F.col("_cy")))
+
+
+def overlaps(squares: DataFrame, box: Box) -> DataFrame:
+    """a, b (a < b), width, height and points that both wells' squares (see extents) cover; only pairs that overlap,
+    and none at iteration 0."""
+    j = _meeting(squares.where("x0 < x1 or y0 < y1").select("well_id", "x0", "x1", "y0", "y1"))
+    return j.select(F.col("a_well_id").alias("a"), F.col("b_well_id").alias("b"), "width", "height", (F.col("width") * F.col("height") * box.nz).alias("points"))
+
+
+def overlap_volumes(wells: DataFrame, box: Box, last: int) -> DataFrame:
+    """it, a, b (a < b) and points that both wells' squares cover, at each iteration from 1 to `last` at which they
+    overlap.
+
+    Squares only grow, so pairs are looked for once, at the last iteration, and followed back to their first.
+    """
+    if last < 1:
+        raise ValueError("last iteration must be at least 1")
+    j = _meeting(extents(wells, box, F.lit(last)).select("well_id", "x", "y", "x0", "x1", "y0", "y1"))
+    apart = F.greatest(F.abs(F.col("a_x") - F.col("b_x")), F.abs(F.col("a_y") - F.col("b_y")))
+    j = j.withColumn("it", F.explode(F.sequence(F.greatest(F.lit(1), F.ceil(apart / 2).cast("int")), F.lit(last))))
+    span = lambda c, n: F.least(F.least(f"a_{c}", f"b_{c}") + F.col("it"), F.lit(n - 1)) - F.greatest(F.greatest(f"a_{c}", f"b_{c}") - F.col("it"), F.lit(0)) + 1
+    return j.select("it", F.col("a_well_id").alias("a"), F.col("b_well_id").alias("b"), (span("x", box.nx) * span("y", box.ny) * box.nz).alias("points"))

@@ -938,21 +938,16 @@ _ITS = "its(it) AS (SELECT CAST(i AS INTEGER) FROM range(0, 9) r(i))"
 _EXTENTS = f"""{_PLACED}, {_ITS}, squares AS (SELECT it, well_id, x, y, greatest(x - it, 0) AS x0, least(x + it, nx - 1) AS x1, greatest(y - it, 0) AS y0, least(y + it, ny - 1) AS y1 FROM placed, box, its)"""
 
 
-def _squares(spark: SparkSession, d: str) -> tuple[DataFrame, geometry.Box]:
-    w, box = _placed(spark, d)
-    return geometry.extents(w.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(8)))), box, F.col("it")), box
-
-
 @query("c15_c16_extents", f"WITH {_EXTENTS} SELECT *, ((x1 - x0 + 1) * (y1 - y0 + 1) - 1) * 64 AS predicted FROM squares")
 def c15(spark, d):
-    return _squares(spark, d)[0]
+    w, box = _placed(spark, d)
+    return geometry.extents(w.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(8)))), box, F.col("it"))
 
 
 @query("c17_overlap_volumes", f"""WITH {_EXTENTS} SELECT it, a.well_id AS a, b.well_id AS b, ({_OVERLAP[0]}) * ({_OVERLAP[1]}) * 64 AS points
   FROM squares a JOIN squares b USING (it) WHERE a.well_id < b.well_id AND it > 0 AND b.x0 BETWEEN a.x0 - 17 AND a.x1 AND a.x1 >= b.x0 AND b.x1 >= a.x0 AND a.y1 >= b.y0 AND b.y1 >= a.y0""")
 def c17(spark, d):
-    squares, box = _squares(spark, d)
-    return geometry.overlaps(squares, box, ("it",)).select("it", "a", "b", "points")
+    return geometry.overlap_volumes(*_placed(spark, d), 8)
 
 
 @query("c20_depth_index", f"WITH {_CLEAN} SELECT log_id, CAST(floor(depth / 5.0) - floor(start / 5.0) AS INTEGER) AS i FROM (SELECT log_id, depth, min(depth) OVER (PARTITION BY run_id) AS start FROM clean)")

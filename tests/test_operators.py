@@ -406,6 +406,30 @@ def test_overlaps_against_all_pairs(spark):
         assert rows(geometry.overlaps(s, box), "a", "b", "points") == sorted(want, key=repr)
 
 
+def test_overlap_volumes_of_each_iteration(spark):
+    rng = np.random.default_rng(8)
+    pts = [(i, int(x), int(y)) for i, (x, y) in enumerate(rng.integers(0, 40, (70, 2)))] + [(70, 0, 0), (71, 0, 0), (72, 39, 39)]
+    for n, wells in ((40, pts), (1, [(0, 0, 0), (1, 0, 0)])):
+        box = geometry.Box(n, n, 2)
+        got = geometry.overlap_volumes(spark.createDataFrame(wells, "well_id int, x int, y int"), box, 5)
+        want = [(it, a[0], b[0], v) for it in range(6) for i, a in enumerate(wells) for b in wells[i + 1 :] if (v := geometry.overlap_volume(a, b, it, box))]
+        assert rows(got, "it", "a", "b", "points") == sorted(want, key=repr)
+    with pytest.raises(ValueError):
+        geometry.overlap_volumes(spark.createDataFrame(pts, "well_id int, x int, y int"), box, 0)
+
+
+def test_overlaps_broadcast_no_squares(spark, tmp_path):
+    """Squares in their cells are many times the wells that the planner counts: only the widest width is broadcast."""
+    rng = np.random.default_rng(9)
+    pts = [(i, int(x), int(y)) for i, (x, y) in enumerate(rng.integers(0, 60, (80, 2)))]
+    spark.createDataFrame(pts, "well_id int, x int, y int").write.parquet(f"{tmp_path}/wells")
+    w, box = spark.read.parquet(f"{tmp_path}/wells"), geometry.Box(60, 60, 2)
+    for df in (geometry.overlaps(geometry.extents(w, box, F.lit(5)), box), geometry.overlap_volumes(w, box, 8)):
+        assert df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_many_areas_meet_wells_in_cells(spark, monkeypatch):
     rng = np.random.default_rng(7)
     w = spark.createDataFrame([(i, int(x), int(y)) for i, (x, y) in enumerate(rng.integers(0, 5000, (60, 2)))] + [(90, None, 3), (91, 10**8, 10**8)], "well_id long, x_coord int, y_coord int")
